@@ -1,92 +1,139 @@
-"""Exact interpolated quantiles that never gather a group in one task.
+"""Exact statistics and interpolated quantiles that never gather a group in one task.
 
 The built-in exact ``percentile`` keeps a value map of the whole group in one
 task, which a market-wide or hot group does not survive. Here the prices are
-first counted per whole currency unit; running counts over those few rows say
+first summed up per whole currency unit. Running counts over those few rows say
 which unit holds each wanted rank, and only that unit is resolved value by
 value. A stored price has four decimals, so one unit holds at most 10,000
-distinct values, and equal values are combined before they are shuffled.
+distinct values, and equal values are combined before they are shuffled. The
+moments come from the same per-unit rows, so they cost no further scan.
 """
 
 from pyspark.sql import Window, functions as F
 
+MOMENTS = ("count", "avg", "std", "min", "max")
 
-def exact_quantiles(df, by, value, quantiles, few_groups=False):
-    """Linear-interpolated quantiles of ``value`` per ``by``.
 
-    ``quantiles`` maps output names to fractions. ``few_groups`` states that the
-    number of groups is fixed (the whole market, the hours of a day): the rank
-    targets then are a handful of rows, so they are broadcast and the second
-    pass over the data shuffles the target units only. Without it the targets
-    grow with the groups and are joined by shuffle.
+def _position(fraction):
+    return F.lit(float(fraction)) * (F.col("_n") - 1)
+
+
+def _ranks(fraction):
+    """Zero-based ranks on both sides of a fraction."""
+    return F.floor(_position(fraction)), F.ceil(_position(fraction))
+
+
+def _holds(rank, first):
+    return (rank >= F.col(first)) & (rank < F.col(first) + F.col("_c"))
+
+
+def _per_unit(rows, unit, weight, counts):
+    """Count, extremes and offsets from the unit's lower edge, per unit."""
+    offset = F.col("_v").cast("double") - F.col("_unit")
+    return rows.groupBy(*unit).agg(
+        F.sum(weight).alias("_c"),
+        F.min("_v").alias("_lo"),
+        F.max("_v").alias("_hi"),
+        F.sum(offset * weight).alias("_d1"),
+        F.sum(offset * offset * weight).alias("_d2"),
+        *[
+            F.sum(F.when(rule(F.col("_v")), weight).otherwise(0)).alias(name)
+            for name, rule in counts.items()
+        ],
+    )
+
+
+def price_profile(df, by, value, quantiles, few_groups=False, counts=None):
+    """Count, avg, std, min, max and quantiles of ``value`` per ``by``.
+
+    ``quantiles`` maps output names to fractions, interpolated linearly;
+    ``counts`` maps names to conditions on the value to be counted.
+    ``few_groups`` states that the number of groups is fixed (the whole market,
+    the hours of a day): the rank targets then are a handful of rows, so they
+    are broadcast and the second pass over the data shuffles only the units they
+    name. Without it the targets grow with the groups and are joined by shuffle.
     """
-    by = list(by)
+    by, counts = list(by), dict(counts or {})
     unit = [*by, "_unit"]
     rows = df.where(F.col(value).isNotNull()).select(
         *by, F.col(value).alias("_v"), F.floor(value).cast("long").alias("_unit")
     )
+    one = F.lit(1).cast("long")
     if few_groups:
-        per_unit = rows.groupBy(*unit).agg(F.count(F.lit(1)).alias("_c"))
+        per_unit = _per_unit(rows, unit, one, counts)
     else:
-        rows = rows.groupBy(*unit, "_v").agg(F.count(F.lit(1)).alias("_c"))
-        per_unit = rows.groupBy(*unit).agg(F.sum("_c").alias("_c"))
+        rows = rows.groupBy(*unit, "_v").agg(F.sum(one).alias("_c"))
+        per_unit = _per_unit(rows, unit, F.col("_c"), counts)
 
     group = Window.partitionBy(*by)
     upto = group.orderBy("_unit").rowsBetween(Window.unboundedPreceding, 0)
-    placed = per_unit.select(
-        *unit,
-        "_c",
-        (F.sum("_c").over(upto) - F.col("_c")).alias("_before"),
-        F.sum("_c").over(group).alias("_n"),
+    edge = F.col("_unit") - F.col("avg")
+    placed = (
+        per_unit.withColumn("_before", F.sum("_c").over(upto) - F.col("_c"))
+        .withColumn("_n", F.sum("_c").over(group))
+        .withColumn("min", F.min("_lo").over(group))
+        .withColumn("max", F.max("_hi").over(group))
+        .withColumn(
+            "avg", F.sum(F.col("_unit") * F.col("_c") + F.col("_d1")).over(group) / F.col("_n")
+        )
+        .withColumn(
+            "_m2",
+            F.sum(F.col("_d2") + 2 * edge * F.col("_d1") + F.col("_c") * edge * edge).over(group),
+        )
+        .withColumn(
+            "std",
+            F.sqrt(F.greatest("_m2", F.lit(0.0)) / F.nullif(F.col("_n") - 1, F.lit(0))),
+        )
     )
-
-    def position(fraction):
-        return F.lit(float(fraction)) * (F.col("_n") - 1)
-
-    def holds(rank, first, count):
-        return (rank >= first) & (rank < first + count)
+    for name in counts:
+        placed = placed.withColumn(name, F.sum(name).over(group))
+    facts = ["avg", "std", "min", "max", *counts]
 
     wanted = F.lit(False)
     for fraction in quantiles.values():
-        for rank in (F.floor(position(fraction)), F.ceil(position(fraction))):
-            wanted = wanted | holds(rank, F.col("_before"), F.col("_c"))
-    targets = placed.where(wanted).select(*unit, "_before", "_n")
+        for rank in _ranks(fraction):
+            wanted = wanted | _holds(rank, "_before")
+    targets = placed.where(wanted).select(*unit, "_before", "_n", *facts)
 
+    carried = [F.max(name).alias(name) for name in facts]
     if few_groups:
         rows = (
             rows.join(F.broadcast(targets), unit)
             .groupBy(*unit, "_before", "_n", "_v")
-            .agg(F.count(F.lit(1)).alias("_c"))
+            .agg(F.count(F.lit(1)).alias("_c"), *carried)
         )
     else:
         rows = rows.join(targets, unit)
 
     within = (
-        Window.partitionBy(*unit)
-        .orderBy("_v")
-        .rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*unit).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )
-    ranked = rows.select(
-        *by,
-        F.col("_v").cast("double").alias("_v"),
-        "_n",
-        "_c",
-        (F.col("_before") + F.sum("_c").over(within) - F.col("_c")).alias("_first"),
+    ranked = rows.withColumn(
+        "_first", F.col("_before") + F.sum("_c").over(within) - F.col("_c")
     )
-
-    picks = [F.max("_n").alias("_n")]
+    picks = []
     for name, fraction in quantiles.items():
-        for side, edge in (("lo", F.floor), ("hi", F.ceil)):
-            hit = holds(edge(position(fraction)), F.col("_first"), F.col("_c"))
-            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}_{name}"))
-    ends = ranked.groupBy(*by).agg(*picks)
+        for side, rank in zip(("lo", "hi"), _ranks(fraction)):
+            hit = F.when(_holds(rank, "_first"), F.col("_v").cast("double"))
+            picks.append(F.max(hit).alias(f"_{side}_{name}"))
+    ends = ranked.groupBy(*by).agg(F.max("_n").alias("_n"), *carried, *picks)
 
     def interpolate(name, fraction):
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        share = position(fraction) - F.floor(position(fraction))
+        share = _position(fraction) - F.floor(_position(fraction))
         return (low + (high - low) * share).alias(name)
 
-    return ends.select(*by, *[interpolate(n, p) for n, p in quantiles.items()])
+    return ends.select(
+        *by,
+        F.coalesce("_n", F.lit(0)).alias("count"),
+        *facts,
+        *[interpolate(name, fraction) for name, fraction in quantiles.items()],
+    )
+
+
+def exact_quantiles(df, by, value, quantiles, few_groups=False):
+    """The quantiles of :func:`price_profile` alone."""
+    return price_profile(df, by, value, quantiles, few_groups).select(*by, *quantiles)
 
 
 def quantile_scalar(df, value, fraction):

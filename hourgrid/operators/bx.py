@@ -198,18 +198,12 @@ def bx_zone_of_means(df, mapping, bx_values=None):
 def bx_zone_hourly(zone_hourly, bx_values=None):
     """Bx of published hourly zone prices; Overall averages the zones first."""
     values = check_bx(bx_values)
-    per_zone = zone_hourly.select(
-        "zone",
-        "opr_dt",
-        F.col("hour_num").alias("hour"),
-        F.col("lmp").cast("double").alias("price"),
-    )
-    overall = (
-        zone_hourly.groupBy("opr_dt", F.col("hour_num").alias("hour"))
+    hourly = (
+        zone_hourly.withColumn("_zone", F.explode(F.array(F.col("zone"), F.lit(OVERALL))))
+        .groupBy(F.col("_zone").alias("zone"), "opr_dt", F.col("hour_num").alias("hour"))
         .agg(F.avg("lmp").cast("double").alias("price"))
-        .select(F.lit(OVERALL).alias("zone"), "opr_dt", "hour", "price")
     )
-    return _zone_daily(_bx_of_hourly(per_zone.unionByName(overall), values), "_avg")
+    return _zone_daily(_bx_of_hourly(hourly, values), "_avg")
 
 
 def common_bx_hours(df, bx):

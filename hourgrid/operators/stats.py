@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from hourgrid.functions.filters import filter_prices, require_columns
-from hourgrid.functions.quantiles import exact_quantiles, quantile_scalar
+from hourgrid.functions.quantiles import price_profile, quantile_scalar
 from hourgrid.functions.rounding import round_to
 from hourgrid.schemas import MARKET, PEAK_HOURS
+from hourgrid.session import cut_lineage
 
 QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -28,26 +29,14 @@ def cheapest_operational_hours(df, n_hours=5, start=None, end=None, exclude_zero
 def price_statistics(df, start=None, end=None, exclude_zero=True, market_summary=False):
     """Count, mean, spread and quantiles per node, or one market row."""
     rows = filter_prices(df, start, end, exclude_zero=exclude_zero)
-    basics = [
-        F.count(F.lit(1)).alias("count"),
-        F.avg("mw").alias("mean"),
-        F.stddev_samp("mw").alias("std"),
-        F.min("mw").alias("min"),
-        F.max("mw").alias("max"),
-    ]
     if market_summary:
-        points = exact_quantiles(rows, [], "mw", QUARTILES, few_groups=True)
-        joined = rows.agg(*basics).select(
-            F.lit(MARKET).alias("node"),
-            "*",
-            points.select(F.struct(*QUARTILES)).scalar().alias("points"),
-        )
-        joined = joined.select("*", "points.*").drop("points")
+        profile = price_profile(rows, [], "mw", QUARTILES, few_groups=True)
+        profile = profile.withColumn("node", F.lit(MARKET))
     else:
-        points = exact_quantiles(rows, ["node"], "mw", QUARTILES)
-        joined = rows.groupBy("node").agg(*basics).join(points, "node")
+        profile = price_profile(rows, ["node"], "mw", QUARTILES)
+    profile = profile.withColumnRenamed("avg", "mean")
     measures = ["mean", "median", "std", "min", "max", "p25", "p75", "p95"]
-    return joined.select(
+    return profile.select(
         "node", "count", *[round_to(name, 2).alias(name) for name in measures]
     ).orderBy("mean", "node")
 
@@ -55,17 +44,17 @@ def price_statistics(df, start=None, end=None, exclude_zero=True, market_summary
 def node_price_statistics(df, node=None, start=None, end=None):
     """Unrounded statistics per node over all prices, negative ones included."""
     rows = filter_prices(df, start, end, node, exclude_zero=False)
-    points = exact_quantiles(rows, ["node"], "mw", QUARTILES)
     return (
-        rows.groupBy("node")
-        .agg(
-            F.count(F.lit(1)).alias("record_count"),
-            F.avg("mw").alias("avg_price"),
-            F.min("mw").alias("min_price"),
-            F.max("mw").alias("max_price"),
-            F.stddev_samp("mw").alias("std_price"),
+        price_profile(rows, ["node"], "mw", QUARTILES)
+        .select(
+            "node",
+            F.col("count").alias("record_count"),
+            F.col("avg").alias("avg_price"),
+            F.col("min").alias("min_price"),
+            F.col("max").alias("max_price"),
+            F.col("std").alias("std_price"),
+            *QUARTILES,
         )
-        .join(points, "node")
         .orderBy("avg_price", "node")
     )
 
@@ -73,14 +62,11 @@ def node_price_statistics(df, node=None, start=None, end=None):
 def hourly_averages(df, start=None, end=None, exclude_zero=True):
     """Average, median and spread for each hour of the day."""
     rows = filter_prices(df, start, end, exclude_zero=exclude_zero)
-    medians = exact_quantiles(rows, ["opr_hr"], "mw", {"median": 0.5}, few_groups=True)
     return (
-        rows.groupBy("opr_hr")
-        .agg(F.avg("mw").alias("mw"), F.stddev_samp("mw").alias("std"))
-        .join(medians, "opr_hr")
+        price_profile(rows, ["opr_hr"], "mw", {"median": 0.5}, few_groups=True)
         .select(
             F.col("opr_hr").alias("hour"),
-            round_to("mw", 2).alias("mw"),
+            round_to("avg", 2).alias("mw"),
             round_to("median", 2).alias("median"),
             round_to("std", 2).alias("std"),
         )
@@ -103,8 +89,12 @@ def hourly_stats_raw(df, start=None, end=None):
 
 
 def percentile_nodes(df, percentile=10, start=None, end=None, exclude_zero=True):
-    """Nodes whose average lies at or below a percentile of all node averages."""
-    nodes = (
+    """Nodes whose average lies at or below a percentile of all node averages.
+
+    The averages are needed for the threshold and for the answer, so they (one
+    row per node) are kept in the shared folder and the prices are scanned once.
+    """
+    nodes = cut_lineage(
         filter_prices(df, start, end, exclude_zero=exclude_zero)
         .groupBy("node")
         .agg(
@@ -191,19 +181,9 @@ def congestion_analysis(df, start=None, end=None, exclude_zero=True):
         end,
         exclude_zero=exclude_zero,
     )
-    medians = exact_quantiles(rows, ["node"], "mcc", {"median": 0.5})
-    positive = F.count(F.when(F.col("mcc") > 0, 1))
+    positive = {"positive_congestion_hours": lambda mcc: mcc > 0}
     return (
-        rows.groupBy("node")
-        .agg(
-            F.avg("mcc").alias("avg"),
-            F.stddev_samp("mcc").alias("std"),
-            F.min("mcc").alias("min"),
-            F.max("mcc").alias("max"),
-            positive.alias("positive_congestion_hours"),
-            F.count(F.lit(1)).alias("total_hours"),
-        )
-        .join(medians, "node")
+        price_profile(rows, ["node"], "mcc", {"median": 0.5}, counts=positive)
         .select(
             "node",
             round_to("avg", 2).alias("avg_congestion"),
@@ -212,9 +192,9 @@ def congestion_analysis(df, start=None, end=None, exclude_zero=True):
             round_to("min", 2).alias("min_congestion"),
             round_to("max", 2).alias("max_congestion"),
             "positive_congestion_hours",
-            "total_hours",
+            F.col("count").alias("total_hours"),
             round_to(
-                F.col("positive_congestion_hours") * 100.0 / F.col("total_hours"), 2
+                F.col("positive_congestion_hours") * 100.0 / F.col("count"), 2
             ).alias("congestion_frequency"),
         )
         .orderBy(F.col("congestion_frequency").desc(), "node")
@@ -228,26 +208,17 @@ def node_hourly_prices(
     if method.lower() not in ("avg", "median"):
         raise ValueError(f"method must be 'avg' or 'median', got {method!r}")
     rows = filter_prices(df, start, end, node, exclude_zero)
-    result = rows.groupBy("opr_hr", "node").agg(
-        F.avg("mw").alias("price"),
-        F.count(F.lit(1)).alias("data_points"),
-        F.min("mw").alias("min_price"),
-        F.max("mw").alias("max_price"),
-        F.stddev_samp("mw").alias("price_std"),
+    profile = price_profile(
+        rows, ["opr_hr"], "mw", {"median": 0.5}, few_groups=True
     )
-    if method.lower() == "median":
-        medians = exact_quantiles(
-            rows, ["opr_hr"], "mw", {"price": 0.5}, few_groups=True
-        )
-        result = result.drop("price").join(medians, "opr_hr")
-    return result.select(
+    return profile.select(
         F.col("opr_hr").alias("operational_hour"),
-        "node",
-        round_to("price", 2).alias("price"),
-        "data_points",
-        round_to("min_price", 2).alias("min_price"),
-        round_to("max_price", 2).alias("max_price"),
-        round_to("price_std", 2).alias("price_std"),
+        F.lit(node).alias("node"),
+        round_to(method.lower(), 2).alias("price"),
+        F.col("count").alias("data_points"),
+        round_to("min", 2).alias("min_price"),
+        round_to("max", 2).alias("max_price"),
+        round_to("std", 2).alias("price_std"),
     ).orderBy("operational_hour")
 
 

@@ -5,6 +5,8 @@ the same tables in another engine; both sides show fractions with four decimals.
 """
 
 import datetime as dt
+import io
+import zipfile
 
 from pyspark.sql import functions as F
 
@@ -103,8 +105,8 @@ def stored(value):
     return f"CAST(ROUND(CAST({value} AS DECIMAL(20,8)),4) AS DECIMAL(12,4))"
 
 
-def _daily(average):
-    return f"""{BX}, {RANKED},
+def _daily_cte(average):
+    return f"""
 daily AS (
   SELECT node, max(zone) AS zone, opr_dt, bx_type, {average} AS avg_price,
          min(opr_hr) AS min_hour, max(opr_hr) AS max_hour
@@ -112,8 +114,8 @@ daily AS (
   GROUP BY node, opr_dt, bx_type)"""
 
 
-DAILY = _daily(stored("avg(mw)"))
-DAILY_EXACT = _daily("avg(mw)")
+DAILY = f"{BX}, {RANKED}, {_daily_cte(stored('avg(mw)'))}"
+DAILY_EXACT = f"{BX}, {RANKED}, {_daily_cte('avg(mw)')}"
 
 
 def pooled(source):
@@ -650,11 +652,11 @@ def _(t):
     "pending_bx",
     f"""WITH {LONG}, {DAILY} SELECT DISTINCT p.opr_dt, b.bx_type FROM prices p, bx_values b
     WHERE NOT EXISTS (SELECT 1 FROM daily d WHERE d.opr_dt = p.opr_dt AND d.bx_type = b.bx_type
-    AND length(d.node) > 4 AND d.bx_type % 2 = 0)""",
+    AND d.opr_dt < DATE '1998-01-01')""",
 )
 def _(t):
-    partly = bx.bx_daily(t.long()).where("length(node) > 4 AND bx_type % 2 = 0")
-    return bx.pending_bx(t.long(), partly)
+    prices = t.long()
+    return bx.pending_bx(prices, bx.bx_daily(prices).where("opr_dt < DATE '1998-01-01'"))
 
 
 # ------------------------------------------------------------------- roll-ups
@@ -944,14 +946,12 @@ def _(t):
 @query(
     "pivot_month_hour",
     f"""WITH {LONG}, cells AS (SELECT CAST(month(opr_dt) AS INT) AS month, opr_hr AS hour,
-    avg(mw) AS v FROM prices WHERE opr_dt BETWEEN DATE '1997-03-01' AND DATE '1997-10-31'
-    GROUP BY 1, 2)
+    avg(mw) AS v FROM prices WHERE {IN_1997} GROUP BY 1, 2)
     SELECT CAST(m.month AS INT) AS month, {_hour_matrix('v')}
     FROM range(1, 13) m(month) LEFT JOIN cells c ON c.month = m.month GROUP BY m.month""",
 )
 def _(t):
-    some = t.long().where("opr_dt BETWEEN DATE '1997-03-01' AND DATE '1997-10-31'")
-    cells = heatmaps.month_hour_heatmap(some, t.long_map())
+    cells = heatmaps.month_hour_heatmap(t.long(), t.long_map(), 1997)
     return heatmaps.pivot_month_hour(heatmaps.read_heatmap(cells))
 
 
@@ -1359,34 +1359,91 @@ def _(t):
     return jobs.refresh_mapping(t.spark, f"{base}/zones", f"{base}/nodes", f"{base}/table")
 
 
-def _zip_days(batches):
-    """One archive per row of (file, text)."""
-    import io
-    import zipfile
+def _zip(file, text):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr(file.replace(".zip", "_PRC_LMP_DAM_LMP.csv"), text)
+    return buffer.getvalue()
 
+
+def _zip_days(batches):
+    """Archives in memory, one per row of (path, text)."""
     for batch in batches:
-        packed = []
-        for file, text in zip(batch["path"], batch["text"]):
-            buffer = io.BytesIO()
-            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-                archive.writestr(file.replace(".zip", "_PRC_LMP_DAM_LMP.csv"), text)
-            packed.append(buffer.getvalue())
+        packed = [_zip(file, text) for file, text in zip(batch["path"], batch["text"])]
         yield batch.assign(content=packed)[["path", "content"]]
 
 
-@query("ingest_zip", f"WITH {DENSE} {_KEY_PRICE}")
-def _(t):
+def _save_zips(folder):
+    """Archives as files of the shared folder, written by the tasks."""
+
+    def save(batches):
+        from pyarrow import fs
+
+        target = f"{folder}/"
+        for batch in batches:
+            for file, text in zip(batch["path"], batch["text"]):
+                system, path = fs.FileSystem.from_uri(target + file)
+                system.create_dir(path.rsplit("/", 1)[0])
+                with system.open_output_stream(path) as out:
+                    out.write(_zip(file, text))
+            yield batch[["path"]]
+
+    return save
+
+
+def _day_texts(prices):
+    """Archive name and CSV text per day.
+
+    The dense table has one row per nation and hour, so a day's text is bounded
+    however large the event table is.
+    """
     day = F.date_format("opr_dt", "yyyyMMdd")
     line = F.concat_ws(",", "opr_dt", "opr_hr", "node", "mw")
-    days = (
-        t.dense()
-        .groupBy(F.concat(day, F.lit("_"), day, F.lit("_DAM_LMP_GRP.zip")).alias("path"))
-        .agg(F.concat_ws("\n", F.lit("OPR_DT,OPR_HR,NODE,MW"), F.collect_list(line)).alias("text"))
-    )
-    packed = days.mapInPandas(_zip_days, "path string, content binary")
+    header = F.lit("OPR_DT,OPR_HR,NODE,MW")
+    return prices.groupBy(
+        F.concat(day, F.lit("_"), day, F.lit("_DAM_LMP_GRP.zip")).alias("path")
+    ).agg(F.concat_ws("\n", header, F.collect_list(line)).alias("text"))
+
+
+@query("ingest_zip", f"WITH {DENSE} {_KEY_PRICE}")
+def _(t):
+    packed = _day_texts(t.dense()).mapInPandas(_zip_days, "path string, content binary")
     return archives.ingest_zip(packed).select("node", "opr_dt", "opr_hr", "mw")
 
 
+def _landing(t, base):
+    saved = _day_texts(t.dense()).mapInPandas(_save_zips(f"{base}/landing"), "path string")
+    saved.write.parquet(f"{base}/saved")
+    return f"{base}/landing"
+
+
+@query(
+    "load_batch",
+    f"""WITH {pooled(DENSE)}, {_daily_cte('avg(mw)')} SELECT 'node' AS level, node, opr_dt, bx_type,
+    CAST({stored('avg_price')} AS DOUBLE) AS avg_price FROM daily
+    UNION ALL {_ZONE_ROWS}""",
+)
+def _(t):
+    base = scratch_path(t.spark, "load")
+    landing, mapping = _landing(t, base), t.dense_map()
+    for batch_size in (10, None, None):
+        jobs.load_batch(
+            t.spark, landing, f"{base}/prices", f"{base}/daily", mapping, batch_size
+        )
+    daily = t.spark.read.parquet(f"{base}/daily")
+    return daily.select("level", "node", "opr_dt", "bx_type", "avg_price")
+
+
+@query("reprocess_year", f"WITH {DENSE} {_KEY_PRICE}")
+def _(t):
+    base = scratch_path(t.spark, "again")
+    landing = _landing(t, base)
+    jobs.load_batch(t.spark, landing, f"{base}/prices", batch_size=12)
+    jobs.reprocess_year(t.spark, 2024, landing, f"{base}/prices")
+    rows = store.read_prices(t.spark, f"{base}/prices")
+    return rows.select("node", "opr_dt", "opr_hr", "mw")
+
+
 @query(
     "upsert_table",
     f"""WITH {LONG}, {DAILY} SELECT level, node, opr_dt, bx_type,
@@ -1401,7 +1458,7 @@ def _(t):
         rows.where(_UPSERT_OLD),
         rows.where(_UPSERT_NEW).withColumn("avg_price", raised),
     ):
-        store.upsert_table(t.spark, path, part, jobs.BX_KEY, ["year"])
+        store.upsert_table(t.spark, path, part, jobs.BX_KEY, "year")
     return t.spark.read.parquet(path).select("level", "node", "opr_dt", "bx_type", "avg_price")
 
 
@@ -1416,7 +1473,7 @@ def _(t):
     rows = bx.bx_daily(t.long()).withColumn("year", F.year("opr_dt"))
     raised = (F.col("avg_price") + 1).cast("decimal(12,4)")
     for part in (rows.where(_UPSERT_OLD), rows.withColumn("avg_price", raised)):
-        store.insert_ignore_table(t.spark, path, part, jobs.BX_KEY, ["year"])
+        store.insert_ignore_table(t.spark, path, part, jobs.BX_KEY, "year")
     return t.spark.read.parquet(path).select("node", "opr_dt", "bx_type", "avg_price")
 
 
@@ -1430,7 +1487,7 @@ def _(t):
 def _(t):
     base = scratch_path(t.spark, "rollup")
     daily = bx.bx_daily(t.long()).withColumn("year", F.year("opr_dt"))
-    store.upsert_table(t.spark, f"{base}/daily", daily, jobs.BX_KEY, ["year"])
+    store.upsert_table(t.spark, f"{base}/daily", daily, jobs.BX_KEY, "year")
     jobs.rollup_job(t.spark, f"{base}/daily", f"{base}/monthly", f"{base}/annual")
     layout = "node string, {} string, bx_type int, avg_price double, min_price double, " \
         "max_price double, day_count long"

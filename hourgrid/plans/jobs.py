@@ -16,7 +16,6 @@ from hourgrid.session import cut_lineage
 from hourgrid.sources import archives, store
 from hourgrid.sources.columns import typed_prices
 from hourgrid.sources.csv_files import read_mapping
-from hourgrid.sources.paths import list_folders
 
 PRICE_KEY = ["node", "opr_dt", "opr_hr"]
 BX_KEY = ["level", "node", "opr_dt", "bx_type"]
@@ -31,12 +30,7 @@ def all_bx(prices, mapping, bx_values=None):
 
 def store_bx(spark, prices, mapping, daily_path, bx_values=None):
     """Calculate and upsert the Bx of the given prices."""
-    store.upsert_table(spark, daily_path, all_bx(prices, mapping, bx_values), BX_KEY, ["opr_dt"])
-
-
-def days_of_store(spark, store_path, dates):
-    """Stored prices of some days; the semi join prunes the other folders."""
-    return store.read_prices(spark, store_path).join(dates, "opr_dt", "left_semi")
+    store.upsert_table(spark, daily_path, all_bx(prices, mapping, bx_values), BX_KEY, "opr_dt")
 
 
 def load_batch(spark, archive_path, store_path, daily_path=None, mapping=None, batch_size=None):
@@ -69,8 +63,8 @@ def load_batch(spark, archive_path, store_path, daily_path=None, mapping=None, b
     rows = typed_prices(batch.where(F.col("error").isNull()).withColumnRenamed("row_no", "row_id"))
     store.write_daily(dedupe_keep_first(rows, PRICE_KEY, ["source_file", "row_id"]), store_path)
     if daily_path is not None:
-        days = rows.select("opr_dt").distinct()
-        store_bx(spark, days_of_store(spark, store_path, days), mapping, daily_path)
+        loaded = store.on_days(store.read_prices(spark, store_path), rows)
+        store_bx(spark, loaded, mapping, daily_path)
     loaded = archives.archive_status(batch).withColumn(
         "status", F.when(F.col("error").isNull(), "processed").otherwise("error")
     )
@@ -101,9 +95,9 @@ def reprocess_year(spark, year, archive_path, store_path, batch_size=None):
 def backfill_bx(spark, store_path, daily_path, mapping, year=None):
     """Calculate Bx for the stored days that have none."""
     days = in_year(store.stored_dates(spark, store_path), year)
-    if list_folders(spark, daily_path):
-        days = missing_bx_dates(days, spark.read.parquet(daily_path))
-    store_bx(spark, days_of_store(spark, store_path, days), mapping, daily_path)
+    missing = missing_bx_dates(days, store.stored_days(spark, daily_path))
+    prices = store.on_days(store.read_prices(spark, store_path), missing)
+    store_bx(spark, prices, mapping, daily_path)
 
 
 def rollup_job(spark, daily_path, monthly_path, annual_path, year=None):
@@ -111,21 +105,21 @@ def rollup_job(spark, daily_path, monthly_path, annual_path, year=None):
     daily = spark.read.parquet(daily_path)
     monthly = bx_monthly(daily, year)
     store.upsert_table(
-        spark, monthly_path, monthly, ["node", "year_month", "bx_type"], ["year_month"]
+        spark, monthly_path, monthly, ["node", "year_month", "bx_type"], "year_month"
     )
     store.upsert_table(
-        spark, annual_path, bx_annual(daily, year), ["node", "year", "bx_type"], ["year"]
+        spark, annual_path, bx_annual(daily, year), ["node", "year", "bx_type"], "year"
     )
 
 
 def summarise_days(spark, store_path, summary_path, start=None, end=None):
     """Node-day summaries for the stored days that have none yet."""
-    prices = date_window(store.read_prices(spark, store_path), start, end)
-    done = None
-    if list_folders(spark, summary_path):
-        done = spark.read.parquet(summary_path).select("opr_dt").distinct()
-    rows = node_daily_summary(prices, done)
-    store.upsert_table(spark, summary_path, rows, ["node", "opr_dt"], ["opr_dt"])
+    days = date_window(store.stored_dates(spark, store_path), start, end)
+    missing = missing_bx_dates(days, store.stored_days(spark, summary_path))
+    prices = store.on_days(store.read_prices(spark, store_path), missing)
+    store.upsert_table(
+        spark, summary_path, node_daily_summary(prices), ["node", "opr_dt"], "opr_dt"
+    )
 
 
 def refresh_heatmap(spark, store_path, mapping, heatmap_path, year):

@@ -67,12 +67,21 @@ def merge_daily(spark, df, path):
     """
     rows = df.select(*[c for c in PRICE_COLUMNS if c in df.columns])
     if list_day_folders(spark, path):
-        days = rows.select("opr_dt").distinct()
-        old = read_prices(spark, path).join(days, "opr_dt", "left_semi")
+        old = on_days(read_prices(spark, path), rows)
         rows = cut_lineage(upsert_keep_latest(old, rows, ["node", "opr_dt", "opr_hr"]))
     write_daily(rows, path)
 
 
+def on_days(prices, dates):
+    """Prices of the days that occur in ``dates``.
+
+    The days (one value each, so a calendar's worth at most) become a literal
+    list, because only a literal filter prunes the folders of a plain scan.
+    """
+    days = [row.opr_dt for row in dates.select("opr_dt").distinct().collect()]
+    return prices.where(F.col("opr_dt").isin(days))
+
+
 def read_prices(spark, path):
     """The whole day store; filters on ``opr_dt`` prune folders."""
     schema = PRICE_SCHEMA.simpleString()[len("struct<"):-1].replace(":", " ")
@@ -139,43 +148,50 @@ def clear_year(spark, path, year):
     return clear_range(spark, path, dt.date(year, 1, 1), dt.date(year, 12, 31))
 
 
-def _write_table(df, path, partition_by, mode):
+def _write_table(df, path, partition, mode):
     (
-        df.hint("rebalance", *partition_by)
+        df.hint("rebalance", partition)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition_by)
+        .partitionBy(partition)
         .parquet(path)
     )
 
 
-def _touched(spark, path, new, partition_by):
-    """The stored rows in the partitions that ``new`` falls into."""
-    stored = spark.read.schema(new.schema).parquet(path)
-    parts = new.select(*partition_by).distinct()
-    return stored.join(parts, list(partition_by), "left_semi")
+def stored_days(spark, path):
+    """Days of a summary table that is partitioned by day."""
+    names = [name.split("=")[1] for name in paths.list_folders(spark, path)]
+    return spark.createDataFrame([(dt.date.fromisoformat(n),) for n in names], "opr_dt date")
+
+
+def _touched(spark, path, new, partition):
+    """The stored rows in the partitions that ``new`` falls into.
+
+    Partition values are few and become literals, so other folders are not read.
+    """
+    values = [row[0] for row in new.select(partition).distinct().collect()]
+    return spark.read.schema(new.schema).parquet(path).where(F.col(partition).isin(values))
 
 
-def upsert_table(spark, path, new, keys, partition_by):
+def upsert_table(spark, path, new, keys, partition):
     """Insert or replace rows by key, rewriting only the partitions they touch.
 
-    The merged partitions are cut from their inputs before the write, because
-    the write replaces the files they were read from.
+    The new rows are kept in the shared folder, since they are read twice; the
+    merged partitions are cut from their inputs before the write replaces those.
     """
+    rows = cut_lineage(dedupe_keep_first(new, keys, [F.lit(1)]))
     if paths.list_folders(spark, path):
-        old = _touched(spark, path, new, partition_by)
-        rows = cut_lineage(upsert_keep_latest(old, new, keys))
-    else:
-        rows = dedupe_keep_first(new, keys, [F.lit(1)])
-    _write_table(rows, path, partition_by, "overwrite")
+        old = _touched(spark, path, rows, partition)
+        rows = cut_lineage(upsert_keep_latest(old, rows, keys))
+    _write_table(rows, path, partition, "overwrite")
 
 
-def insert_ignore_table(spark, path, new, keys, partition_by):
+def insert_ignore_table(spark, path, new, keys, partition):
     """Append the rows whose key is not stored yet."""
-    rows = dedupe_keep_first(new, keys, [F.lit(1)])
+    rows = cut_lineage(dedupe_keep_first(new, keys, [F.lit(1)]))
     if paths.list_folders(spark, path):
-        rows = insert_ignore(_touched(spark, path, rows, partition_by), rows, keys)
-    _write_table(rows, path, partition_by, "append")
+        rows = insert_ignore(_touched(spark, path, rows, partition), rows, keys)
+    _write_table(rows, path, partition, "append")
 
 
 def replace_table(df, path):

@@ -7,7 +7,7 @@ replayed after a failure gives the same tables.
 """
 
 from hourgrid.operators.cleaning import dedupe_keep_first
-from hourgrid.plans.jobs import PRICE_KEY, days_of_store, store_bx
+from hourgrid.plans.jobs import PRICE_KEY, store_bx
 from hourgrid.schemas import ARCHIVE_GLOB
 from hourgrid.session import cut_lineage
 from hourgrid.sources import archives, store
@@ -38,8 +38,8 @@ def stream_daily_ingest(prices, store_path, checkpoint, daily_path=None, mapping
         rows = cut_lineage(dedupe_keep_first(batch, PRICE_KEY, order))
         store.merge_daily(spark, rows, store_path)
         if daily_path is not None:
-            days = rows.select("opr_dt").distinct()
-            store_bx(spark, days_of_store(spark, store_path, days), mapping, daily_path)
+            days = store.on_days(store.read_prices(spark, store_path), rows)
+            store_bx(spark, days, mapping, daily_path)
 
     return (
         prices.writeStream.foreachBatch(merge)
