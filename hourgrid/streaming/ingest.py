@@ -12,11 +12,14 @@ from hourgrid.schemas import ARCHIVE_GLOB
 from hourgrid.session import cut_lineage
 from hourgrid.sources import archives, store
 
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
 
 def archive_stream(spark, landing, max_files=20):
     """Price rows of archives as they arrive."""
     raw = (
         spark.readStream.format("binaryFile")
+        .schema(BINARY_FILE)
         .option("pathGlobFilter", ARCHIVE_GLOB)
         .option("maxFilesPerTrigger", max_files)
         .load(landing)
