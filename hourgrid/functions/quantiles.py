@@ -3,15 +3,19 @@
 The built-in exact ``percentile`` keeps a value map of the whole group in one
 task, which a market-wide or hot group does not survive. Here the prices are
 first summed up per whole currency unit. Running counts over those few rows say
-which unit holds each wanted rank, and only that unit is resolved value by
-value. A stored price has four decimals, so one unit holds at most 10,000
-distinct values, and equal values are combined before they are shuffled. The
-moments come from the same per-unit rows, so they cost no further scan.
+which unit holds each wanted rank, and only the units so named are resolved value
+by value in a second pass. A stored price has four decimals, so one unit holds at
+most 10,000 distinct values, and equal values are combined before they are
+shuffled. The moments come from the per-unit rows, so they cost no further scan.
 """
 
 from pyspark.sql import Window, functions as F
 
-MOMENTS = ("count", "avg", "std", "min", "max")
+from hourgrid.session import cut_lineage
+
+# Up to this many rank targets (fixed-width rows and a group key, some 10 MB) the
+# second pass filters by a broadcast; beyond it the join is shuffled.
+BROADCAST_TARGETS = 100_000
 
 
 def _position(fraction):
@@ -27,88 +31,99 @@ def _holds(rank, first):
     return (rank >= F.col(first)) & (rank < F.col(first) + F.col("_c"))
 
 
-def _per_unit(rows, unit, weight, counts):
+def _per_unit(rows, unit, counts):
     """Count, extremes and offsets from the unit's lower edge, per unit."""
     offset = F.col("_v").cast("double") - F.col("_unit")
     return rows.groupBy(*unit).agg(
-        F.sum(weight).alias("_c"),
+        F.count(F.lit(1)).alias("_c"),
         F.min("_v").alias("_lo"),
         F.max("_v").alias("_hi"),
-        F.sum(offset * weight).alias("_d1"),
-        F.sum(offset * offset * weight).alias("_d2"),
-        *[
-            F.sum(F.when(rule(F.col("_v")), weight).otherwise(0)).alias(name)
-            for name, rule in counts.items()
-        ],
+        F.sum(offset).alias("_d1"),
+        F.sum(offset * offset).alias("_d2"),
+        *[F.count(F.when(rule(F.col("_v")), 1)).alias(n) for n, rule in counts.items()],
+    )
+
+
+def _placed(per_unit, by, counts):
+    """Every unit with the rank it starts at and the moments of its group."""
+    group = Window.partitionBy(*by)
+    upto = group.orderBy("_unit").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.col("_unit") * F.col("_c") + F.col("_d1")
+    # Two unordered windows: the second needs the mean of the first.
+    sums = per_unit.select(
+        *by,
+        "_unit",
+        "_c",
+        "_d1",
+        "_d2",
+        F.sum("_c").over(upto).alias("_upto"),
+        F.sum("_c").over(group).alias("_n"),
+        F.sum(total).over(group).alias("_total"),
+        F.min("_lo").over(group).alias("min"),
+        F.max("_hi").over(group).alias("max"),
+        *[F.sum(name).over(group).alias(name) for name in counts],
     )
+    edge = F.col("_unit") - F.col("_total") / F.col("_n")
+    squares = F.col("_d2") + 2 * edge * F.col("_d1") + F.col("_c") * edge * edge
+    return sums.select(
+        *by,
+        "_unit",
+        "_c",
+        "_n",
+        "min",
+        "max",
+        *counts,
+        (F.col("_upto") - F.col("_c")).alias("_before"),
+        (F.col("_total") / F.col("_n")).alias("avg"),
+        F.sum(squares).over(group).alias("_m2"),
+    ).withColumn(
+        "std", F.sqrt(F.greatest("_m2", F.lit(0.0)) / F.nullif(F.col("_n") - 1, F.lit(0)))
+    )
+
+
+def _resolve(rows, targets, unit):
+    """Distinct values of the target units with their counts.
+
+    The staged targets are counted: few are broadcast, so the rows of other
+    units go no further; many are joined by shuffle after equal values were combined,
+    which leaves at most one unit's distinct values per join key.
+    """
+    kept = [c for c in targets.columns if c not in unit]
+    if targets.count() <= BROADCAST_TARGETS:
+        carried = [F.max(c).alias(c) for c in kept]
+        return (
+            rows.join(F.broadcast(targets), unit)
+            .groupBy(*unit, "_v")
+            .agg(F.count(F.lit(1)).alias("_c"), *carried)
+        )
+    return rows.groupBy(*unit, "_v").agg(F.count(F.lit(1)).alias("_c")).join(targets, unit)
 
 
-def price_profile(df, by, value, quantiles, few_groups=False, counts=None):
+def price_profile(df, by, value, quantiles, counts=None):
     """Count, avg, std, min, max and quantiles of ``value`` per ``by``.
 
     ``quantiles`` maps output names to fractions, interpolated linearly;
-    ``counts`` maps names to conditions on the value to be counted.
-    ``few_groups`` states that the number of groups is fixed (the whole market,
-    the hours of a day): the rank targets then are a handful of rows, so they
-    are broadcast and the second pass over the data shuffles only the units they
-    name. Without it the targets grow with the groups and are joined by shuffle.
+    ``counts`` maps names to conditions on the value to be counted. The first
+    pass runs when the function is called, since its result decides how the
+    second one joins.
     """
     by, counts = list(by), dict(counts or {})
     unit = [*by, "_unit"]
     rows = df.where(F.col(value).isNotNull()).select(
         *by, F.col(value).alias("_v"), F.floor(value).cast("long").alias("_unit")
     )
-    one = F.lit(1).cast("long")
-    if few_groups:
-        per_unit = _per_unit(rows, unit, one, counts)
-    else:
-        rows = rows.groupBy(*unit, "_v").agg(F.sum(one).alias("_c"))
-        per_unit = _per_unit(rows, unit, F.col("_c"), counts)
-
-    group = Window.partitionBy(*by)
-    upto = group.orderBy("_unit").rowsBetween(Window.unboundedPreceding, 0)
-    edge = F.col("_unit") - F.col("avg")
-    placed = (
-        per_unit.withColumn("_before", F.sum("_c").over(upto) - F.col("_c"))
-        .withColumn("_n", F.sum("_c").over(group))
-        .withColumn("min", F.min("_lo").over(group))
-        .withColumn("max", F.max("_hi").over(group))
-        .withColumn(
-            "avg", F.sum(F.col("_unit") * F.col("_c") + F.col("_d1")).over(group) / F.col("_n")
-        )
-        .withColumn(
-            "_m2",
-            F.sum(F.col("_d2") + 2 * edge * F.col("_d1") + F.col("_c") * edge * edge).over(group),
-        )
-        .withColumn(
-            "std",
-            F.sqrt(F.greatest("_m2", F.lit(0.0)) / F.nullif(F.col("_n") - 1, F.lit(0))),
-        )
-    )
-    for name in counts:
-        placed = placed.withColumn(name, F.sum(name).over(group))
+    placed = _placed(_per_unit(rows, unit, counts), by, counts)
     facts = ["avg", "std", "min", "max", *counts]
-
     wanted = F.lit(False)
     for fraction in quantiles.values():
         for rank in _ranks(fraction):
             wanted = wanted | _holds(rank, "_before")
-    targets = placed.where(wanted).select(*unit, "_before", "_n", *facts)
-
-    carried = [F.max(name).alias(name) for name in facts]
-    if few_groups:
-        rows = (
-            rows.join(F.broadcast(targets), unit)
-            .groupBy(*unit, "_before", "_n", "_v")
-            .agg(F.count(F.lit(1)).alias("_c"), *carried)
-        )
-    else:
-        rows = rows.join(targets, unit)
+    targets = cut_lineage(placed.where(wanted).select(*unit, "_before", "_n", *facts))
 
     within = (
         Window.partitionBy(*unit).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )
-    ranked = rows.withColumn(
+    ranked = _resolve(rows, targets, unit).withColumn(
         "_first", F.col("_before") + F.sum("_c").over(within) - F.col("_c")
     )
     picks = []
@@ -116,6 +131,7 @@ def price_profile(df, by, value, quantiles, few_groups=False, counts=None):
         for side, rank in zip(("lo", "hi"), _ranks(fraction)):
             hit = F.when(_holds(rank, "_first"), F.col("_v").cast("double"))
             picks.append(F.max(hit).alias(f"_{side}_{name}"))
+    carried = [F.max(name).alias(name) for name in facts]
     ends = ranked.groupBy(*by).agg(F.max("_n").alias("_n"), *carried, *picks)
 
     def interpolate(name, fraction):
@@ -131,11 +147,11 @@ def price_profile(df, by, value, quantiles, few_groups=False, counts=None):
     )
 
 
-def exact_quantiles(df, by, value, quantiles, few_groups=False):
+def exact_quantiles(df, by, value, quantiles):
     """The quantiles of :func:`price_profile` alone."""
-    return price_profile(df, by, value, quantiles, few_groups).select(*by, *quantiles)
+    return price_profile(df, by, value, quantiles).select(*by, *quantiles)
 
 
 def quantile_scalar(df, value, fraction):
     """One quantile of a whole column, as a scalar subquery column."""
-    return exact_quantiles(df, [], value, {"q": fraction}, few_groups=True).scalar()
+    return exact_quantiles(df, [], value, {"q": fraction}).scalar()

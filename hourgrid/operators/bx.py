@@ -229,7 +229,8 @@ def node_daily_summary(df, done_dates=None):
     """Price profile of every node-day with its B6 and B8.
 
     The median is the upper one for an even number of hours, and a short day
-    averages the hours it has. ``done_dates`` (opr_dt) are left out.
+    averages the hours it has. ``done_dates`` (opr_dt) are left out. The price
+    key is unique, so a node-day is at most 25 rows.
     """
     rows = df.where(F.col("mw").isNotNull())
     if done_dates is not None:

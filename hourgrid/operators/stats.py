@@ -30,7 +30,7 @@ def price_statistics(df, start=None, end=None, exclude_zero=True, market_summary
     """Count, mean, spread and quantiles per node, or one market row."""
     rows = filter_prices(df, start, end, exclude_zero=exclude_zero)
     if market_summary:
-        profile = price_profile(rows, [], "mw", QUARTILES, few_groups=True)
+        profile = price_profile(rows, [], "mw", QUARTILES)
         profile = profile.withColumn("node", F.lit(MARKET))
     else:
         profile = price_profile(rows, ["node"], "mw", QUARTILES)
@@ -63,7 +63,7 @@ def hourly_averages(df, start=None, end=None, exclude_zero=True):
     """Average, median and spread for each hour of the day."""
     rows = filter_prices(df, start, end, exclude_zero=exclude_zero)
     return (
-        price_profile(rows, ["opr_hr"], "mw", {"median": 0.5}, few_groups=True)
+        price_profile(rows, ["opr_hr"], "mw", {"median": 0.5})
         .select(
             F.col("opr_hr").alias("hour"),
             round_to("avg", 2).alias("mw"),
@@ -208,10 +208,7 @@ def node_hourly_prices(
     if method.lower() not in ("avg", "median"):
         raise ValueError(f"method must be 'avg' or 'median', got {method!r}")
     rows = filter_prices(df, start, end, node, exclude_zero)
-    profile = price_profile(
-        rows, ["opr_hr"], "mw", {"median": 0.5}, few_groups=True
-    )
-    return profile.select(
+    return price_profile(rows, ["opr_hr"], "mw", {"median": 0.5}).select(
         F.col("opr_hr").alias("operational_hour"),
         F.lit(node).alias("node"),
         round_to(method.lower(), 2).alias("price"),

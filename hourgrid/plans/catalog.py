@@ -10,7 +10,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from hourgrid.functions.periods import date_spine
+from hourgrid.functions.periods import date_spine, date_window
 from hourgrid.functions.rounding import round_all
 from hourgrid.operators import bx, cleaning, heatmaps, nodes, rollups, spikes, stats, topk, zones
 from hourgrid.plans import jobs
@@ -629,23 +629,22 @@ def _(t):
 @query(
     "node_daily_summary_pending",
     f"""WITH {DENSE}, {RANKED} {_NODE_DAY}
-    WHERE opr_dt NOT IN (SELECT opr_dt FROM prices WHERE node = 'NATION_3' AND mw < 0)
-    GROUP BY node, opr_dt""",
+    WHERE NOT ({JAN}) GROUP BY node, opr_dt""",
 )
 def _(t):
     prices = t.dense()
-    done = prices.where("node = 'NATION_3' AND mw < 0").select("opr_dt").distinct()
+    done = date_window(prices.select("opr_dt"), DENSE_FROM, DENSE_TO).distinct()
     return bx.node_daily_summary(prices, done)
 
 
 @query(
     "missing_bx_dates",
     f"""WITH {LONG}, {DAILY} SELECT DISTINCT opr_dt FROM prices
-    WHERE opr_dt NOT IN (SELECT opr_dt FROM daily WHERE bx_type = 10)""",
+    WHERE opr_dt NOT IN (SELECT opr_dt FROM daily WHERE opr_dt < DATE '1998-01-01')""",
 )
 def _(t):
-    full = bx.bx_daily(t.long(), [10])
-    return bx.missing_bx_dates(t.long(), full)
+    prices = t.long()
+    return bx.missing_bx_dates(prices, bx.bx_daily(prices).where("opr_dt < DATE '1998-01-01'"))
 
 
 @query(

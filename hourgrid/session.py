@@ -52,10 +52,12 @@ def scratch_path(spark, label):
     return f"{shared_dir(spark)}/hourgrid/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df):
-    """Reliable checkpoint of ``df`` in the shared folder."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+def cut_lineage(df, label="staged"):
+    """Write ``df`` to the shared folder once and read it back.
+
+    Later uses start from the files, also after executors were lost, and the
+    planner knows their real size.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

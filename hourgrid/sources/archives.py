@@ -2,7 +2,8 @@
 
 Unzipping is the one step Spark has no expression for, so it runs as a
 ``mapInPandas`` over the binary files, one archive at a time and in bounded
-chunks. Typing, cleaning and everything later stay in the JVM.
+chunks. A task reads at most ``spark.sql.files.maxPartitionBytes`` of archives,
+or one larger archive. Typing, cleaning and everything later stay in the JVM.
 """
 
 import io

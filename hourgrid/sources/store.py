@@ -176,10 +176,11 @@ def _touched(spark, path, new, partition):
 def upsert_table(spark, path, new, keys, partition):
     """Insert or replace rows by key, rewriting only the partitions they touch.
 
-    The new rows are kept in the shared folder, since they are read twice; the
-    merged partitions are cut from their inputs before the write replaces those.
+    ``new`` holds each key once. Its rows are kept in the shared folder, since
+    they are read twice; the merged partitions are cut from their inputs before
+    the write replaces those.
     """
-    rows = cut_lineage(dedupe_keep_first(new, keys, [F.lit(1)]))
+    rows = cut_lineage(new)
     if paths.list_folders(spark, path):
         old = _touched(spark, path, rows, partition)
         rows = cut_lineage(upsert_keep_latest(old, rows, keys))

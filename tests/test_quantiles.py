@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hourgrid.functions import quantiles
 from hourgrid.functions.quantiles import exact_quantiles, price_profile
 
 POINTS = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "p100": 1.0}
@@ -29,12 +30,13 @@ def frame(spark):
     return spark.createDataFrame(rows, "g string, v decimal(12,4)").repartition(5)
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_profile_equals_numpy(frame, few):
+@pytest.mark.parametrize("limit", [quantiles.BROADCAST_TARGETS, 0])
+def test_profile_equals_numpy(frame, limit, monkeypatch):
+    monkeypatch.setattr(quantiles, "BROADCAST_TARGETS", limit)
     result = {
         row.g: row
         for row in price_profile(
-            frame, ["g"], "v", POINTS, few, {"positive": lambda v: v > 0}
+            frame, ["g"], "v", POINTS, {"positive": lambda v: v > 0}
         ).collect()
     }
     for name, values in groups().items():
@@ -53,7 +55,7 @@ def test_profile_equals_numpy(frame, few):
 
 def test_whole_column(frame):
     every = [v for vs in groups().values() for v in vs]
-    row = exact_quantiles(frame, [], "v", POINTS, few_groups=True).first()
+    row = exact_quantiles(frame, [], "v", POINTS).first()
     for point, fraction in POINTS.items():
         assert row[point] == pytest.approx(np.percentile(every, fraction * 100), abs=1e-9)
 
@@ -71,6 +73,6 @@ def test_matches_builtin_on_doubles(spark):
 
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "g string, v decimal(12,4)")
-    row = price_profile(empty, [], "v", {"m": 0.5}, few_groups=True).first()
+    row = price_profile(empty, [], "v", {"m": 0.5}).first()
     assert row["count"] == 0 and row.m is None
     assert price_profile(empty, ["g"], "v", {"m": 0.5}).count() == 0
