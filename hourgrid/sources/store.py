@@ -165,24 +165,28 @@ def stored_days(spark, path):
 
 
 def _touched(spark, path, new, partition):
-    """The stored rows in the partitions that ``new`` falls into.
+    """The stored rows in the partitions that ``new`` falls into, or None.
 
     Partition values are few and become literals, so other folders are not read.
     """
+    stored = {name.split("=")[1] for name in paths.list_folders(spark, path)}
     values = [row[0] for row in new.select(partition).distinct().collect()]
-    return spark.read.schema(new.schema).parquet(path).where(F.col(partition).isin(values))
+    shared = [value for value in values if str(value) in stored]
+    if not shared:
+        return None
+    return spark.read.schema(new.schema).parquet(path).where(F.col(partition).isin(shared))
 
 
 def upsert_table(spark, path, new, keys, partition):
     """Insert or replace rows by key, rewriting only the partitions they touch.
 
     ``new`` holds each key once. Its rows are kept in the shared folder, since
-    they are read twice; the merged partitions are cut from their inputs before
-    the write replaces those.
+    they are read twice; merged partitions are cut from their inputs before the
+    write replaces those. New partitions are written without a merge.
     """
     rows = cut_lineage(new)
-    if paths.list_folders(spark, path):
-        old = _touched(spark, path, rows, partition)
+    old = _touched(spark, path, rows, partition)
+    if old is not None:
         rows = cut_lineage(upsert_keep_latest(old, rows, keys))
     _write_table(rows, path, partition, "overwrite")
 
@@ -190,8 +194,9 @@ def upsert_table(spark, path, new, keys, partition):
 def insert_ignore_table(spark, path, new, keys, partition):
     """Append the rows whose key is not stored yet."""
     rows = cut_lineage(dedupe_keep_first(new, keys, [F.lit(1)]))
-    if paths.list_folders(spark, path):
-        rows = insert_ignore(_touched(spark, path, rows, partition), rows, keys)
+    old = _touched(spark, path, rows, partition)
+    if old is not None:
+        rows = insert_ignore(old, rows, keys)
     _write_table(rows, path, partition, "append")
 
 
