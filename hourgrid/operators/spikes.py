@@ -8,14 +8,15 @@ from hourgrid.schemas import ROLLING_ROWS
 
 
 def _with_history(rows, lookback):
-    """Cut each node's series into years and hand every year its history.
+    """Cut each node's series into months and hand every month its history.
 
-    A window over (node, year) then sees the same ``lookback`` preceding rows as
-    one over the whole series, while no task holds more than a year of a node.
-    Only the last rows of a year can be history, so only those are copied.
+    A window over (node, month) then sees the same ``lookback`` preceding rows as
+    one over the whole series, while no task holds more than a month of a node,
+    and a month fits the buffer of rows that a window keeps in memory.
+    Only the last rows of a month can be history, so only those are copied.
     """
-    series = rows.withColumn("_year", F.year("opr_dt"))
-    newest = Window.partitionBy("node", "_year").orderBy(
+    series = rows.withColumn("_part", F.year("opr_dt") * 12 + F.month("opr_dt"))
+    newest = Window.partitionBy("node", "_part").orderBy(
         F.col("opr_dt").desc(), F.col("opr_hr").desc()
     )
     tails = (
@@ -27,11 +28,11 @@ def _with_history(rows, lookback):
         Window.partitionBy("node").orderBy("opr_dt", "opr_hr").rowsBetween(1, lookback)
     )
     history = (
-        tails.withColumn("_years", F.collect_set("_year").over(ahead))
-        .withColumn("_target", F.explode("_years"))
-        .where(F.col("_target") != F.col("_year"))
-        .drop("_years", "_year")
-        .withColumnRenamed("_target", "_year")
+        tails.withColumn("_parts", F.collect_set("_part").over(ahead))
+        .withColumn("_target", F.explode("_parts"))
+        .where(F.col("_target") != F.col("_part"))
+        .drop("_parts", "_part")
+        .withColumnRenamed("_target", "_part")
     )
     return series.withColumn("_own", F.lit(True)).unionByName(
         history.withColumn("_own", F.lit(False))
@@ -50,16 +51,17 @@ def price_spikes(
         "node", "opr_dt", "opr_hr", "mw"
     )
     frame = (
-        Window.partitionBy("node", "_year")
+        Window.partitionBy("node", "_part")
         .orderBy("opr_dt", "opr_hr")
         .rowsBetween(1 - rows, 0)
     )
-    return (
+    price = F.col("mw").cast("double")
+    spikes = (
         _with_history(prices, rows - 1)
-        .withColumn("_mean", F.avg("mw").over(frame))
-        .withColumn("_std", F.stddev_samp("mw").over(frame))
+        .withColumn("_mean", F.avg(price).over(frame))
+        .withColumn("_std", F.stddev_samp(price).over(frame))
         .where(F.col("_own") & (F.col("_std") > 0))
-        .where(F.col("mw") > F.col("_mean") + F.lit(float(threshold_std)) * F.col("_std"))
+        .where(price > F.col("_mean") + F.lit(float(threshold_std)) * F.col("_std"))
         .select(
             F.col("opr_dt").alias("operational_date"),
             F.col("opr_hr").alias("operational_hour"),
@@ -67,5 +69,9 @@ def price_spikes(
             round_to("mw", 2).alias("mw"),
             round_to("_mean", 2).alias("rolling_mean"),
         )
-        .orderBy(F.col("operational_date").desc(), F.col("operational_hour").desc(), "node")
+    )
+    # The sort samples its input first; over the few rebalanced spikes that costs
+    # nothing, over the windows it would compute them twice.
+    return spikes.hint("rebalance").orderBy(
+        F.col("operational_date").desc(), F.col("operational_hour").desc(), "node"
     )
