@@ -91,8 +91,9 @@ prices AS (
   GROUP BY s.s_name, CAST(date_trunc('month', l.l_shipdate) AS DATE), {_ITEM_HOUR})"""
 MAPPING = f"""
 mapping AS (
-  SELECT n.n_name AS pnode_id, r.r_regionkey AS resource_id, {ZONE} AS zone
-  FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey)"""
+  SELECT s.s_name AS pnode_id, r.r_regionkey AS resource_id, {ZONE} AS zone
+  FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey
+                  JOIN region r ON r.r_regionkey = n.n_regionkey)"""
 BX = "bx_values(bx_type) AS (VALUES (4),(5),(6),(7),(8),(9),(10))"
 RANKED = """
 ranked AS (
@@ -977,29 +978,32 @@ def _(t):
 
 @query(
     "search_nodes",
-    f"WITH {DENSE} SELECT DISTINCT node FROM prices WHERE node ILIKE '%n$_1%' ESCAPE '$' ORDER BY node LIMIT 50",
+    f"WITH {WIDE} SELECT DISTINCT node FROM prices WHERE node ILIKE '%07%' ORDER BY node LIMIT 50",
 )
 def _(t):
-    return nodes.search_nodes(t.dense(), "n_1")
+    return nodes.search_nodes(t.wide(), "07")
 
 
 @query(
     "nodes_by_prefix",
-    f"WITH {DENSE} SELECT DISTINCT node FROM prices WHERE starts_with(upper(node), 'NATION_2')",
+    f"""WITH {WIDE} SELECT DISTINCT node FROM prices
+    WHERE starts_with(upper(node), 'SUPPLIER#00000002')""",
 )
 def _(t):
-    return nodes.nodes_by_prefix(t.dense(), "nation_2")
+    return nodes.nodes_by_prefix(t.wide(), "supplier#00000002")
 
 
 @query(
     "selected_nodes",
-    f"""WITH {DENSE} SELECT DISTINCT node FROM prices
-    WHERE starts_with(upper(node), 'NATION_2') OR node ILIKE '%n$_1%' ESCAPE '$'""",
+    f"""WITH {WIDE}, matching AS (
+    SELECT DISTINCT node FROM prices WHERE node ILIKE '%07%' ORDER BY node LIMIT 50)
+    SELECT node FROM matching UNION
+    SELECT node FROM prices WHERE starts_with(upper(node), 'SUPPLIER#00000002')""",
 )
 def _(t):
-    prices = t.dense()
+    prices = t.wide()
     return nodes.selected_nodes(
-        nodes.search_nodes(prices, "n_1"), nodes.nodes_by_prefix(prices, "nation_2")
+        nodes.search_nodes(prices, "07"), nodes.nodes_by_prefix(prices, "supplier#00000002")
     )
 
 
@@ -1056,7 +1060,7 @@ def _(t):
 
 @query("node_zone_map", f"WITH {MAPPING} SELECT * FROM mapping")
 def _(t):
-    return t.dense_map()
+    return t.wide_map()
 
 
 @query(
@@ -1078,19 +1082,19 @@ def _(t):
     return zones.zone_filtered(t.wide(), t.wide_map(), "NP15")
 
 
-@query("zone_for_node", f"WITH {MAPPING} SELECT pnode_id, zone FROM mapping WHERE pnode_id = 'NATION_7'")
+@query("zone_for_node", f"WITH {MAPPING} SELECT pnode_id, zone FROM mapping WHERE pnode_id = 'Supplier#000000007'")
 def _(t):
-    return zones.zone_for_node(t.dense_map(), "NATION_7")
+    return zones.zone_for_node(t.wide_map(), "Supplier#000000007")
 
 
 @query("nodes_for_zone", f"WITH {MAPPING} SELECT pnode_id FROM mapping WHERE zone = 'SP15'")
 def _(t):
-    return zones.nodes_for_zone(t.dense_map(), "SP15")
+    return zones.nodes_for_zone(t.wide_map(), "SP15")
 
 
 @query("available_zones", f"WITH {MAPPING} SELECT DISTINCT zone FROM mapping WHERE zone IS NOT NULL")
 def _(t):
-    return zones.available_zones(t.dense_map())
+    return zones.available_zones(t.wide_map())
 
 
 _MAP_STATS = """count(*) AS total_mappings, count(DISTINCT zone) AS unique_zones,
@@ -1099,7 +1103,7 @@ _MAP_STATS = """count(*) AS total_mappings, count(DISTINCT zone) AS unique_zones
 
 @query("mapping_stats", f"WITH {MAPPING} SELECT {_MAP_STATS}")
 def _(t):
-    return zones.mapping_stats(t.dense_map())
+    return zones.mapping_stats(t.wide_map())
 
 
 @query(
@@ -1108,7 +1112,7 @@ def _(t):
     GROUP BY zone""",
 )
 def _(t):
-    return zones.nodes_per_zone(t.dense_map())
+    return zones.nodes_per_zone(t.wide_map())
 
 
 # ------------------------------------------------------------------- cleaning
@@ -1352,7 +1356,7 @@ def _(t):
         F.lit("area").alias("Local Area"),
         F.lit("generator").alias("Generator Name"),
     ).write.option("header", True).csv(f"{base}/zones")
-    t.dense_nodes().select(
+    t.wide_nodes().select(
         F.col("pnode_id").alias("PNODE_ID"), F.col("resource_id").alias("RES_ID")
     ).write.option("header", True).csv(f"{base}/nodes")
     return jobs.refresh_mapping(t.spark, f"{base}/zones", f"{base}/nodes", f"{base}/table")

@@ -32,13 +32,11 @@ class Tables:
             F.col("r_regionkey").alias("resource_id"), label.alias("zone")
         )
 
-    def dense_nodes(self):
-        return self.table("nation").select(
+    def dense_map(self):
+        nodes = self.table("nation").select(
             F.col("n_name").alias("pnode_id"), F.col("n_regionkey").alias("resource_id")
         )
-
-    def dense_map(self):
-        return node_zone_map(self.dense_nodes(), self.zones())
+        return node_zone_map(nodes, self.zones())
 
     def long_map(self):
         nodes = self.table("region").select(
@@ -46,8 +44,8 @@ class Tables:
         )
         return node_zone_map(nodes, self.zones())
 
-    def wide_map(self):
-        nodes = (
+    def wide_nodes(self):
+        return (
             self.table("supplier")
             .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
             .select(
@@ -55,7 +53,9 @@ class Tables:
                 F.col("n_regionkey").alias("resource_id"),
             )
         )
-        return node_zone_map(nodes, self.zones())
+
+    def wide_map(self):
+        return node_zone_map(self.wide_nodes(), self.zones())
 
     def dense(self):
         value = F.col("value")
