@@ -5,6 +5,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from hourgrid.sources.paths import drop_folder
+
 # AQE sizes the shuffles at run time: start with many small partitions and let
 # it merge them towards the advisory size, split skewed ones, and switch a join
 # to broadcast only after the real size of the side is known.
@@ -52,12 +54,42 @@ def scratch_path(spark, label):
     return f"{shared_dir(spark)}/hourgrid/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df, label="staged"):
-    """Write ``df`` to the shared folder once and read it back.
+def write_and_read(df, path):
+    """Write ``df`` once and read it back.
 
     Later uses start from the files, also after executors were lost, and the
     planner knows their real size.
     """
-    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df, label="staged"):
+    """``df`` as a table in the shared folder that outlives the caller."""
+    return write_and_read(df, scratch_path(df.sparkSession, label))
+
+
+class Scratch:
+    """A folder below the shared one that lasts as long as the job using it.
+
+    Tables staged in it must not be read after the ``with`` block.
+    """
+
+    def __init__(self, spark, label):
+        self.spark = spark
+        self.path = scratch_path(spark, label)
+        self.count = 0
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *error):
+        drop_folder(self.spark, self.path)
+
+    def folder(self, label):
+        """A path of its own inside the scratch folder."""
+        self.count += 1
+        return f"{self.path}/{self.count:03d}-{label}"
+
+    def stage(self, df, label="staged"):
+        return write_and_read(df, self.folder(label))
