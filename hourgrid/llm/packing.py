@@ -12,23 +12,29 @@ spread over ranges; repeated rows are packed one by one; other columns are
 ignored; an empty table gives no piece.
 """
 
-import re
-import zlib
+import json
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hourgrid.llm.common import arrow_schema, map_rows
-from hourgrid.llm.token_counts import CACHED_LENGTH, Remembered
+from hourgrid.llm.token_counts import (
+    CACHED_LENGTH,
+    Remembered,
+    byte_symbols,
+    words_stand_alone,
+)
+from hourgrid.llm.token_counts import PIECES as PIECE
 
 BUCKETS = 256
 DIMENSIONS = 4
 BITS = 8
-RANGE_TOKENS = 4_000_000
+RANGE_TOKENS = 64_000_000
 STAGED = "doc_id long, curve long, tie int, n_tokens long, ids binary"
 PIECES = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, "
@@ -39,27 +45,56 @@ PIECES = (
 class WordIds:
     """Token ids of texts, as little-endian 32-bit bytes, from remembered words.
 
-    A single space between two other characters always starts a new token in
-    byte-level BPE with word splitting, so such a text is the ids of its words one
-    after the other. Other texts go to the tokenizer whole.
+    Words that stand alone are looked up; a new one is encoded by the faster of two
+    libraries that share the vocabulary, if its ids ascend with the merge ranks, as
+    that library expects. Other texts go to the tokenizer whole.
     """
 
     def __init__(self, path):
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s\s|^\s|\s$", *map(re.escape, added)]))
-        self.word = Remembered(self.encode, length=CACHED_LENGTH)
+        self.specials = [
+            t.content for t in self.tokenizer.get_added_tokens_decoder().values()
+        ]
+        self.fast = ranked_encoding(path)
+        self.word = Remembered(self.after_space, length=CACHED_LENGTH)
 
     def encode(self, text):
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def after_space(self, word):
+        if self.fast is None or len(word) > CACHED_LENGTH:
+            return self.encode(" " + word)
+        return packed(self.fast.encode_ordinary(" " + word))
 
     def of(self, text):
-        if not text or self.whole.search(text):
+        if (
+            not text
+            or not words_stand_alone(text)
+            or any(special in text for special in self.specials)
+        ):
             return self.encode(text)
         first, *rest = text.split(" ")
-        word = self.word
-        return b"".join([word[first], *[word[" " + w] for w in rest]])
+        return self.encode(first) + b"".join(map(self.word.__getitem__, rest))
+
+
+def packed(ids):
+    return np.array(ids, "<u4").tobytes()
+
+
+def ranked_encoding(path):
+    """The vocabulary as ranks of byte strings, or None if ids do not follow the merges."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    vocabulary = model["vocab"]
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [vocabulary[left + right] for left, right in pairs]
+    if made != sorted(made) or (made and made[0] < 256):
+        return None
+    byte_of = {symbol: byte for byte, symbol in byte_symbols().items()}
+    ranks = {
+        bytes(map(byte_of.__getitem__, token)): rank for token, rank in vocabulary.items()
+    }
+    return tiktoken.Encoding("words", pat_str=PIECE, mergeable_ranks=ranks, special_tokens={})
 
 
 @lru_cache(maxsize=2)
@@ -120,23 +155,29 @@ def hilbert_keys(cells, bits=BITS):
     return keys
 
 
+def id_type(tokenizer, end_id):
+    """16 bits while ids move, if the vocabulary allows it."""
+    size = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def tokenised(docs, tokenizer, end_id):
-    """doc_id, curve key, number of tokens and ids (32-bit) of every document."""
+    """doc_id, curve key, number of tokens and ids of every document."""
+    narrow = id_type(tokenizer, end_id)
 
     def rows(batch):
         encode = word_ids(tokenizer).of
-        end = np.array([end_id], "<u4").tobytes()
-        blobs = [encode(t or "") + end for t in batch["text"]]
-        cells = [points(np.frombuffer(b, "<u4")) for b in blobs]
+        end = packed([end_id])
+        ids = [np.frombuffer(encode(t or "") + end, "<u4") for t in batch["text"]]
         return {
             "doc_id": batch["doc_id"],
-            "curve": hilbert_keys(cells),
+            "curve": hilbert_keys([points(i) for i in ids]),
             "tie": batch["tie"],
-            "n_tokens": [len(b) // 4 for b in blobs],
-            "ids": blobs,
+            "n_tokens": [len(i) for i in ids],
+            "ids": [i.astype(narrow).tobytes() for i in ids],
         }
 
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id").cast("int").alias("tie"))
+    keyed = docs.select("doc_id", "text", F.hash("doc_id").alias("tie"))
     return map_rows(keyed, rows, STAGED, slice_rows=128)
 
 
@@ -153,13 +194,17 @@ def pack(scratch, docs, tokenizer, end_id, limit=2048):
     The ids are written once; the ranges are sampled from the narrow columns of
     that table and only then do ids move, once.
     """
-    staged = scratch.stage(tokenised(docs, tokenizer, end_id), "ids")
+    staged = scratch.stage(tokenised(docs, tokenizer, end_id), "ids", "zstd")
     total = staged.agg(F.sum("n_tokens")).first()[0] or 0
-    ranges = max(1, -(-total // RANGE_TOKENS))
+    spark = docs.sparkSession
+    ranges = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_TOKENS)
+    )
+    narrow = id_type(tokenizer, end_id)
     ordered = staged.repartitionByRange(
         ranges, "curve", "tie", "doc_id"
     ).sortWithinPartitions("curve", "tie", "doc_id", "n_tokens", "ids")
-    target = arrow_schema(docs.sparkSession, PIECES)
+    target = arrow_schema(spark, PIECES)
 
     def cut(batches):
         """Fill sequences one after the other; what is left over waits for the end."""
@@ -169,6 +214,7 @@ def pack(scratch, docs, tokenizer, end_id, limit=2048):
             columns = batch.select(["doc_id", "n_tokens", "ids"]).to_pydict()
             out = []
             for doc_id, n, blob in zip(columns["doc_id"], columns["n_tokens"], columns["ids"]):
+                blob = np.frombuffer(blob, narrow).astype("<u4").tobytes()
                 start = 0
                 while start < n:
                     length = min(n - start, room)
@@ -220,5 +266,3 @@ def split_pieces(pieces, length):
     return taken, rest
 
 
-def ids_crc32(ids):
-    return zlib.crc32(ids)

@@ -3,10 +3,14 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hourgrid.llm import token_counts
+from hourgrid.llm import exact_dedup, packing, sharding, token_counts
+from hourgrid.session import Scratch, cut_lineage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TOKEN_LIMIT = 512
+SEQUENCE = 2048
+END_ID = 1
+SHARDS = 40
 
 QUERIES = {}
 ORACLE = {}
@@ -30,3 +34,54 @@ def table(spark, folder, name):
 def op7(spark, folder):
     counts = token_counts.token_counts(table(spark, folder, "documents"), TOKENIZER)
     return token_counts.over_limit(counts, TOKEN_LIMIT)
+
+
+@query("op5_packing")
+def op5(spark, folder):
+    crc = F.crc32("ids").alias("ids_crc32")
+    with Scratch(spark, "packing") as scratch:
+        pieces = packing.pack(
+            scratch, table(spark, folder, "documents"), TOKENIZER, END_ID, SEQUENCE
+        )
+        digests = pieces.withColumn("ids_crc32", crc).drop("ids")
+        return cut_lineage(digests, "packing")
+
+
+@query(
+    "op8_exact_dedup",
+    """
+    SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+           doc_id = max(doc_id) OVER g AS kept, text_sha256
+    FROM (SELECT doc_id, sha256(translate(coalesce(text, ''),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+          FROM documents)
+    WINDOW g AS (PARTITION BY text_sha256)
+    """,
+)
+def op8(spark, folder):
+    with Scratch(spark, "exact") as scratch:
+        groups = exact_dedup.exact_groups(
+            scratch, table(spark, folder, "documents"), all_digests=True
+        )
+        sha = F.lower(F.hex("digest")).alias("text_sha256")
+        return cut_lineage(
+            groups.select("doc_id", "keep_id", "group_size", "kept", sha), "exact"
+        )
+
+
+@query("op9_sharding")
+def op9(spark, folder):
+    with Scratch(spark, "shards") as scratch:
+        placed = sharding.shard_by_bytes(scratch, table(spark, folder, "documents"), SHARDS)
+        return cut_lineage(
+            placed.select(
+                "doc_id",
+                "size",
+                "text_crc32",
+                F.lit("bytes").alias("law"),
+                "shard",
+                "slot",
+                F.lit(None).cast("int").alias("grown_shard"),
+            ),
+            "shards",
+        )

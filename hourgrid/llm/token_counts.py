@@ -10,6 +10,7 @@ than ``doc_id`` and ``text`` are ignored.
 """
 
 import json
+import re
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -122,18 +123,25 @@ class Remembered(dict):
         return value
 
 
-class WordCounter:
-    """Counts of texts from the remembered counts of their words.
+DOUBLE_BLANK = re.compile(r"\s\s")
+
+
+def words_stand_alone(text):
+    """True if every blank of a (non-empty) text lies between two other characters.
 
-    A single space between two other characters always starts a new piece, so a
-    text is the sum of its words, each with the space before it.
+    A single space between two other characters always starts a new piece, so
+    such a text can be treated as its words, each with the space before it.
     """
+    return not (text[0].isspace() or text[-1].isspace() or DOUBLE_BLANK.search(text))
+
+
+class WordCounter:
+    """Counts of texts from the remembered counts of their words."""
 
     def __init__(self, pairs):
         self.pairs = pairs
         self.piece = Remembered(lambda piece: pairs.merged(piece.encode("utf-8")))
-        self.word = Remembered(self.plain)
-        self.blank = regex.compile(r"\s\s|^\s|\s$")
+        self.word = Remembered(lambda word: self.plain(" " + word))
 
     def plain(self, text):
         piece = self.piece
@@ -146,11 +154,10 @@ class WordCounter:
             return sum(map(self.count, parts)) + len(parts) - 1
         if not text:
             return 0
-        if self.blank.search(text):
+        if not words_stand_alone(text):
             return self.plain(text)
         first, *rest = text.split(" ")
-        word = self.word
-        return word[first] + sum([word[" " + w] for w in rest])
+        return self.plain(first) + sum(map(self.word.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)
