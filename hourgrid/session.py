@@ -54,13 +54,13 @@ def scratch_path(spark, label):
     return f"{shared_dir(spark)}/hourgrid/{label}-{uuid.uuid4().hex}"
 
 
-def write_and_read(df, path):
+def write_and_read(df, path, compression="snappy"):
     """Write ``df`` once and read it back.
 
     Later uses start from the files, also after executors were lost, and the
     planner knows their real size.
     """
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -91,5 +91,5 @@ class Scratch:
         self.count += 1
         return f"{self.path}/{self.count:03d}-{label}"
 
-    def stage(self, df, label="staged"):
-        return write_and_read(df, self.folder(label))
+    def stage(self, df, label="staged", compression="snappy"):
+        return write_and_read(df, self.folder(label), compression)
