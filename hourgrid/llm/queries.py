@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hourgrid.llm import exact_dedup, packing, sharding, token_counts
+from hourgrid.llm import exact_dedup, line_dedup, near_dedup, packing, sharding, token_counts
 from hourgrid.session import Scratch, cut_lineage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -11,6 +11,8 @@ TOKEN_LIMIT = 512
 SEQUENCE = 2048
 END_ID = 1
 SHARDS = 40
+LINE_DOCUMENTS = 10
+SHINGLE_WORDS = 4
 
 QUERIES = {}
 ORACLE = {}
@@ -85,3 +87,40 @@ def op9(spark, folder):
             ),
             "shards",
         )
+
+
+@query(
+    "op2_line_dedup",
+    r"""
+    WITH lines AS (
+      SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line
+      FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+    keyed AS (
+      SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM lines),
+    heavy AS (
+      SELECT key, true AS gone FROM keyed WHERE key <> ''
+      GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+    SELECT doc_id, count(*) AS n_lines, count(gone) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (gone IS NULL), ''))
+             AS kept_sha256
+    FROM keyed LEFT JOIN heavy USING (key) GROUP BY doc_id
+    """,
+)
+def op2(spark, folder):
+    docs = table(spark, folder, "documents")
+    with Scratch(spark, "lines") as scratch:
+        index = line_dedup.LineIndex(spark, scratch.folder("index"), LINE_DOCUMENTS)
+        index.insert(docs)
+        kept = index.drop_lines(docs).withColumnRenamed("sha256", "kept_sha256")
+        return cut_lineage(kept.drop("text"), "lines")
+
+
+@query("op10_near_dedup")
+def op10(spark, folder):
+    with Scratch(spark, "near") as scratch:
+        rows = near_dedup.near_components(
+            scratch, table(spark, folder, "documents"), SHINGLE_WORDS
+        )
+        return cut_lineage(rows, "near")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 RANGES_PER_SHARD = 8
 SAMPLES_PER_RANGE = 64
+ROWS_PER_RANGE = 64  # at least, so that a small table is not cut into single rows
 RECORD_BYTES = 16
 ROUNDS = 4
 ORDER = ("key", "doc_id", "size", "text_crc32")
@@ -33,7 +34,7 @@ def records(docs):
 
 
 def place():
-    return F.struct("key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"))
+    return F.struct("key", F.coalesce("doc_id", F.lit(1 - (1 << 63))).alias("doc_id"))
 
 
 def sampled(rows, target, wanted):
@@ -68,18 +69,14 @@ def with_range(rows, splitters):
         return rows.withColumn("range", F.lit(0))
 
     def literal(pairs):
-        return F.array(
-            *[
-                F.struct(F.lit(k).cast("long").alias("key"), F.lit(d).cast("long").alias("doc_id"))
-                for k, d in pairs
-            ]
-        )
+        items = (f"named_struct('key', {k}L, 'doc_id', {d}L)" for k, d in pairs)
+        return f"array({', '.join(items)})"
 
     def at_or_before(array):
         return F.size(F.filter(array, lambda s: s <= F.col("place")))
 
-    outer = literal([block[0] for block in blocks])
-    inner = F.array(*[literal(block) for block in blocks])
+    outer = F.expr(literal([block[0] for block in blocks]))
+    inner = F.expr(f"array({', '.join(map(literal, blocks))})")
     return (
         rows.withColumn("place", place())
         .withColumn("block", at_or_before(outer))
@@ -97,8 +94,8 @@ def with_range(rows, splitters):
 def shard_by_bytes(scratch, docs, shards):
     """One row per document: doc_id, size, text_crc32, shard, slot."""
     rows = scratch.stage(records(docs), "records")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    ranges = shards * RANGES_PER_SHARD
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    ranges = max(1, min(shards * RANGES_PER_SHARD, count // ROWS_PER_RANGE))
     target = -(-total // ranges)
     splitters = quantiles(sampled(rows, target, SAMPLES_PER_RANGE), [], ranges)
     totals = None
