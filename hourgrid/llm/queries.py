@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hourgrid.llm import exact_dedup, line_dedup, near_dedup, packing, sharding, token_counts
+from hourgrid.llm import exact_dedup, line_dedup, near_dedup, packing, sharding, token_counts, toxicity
 from hourgrid.session import Scratch, cut_lineage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -13,6 +13,7 @@ END_ID = 1
 SHARDS = 40
 LINE_DOCUMENTS = 10
 SHINGLE_WORDS = 4
+TOXIC = 0.3
 
 QUERIES = {}
 ORACLE = {}
@@ -124,3 +125,16 @@ def op10(spark, folder):
             scratch, table(spark, folder, "documents"), SHINGLE_WORDS
         )
         return cut_lineage(rows, "near")
+
+
+@query("op4_toxicity")
+def op4(spark, folder):
+    docs, labels = (table(spark, folder, name) for name in ("documents", "labels"))
+    with Scratch(spark, "toxicity") as scratch:
+        model = toxicity.learn(scratch, docs, labels)
+    return model.score(docs.select("doc_id", "text")).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= TOXIC).cast("int").alias("predicted"),
+    )
