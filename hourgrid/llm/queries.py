@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hourgrid.llm import exact_dedup, line_dedup, near_dedup, packing, sharding, token_counts, toxicity
+from hourgrid.llm import decontaminate, exact_dedup, line_dedup, near_dedup, packing, sharding, token_counts, toxicity
 from hourgrid.session import Scratch, cut_lineage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -138,3 +138,10 @@ def op4(spark, folder):
         F.col("toxicity").alias("score"),
         (F.col("toxicity") >= TOXIC).cast("int").alias("predicted"),
     )
+
+
+@query("op6_decontamination")
+def op6(spark, folder):
+    docs, benchmark = (table(spark, folder, name) for name in ("documents", "benchmark"))
+    leaks = decontaminate.with_leaks(docs.select("doc_id", "text"), benchmark)
+    return leaks.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
