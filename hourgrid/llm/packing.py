@@ -266,3 +266,6 @@ def split_pieces(pieces, length):
     return taken, rest
 
 
+def digests(pieces):
+    """Pieces with a checksum in place of their ids."""
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

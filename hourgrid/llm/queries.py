@@ -1,22 +1,37 @@
 """The registered queries of the text operators and their checking SQL."""
 
-import public_tokenizers
 from pyspark.sql import functions as F
 
-from hourgrid.llm import decontaminate, exact_dedup, line_dedup, near_dedup, packing, sharding, token_counts, toxicity
+import corpus_pipeline
+from hourgrid.llm import (
+    decontaminate,
+    exact_dedup,
+    license_scan,
+    line_dedup,
+    near_dedup,
+    packing,
+    pii,
+    sharding,
+    token_counts,
+    toxicity,
+)
+from hourgrid.llm.settings import (
+    END_ID,
+    LINE_DOCUMENTS,
+    SEQUENCE,
+    SHARDS,
+    SHINGLE_WORDS,
+    SURROGATE_KEY,
+    TOKEN_LIMIT,
+    TOKENIZER,
+    TOXIC,
+)
 from hourgrid.session import Scratch, cut_lineage
 
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-TOKEN_LIMIT = 512
-SEQUENCE = 2048
-END_ID = 1
-SHARDS = 40
-LINE_DOCUMENTS = 10
-SHINGLE_WORDS = 4
-TOXIC = 0.3
-
-QUERIES = {}
+QUERIES = {"pipeline": corpus_pipeline.run}
 ORACLE = {}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 
 def query(name, sql=None):
@@ -41,13 +56,10 @@ def op7(spark, folder):
 
 @query("op5_packing")
 def op5(spark, folder):
-    crc = F.crc32("ids").alias("ids_crc32")
+    docs = table(spark, folder, "documents")
     with Scratch(spark, "packing") as scratch:
-        pieces = packing.pack(
-            scratch, table(spark, folder, "documents"), TOKENIZER, END_ID, SEQUENCE
-        )
-        digests = pieces.withColumn("ids_crc32", crc).drop("ids")
-        return cut_lineage(digests, "packing")
+        pieces = packing.pack(scratch, docs, TOKENIZER, END_ID, SEQUENCE)
+        return cut_lineage(packing.digests(pieces), "packing")
 
 
 @query(
@@ -145,3 +157,17 @@ def op6(spark, folder):
     docs, benchmark = (table(spark, folder, name) for name in ("documents", "benchmark"))
     leaks = decontaminate.with_leaks(docs.select("doc_id", "text"), benchmark)
     return leaks.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+@query("op1_license_scan", license_scan.checking_sql())
+def op1(spark, folder):
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
+@query("op3_pii")
+def op3(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    with Scratch(spark, "pii") as scratch:
+        kept = scratch.stage(pii.settled(scratch, docs, SURROGATE_KEY), "settled")
+        rows = pii.rewritten(docs, SURROGATE_KEY, kept)
+        return rows.select("doc_id", "n_entities", "text")
