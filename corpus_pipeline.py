@@ -9,6 +9,7 @@ of near duplicates, and those that hold a benchmark item.
 from pyspark.sql import functions as F
 
 from hourgrid.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
+from hourgrid.llm.common import nested
 from hourgrid.llm.settings import END_ID, SEQUENCE, STAGE_SHINGLE_WORDS, TOKENIZER, TOXIC
 from hourgrid.session import Scratch, cut_lineage
 
@@ -20,12 +21,12 @@ def drop_toxic(spark, docs, sf_dir):
     """Documents whose calibrated score stays below the limit."""
     with Scratch(spark, "toxicity") as scratch:
         model = toxicity.learn(scratch, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return model.score(docs).where(F.col("toxicity") < TOXIC).select(*docs.columns)
+    return model.score(nested(docs)).where(F.col("toxicity") < TOXIC).select("row.*")
 
 
 def drop_copies(spark, docs, sf_dir):
     """Of equal texts, the one with the largest doc_id."""
-    return exact_dedup.drop_duplicates(docs)
+    return exact_dedup.drop_duplicates(nested(docs)).select("row.*")
 
 
 def drop_near_copies(spark, docs, sf_dir):
@@ -33,14 +34,15 @@ def drop_near_copies(spark, docs, sf_dir):
     with Scratch(spark, "near") as scratch:
         rows = near_dedup.near_components(scratch, docs, STAGE_SHINGLE_WORDS)
         gone = cut_lineage(rows.where(~F.col("kept")).select(F.col("doc_id").alias("gone")), "gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("gone"))
+    return nested(docs).join(gone, same, "left_anti").select("row.*")
 
 
 def drop_leaks(spark, docs, sf_dir):
     """Documents without any benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.with_leaks(docs, benchmark)
-    return found.where(F.size("leaks") == 0).select(*docs.columns)
+    found = decontaminate.with_leaks(nested(docs), benchmark)
+    return found.where(F.size("leaks") == 0).select("row.*")
 
 
 def pack(spark, docs, sf_dir):

@@ -1,6 +1,7 @@
 """Small helpers shared by the text operators."""
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -34,3 +35,8 @@ def arrow_schema(spark, schema):
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(spark.createDataFrame([], schema).schema)
+
+
+def nested(docs):
+    """All columns in ``row`` beside doc_id and text, so that no new name meets an old one."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", "text")
