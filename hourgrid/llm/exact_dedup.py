@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType
 
+from hourgrid.session import cut_lineage
+
 PREFIX = 256
 # One bit per value of a step: 2 MB as words of 64 bits, whatever the input size.
 BITS = 1 << 24
@@ -90,8 +92,12 @@ def exact_groups(scratch, docs, all_digests=False):
         "digests",
     )
     rows = narrow.where("again")
-    groups = rows.groupBy("digest").agg(
-        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+    # Staged, so that the join shuffles both sides anew and can split a large group.
+    groups = scratch.stage(
+        rows.groupBy("digest").agg(
+            F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+        ),
+        "groups",
     )
     grouped = rows.join(groups, "digest")
     alone = narrow.where(~F.col("again")).select(
@@ -112,7 +118,8 @@ def drop_duplicates(docs):
     columns = docs.columns
     marked = refine(docs)
     rows = marked.where("again").withColumn("digest", _digest("text"))
-    keep = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
+    # A table of its own, so that the join can split a large group.
+    keep = cut_lineage(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "keep")
     same = (F.col("r.digest") == F.col("k.digest")) & F.col("r.doc_id").eqNullSafe(
         F.col("k.keep_id")
     )
