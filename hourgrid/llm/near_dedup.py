@@ -7,14 +7,17 @@
    dropped, and so are documents that share fewer values than a linked pair must
    share; of the rest, each document is listed under its rarest values, enough of them
    that a linked pair meets at least once. Lists are kept apart by set size.
-3. In each list every member is paired with one pivot, never with all others. Pairs
-   pass the union-sketch estimate, then the exact Jaccard of the full sets.
-4. Linked classes form components. A list whose members still lie in several of them
-   goes on with its next pivots, twice as many each round, paired across components
-   only, until no list holds an untried pair of two components.
+3. In each list every member is paired with one pivot, the member whose values are
+   shared most, never with all others. Pairs pass the union-sketch estimate, then the
+   exact Jaccard of the full sets. Linked classes form components.
+4. Lists whose members still lie in several components are joined to clusters. A
+   cluster is cut into blocks of bounded total set size, and each pair of blocks that
+   sizes allow is one task, which counts all intersections at once as a product of
+   incidence matrices and returns at most one link per two components it joins.
 
 So every pair of one list that lies in different components is tried, and pairs
-inside a component, whose link would change nothing, are not.
+inside a component, whose link would change nothing, are not. No pair but a link
+leaves a task of step 4; its work still grows with the square of a cluster.
 
 Sketches can miss a linked pair only if fewer than SHARED of k sketch values are
 shared, or the estimate falls below ESTIMATE; for pairs at the threshold each has a
@@ -27,6 +30,7 @@ doc_id is the smallest; other columns are ignored.
 """
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -35,8 +39,11 @@ from hourgrid.llm.common import map_rows, text_bytes
 from hourgrid.llm.token_counts import CACHED_LENGTH, Remembered
 
 SKETCH = 48
-SHARED = 20
+SHARED = 26
 ESTIMATE = 0.5
+BLOCK = 200_000
+LEAST = 200
+SLICE = 4096
 ROW = "doc_id long, n long, class_high long, class_low long, sketch array<long>"
 
 _word_hash = Remembered(lambda word: xxhash.xxh3_64_intdigest(word), length=CACHED_LENGTH)
@@ -95,34 +102,28 @@ def listed(scratch, classes):
     band = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9)
     entries = (
         shared.groupBy("id", "n")
-        .agg(per_document.alias("values"))
-        .select("id", "n", F.explode(rarest).alias("entry"))
-        .select("id", "n", "entry.value", F.explode(F.array(band, band + 1)).alias("band"))
+        .agg(per_document.alias("values"), F.sum("often").alias("central"))
+        .select("id", "n", "central", F.explode(rarest).alias("entry"))
+        .select(
+            "id", "n", "central", "entry.value", F.explode(F.array(band, band + 1)).alias("band")
+        )
     )
-    order = Window.partitionBy("value", "band").orderBy("n", "id")
-    ranked = scratch.stage(entries.withColumn("rank", F.row_number().over(order)), "ranked")
+    # What many others share most of, such as the original of many copies, comes first.
+    order = Window.partitionBy("value", "band").orderBy(F.desc("central"), "id")
+    ranked = entries.withColumn("rank", F.row_number().over(order)).drop("central")
+    ranked = scratch.stage(ranked, "ranked")
     # A list of one has nobody to meet.
     several = ranked.where("rank = 2").select("value", "band")
     return scratch.stage(ranked.join(several, ["value", "band"], "left_semi"), "lists")
 
 
-def paired(state, done, width):
-    """Members after rank ``done`` with the next ``width`` pivots of their list."""
-    open_rows = state.where(F.col("rank") > done)
-    pivots = open_rows.where(F.col("rank") <= done + width).select(
-        "value",
-        "band",
-        F.col("id").alias("a"),
-        F.col("n").alias("pivot_n"),
-        F.col("rank").alias("pivot_rank"),
-        F.col("component").alias("pivot_component"),
-    )
-    later = (
-        (F.col("rank") > F.col("pivot_rank"))
-        & (F.col("component") != F.col("pivot_component"))
-        & (F.col("pivot_n") * 5 >= F.col("n") * 4)  # ranks ascend with the size
+def paired(lists):
+    """Each member with the first of its list, if their sizes allow a link."""
+    pivots = lists.where("rank = 1").select(
+        "value", "band", F.col("id").alias("a"), F.col("n").alias("pivot_n")
     )
-    pairs = open_rows.join(pivots, ["value", "band"]).where(later)
+    fits = F.least("pivot_n", "n") * 5 >= F.greatest("pivot_n", "n") * 4
+    pairs = lists.where("rank > 1").join(pivots, ["value", "band"]).where(fits)
     return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
 
@@ -195,30 +196,19 @@ def near_components(scratch, docs, width):
         ),
         "classes",
     )
-    state = listed(scratch, classes).withColumn("component", F.col("id"))
-    ids = state.select("id").distinct()
+    lists = listed(scratch, classes)
+    ids = lists.select("id").distinct()
     sets = scratch.stage(full_sets(docs, ids, width), "sets")
-    links, tried, reached = None, None, None
-    done, pivots = 0, 1
-    while not state.isEmpty():
-        pairs = paired(state, done, pivots)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.stage(pairs, "pairs")
-        found = scratch.stage(
-            verified(scratch.stage(estimated(pairs, classes), "near"), sets), "found"
-        )
-        tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
+    near = scratch.stage(estimated(paired(lists), classes), "near")
+    links = scratch.stage(verified(near, sets), "found")
+    reached = components(scratch, links)
+    rest = scratch.stage(open_lists(lists, reached), "open")
+    if not rest.isEmpty():
+        links = links.union(scratch.stage(across(scratch, rest, sets), "across"))
         reached = components(scratch, links)
-        done, pivots = done + pivots, pivots * 2
-        state = scratch.stage(advanced(state, reached, done), "state")
-    if reached is None:
-        labels = classes.withColumn("component", F.col("id"))
-    else:
-        labels = classes.join(reached, "id", "left").withColumn(
-            "component", F.coalesce("component", "id")
-        )
+    labels = classes.join(reached, "id", "left").withColumn(
+        "component", F.coalesce("component", "id")
+    )
     labels = labels.select(*by_class, "component")
     grouped = filled.join(labels, by_class).select("doc_id", "n", "component")
     alone = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))
@@ -230,21 +220,104 @@ def near_components(scratch, docs, width):
     )
 
 
-def advanced(state, reached, done):
-    """The lists that still hold several components, one of them after rank ``done``."""
-    labelled = (
-        state.drop("component")
-        .join(reached, "id", "left")
-        .withColumn("component", F.coalesce("component", "id"))
+def open_lists(lists, reached):
+    """Members, with their components, of the lists that hold several of them."""
+    labelled = lists.join(reached, "id", "left").withColumn(
+        "component", F.coalesce("component", "id")
     )
-    open_lists = (
+    several = (
         labelled.groupBy("value", "band")
-        .agg(
-            F.min("component").alias("first"),
-            F.max("component").alias("last"),
-            F.max("rank").alias("members"),
-        )
-        .where((F.col("first") != F.col("last")) & (F.col("members") > done + 1))
+        .agg(F.min("component").alias("first"), F.max("component").alias("last"))
+        .where((F.col("first") != F.col("last")))
         .select("value", "band")
     )
-    return labelled.join(open_lists, ["value", "band"], "left_semi")
+    return labelled.join(several, ["value", "band"], "left_semi")
+
+
+def across(scratch, rest, sets):
+    """Links between different components of the members of open lists.
+
+    Lists with a member in common form a cluster. Its members, in order of set size,
+    fill blocks of about BLOCK shingles (LEAST per member at least, which bounds their
+    number); a pair of blocks is one task.
+    """
+    heads = rest.groupBy("value", "band").agg(F.min("id").alias("head"))
+    edges = rest.join(heads, ["value", "band"]).select(
+        F.col("id").alias("a"), F.col("head").alias("b")
+    )
+    clusters = components(scratch, edges).withColumnRenamed("component", "cluster")
+    members = rest.select("id", "n", "component").distinct()
+    members = members.join(clusters, "id", "left").withColumn(
+        "cluster", F.coalesce("cluster", "id")
+    )
+    before = Window.partitionBy("cluster").orderBy("n", "id")
+    cost = F.sum(F.greatest("n", F.lit(LEAST))).over(before)
+    members = scratch.stage(
+        members.withColumn("block", F.floor((cost - 1) / F.lit(BLOCK))), "members"
+    )
+    blocks = members.groupBy("cluster", "block").agg(
+        F.min("n").alias("least"), F.max("n").alias("most")
+    )
+    first = blocks.select("cluster", F.col("block").alias("i"), F.col("most").alias("most_i"))
+    second = blocks.select("cluster", F.col("block").alias("j"), F.col("least").alias("least_j"))
+    tasks = (
+        first.join(second, "cluster")
+        .where("i <= j and most_i * 5 >= least_j * 4")
+        .select("cluster", "i", "j")
+    )
+    # A block goes to each of its tasks once, also where it meets itself.
+    sides = tasks.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    rows = members.drop("n").join(sides, ["cluster", "block"]).join(sets, "id")
+    return rows.groupBy("cluster", "i", "j").applyInPandas(joining, "a long, b long")
+
+
+def joining(rows):
+    """At most one link for every two components that two blocks join."""
+    left = rows[rows["block"] == rows["i"]]
+    right = rows[rows["block"] == rows["j"]]
+    common = intersections(list(left["shingles"]), list(right["shingles"]))
+    sizes = left["shingles"].map(len).to_numpy()[:, None] + right["shingles"].map(len).to_numpy()
+    linked = common * 100 >= (sizes - common) * 80
+    linked &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()
+    found, parent = [], {}
+
+    def root(c):
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    for x, y in np.argwhere(linked):
+        one, other = root(left["component"].iat[x]), root(right["component"].iat[y])
+        if one != other:
+            parent[one] = other
+            found.append((left["id"].iat[x], right["id"].iat[y]))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def intersections(left, right):
+    """Sizes of all intersections of two lists of sets, as a matrix.
+
+    Only shingles of both sides count; they go through in slices, so that the
+    incidence matrices stay small.
+    """
+    total = np.zeros((len(left), len(right)), np.int64)
+    rows_l, values_l = flattened(left)
+    rows_r, values_r = flattened(right)
+    shared = np.intersect1d(values_l, values_r)
+    for start in range(0, len(shared), SLICE):
+        part = shared[start : start + SLICE]
+        sides = []
+        for rows, values, count in ((rows_l, values_l, len(left)), (rows_r, values_r, len(right))):
+            at = np.searchsorted(part, values)
+            at[at == len(part)] = 0
+            hit = part[at] == values
+            matrix = np.zeros((count, len(part)), np.float32)
+            matrix[rows[hit], at[hit]] = 1.0
+            sides.append(matrix)
+        total += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    return total
+
+
+def flattened(sets):
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    return rows, np.concatenate(sets) if sets else np.empty(0, np.int64)

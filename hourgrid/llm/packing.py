@@ -13,6 +13,7 @@ ignored; an empty table gives no piece.
 """
 
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -78,7 +79,7 @@ class WordIds:
 
 
 def packed(ids):
-    return np.array(ids, "<u4").tobytes()
+    return array("I", ids).tobytes()
 
 
 def ranked_encoding(path):

@@ -21,7 +21,7 @@ from hourgrid.llm.common import map_rows
 
 # Fixed value: the published splitting pattern of this family of tokenizers.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 CACHED_LENGTH = 64
 
 
