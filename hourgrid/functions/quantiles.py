@@ -13,10 +13,6 @@ from pyspark.sql import Window, functions as F
 
 from hourgrid.session import cut_lineage
 
-# Up to this many rank targets (fixed-width rows and a group key, some 10 MB) the
-# second pass filters by a broadcast; beyond it the join is shuffled.
-BROADCAST_TARGETS = 100_000
-
 
 def _position(fraction):
     return F.lit(float(fraction)) * (F.col("_n") - 1)
@@ -84,19 +80,15 @@ def _placed(per_unit, by, counts):
 def _resolve(rows, targets, unit):
     """Distinct values of the target units with their counts.
 
-    The staged targets are counted: few are broadcast, so the rows of other
-    units go no further; many are joined by shuffle after equal values were combined,
-    which leaves at most one unit's distinct values per join key.
+    The staged targets have a known size, by which Spark chooses the join: few are
+    broadcast, so that the rows of other units go no further.
     """
-    kept = [c for c in targets.columns if c not in unit]
-    if targets.count() <= BROADCAST_TARGETS:
-        carried = [F.max(c).alias(c) for c in kept]
-        return (
-            rows.join(F.broadcast(targets), unit)
-            .groupBy(*unit, "_v")
-            .agg(F.count(F.lit(1)).alias("_c"), *carried)
-        )
-    return rows.groupBy(*unit, "_v").agg(F.count(F.lit(1)).alias("_c")).join(targets, unit)
+    carried = [F.max(c).alias(c) for c in targets.columns if c not in unit]
+    return (
+        rows.join(targets, unit)
+        .groupBy(*unit, "_v")
+        .agg(F.count(F.lit(1)).alias("_c"), *carried)
+    )
 
 
 def price_profile(df, by, value, quantiles, counts=None):

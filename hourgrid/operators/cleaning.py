@@ -20,9 +20,8 @@ def dedupe_keep_first(df, keys, order):
 
 
 def clean_and_validate(df, order, keys=PRICE_KEY, price="mw"):
-    """Drop incomplete rows, keep the first of each key, sort by key."""
-    complete = df.dropna(subset=[*keys, price])
-    return dedupe_keep_first(complete, keys, order).orderBy(*keys)
+    """Drop incomplete rows and keep the first of each key."""
+    return dedupe_keep_first(df.dropna(subset=[*keys, price]), keys, order)
 
 
 def upsert_keep_latest(existing, new, keys):

@@ -114,13 +114,20 @@ def price_histogram(df, column="mw", bins=30):
             F.lit(bins - 1),
         )
     )
+    counted = placed.select(slot.cast("int").alias("bin")).groupBy("bin").count()
+    edges = (
+        df.sparkSession.range(bins)
+        .select(F.col("id").cast("int").alias("bin"), ends.alias("e"))
+        .where("e.lo is not null")
+    )
+    # Bins without a price stay, with zero records.
     return (
-        placed.select(slot.cast("int").alias("bin"), F.col("e.lo").alias("lo"), width.alias("w"))
-        .groupBy("bin")
-        .agg(
-            F.min(F.col("lo") + F.col("bin") * F.col("w")).alias("bin_start"),
-            F.min(F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("bin_end"),
-            F.count(F.lit(1)).alias("records"),
+        edges.join(counted, "bin", "left")
+        .select(
+            "bin",
+            (F.col("e.lo") + F.col("bin") * width).alias("bin_start"),
+            (F.col("e.lo") + (F.col("bin") + 1) * width).alias("bin_end"),
+            F.coalesce("count", F.lit(0)).cast("long").alias("records"),
         )
         .orderBy("bin")
     )

@@ -10,7 +10,7 @@ def all_nodes(df, limit=None):
     return nodes if limit is None else nodes.limit(limit)
 
 
-def search_nodes(df, term, limit=50):
+def search_nodes(df, term, limit=None):
     """Distinct nodes containing ``term``, any case; wildcards match themselves."""
     literal = term.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
     return all_nodes(df.where(F.col("node").ilike(f"%{literal}%")), limit)
@@ -34,13 +34,13 @@ def available_dates(df, year=None, month=None):
     return df.select("opr_dt").distinct().orderBy("opr_dt")
 
 
-def available_years(df, first=2015, last=2100):
-    return (
-        df.select(F.year("opr_dt").alias("year"))
-        .where(F.col("year").between(first, last))
-        .distinct()
-        .orderBy(F.col("year").desc())
-    )
+def available_years(df, first=None, last=None):
+    years = df.select(F.year("opr_dt").alias("year")).distinct()
+    if first is not None:
+        years = years.where(F.col("year") >= first)
+    if last is not None:
+        years = years.where(F.col("year") <= last)
+    return years.orderBy(F.col("year").desc())
 
 
 def available_months(monthly, year):

@@ -124,15 +124,20 @@ def _zone_level(daily, bx):
     )
 
 
+def _chosen(rows, year, month, start, end):
+    """Rows of a date range, open at a side without a bound, or else of a month or year."""
+    if start is not None or end is not None:
+        return date_window(rows, start, end)
+    if month is None:
+        return in_year(rows, year)
+    if year is None:
+        raise ValueError("a month needs its year")
+    return in_month(rows, year, month)
+
+
 def zone_bx_average(zone_daily, bx, year=None, month=None, start=None, end=None):
     """Bx statistics of every zone and Overall for a year, month or date range."""
-    rows = _zone_level(zone_daily, bx)
-    if start is not None and end is not None:
-        rows = date_window(rows, start, end)
-    elif month is not None:
-        rows = in_month(rows, year, month)
-    else:
-        rows = in_year(rows, year)
+    rows = _chosen(_zone_level(zone_daily, bx), year, month, start, end)
     return (
         rows.groupBy(F.col("node").alias("zone"))
         .agg(*_bx_stats(), F.count(F.lit(1)).alias("day_count"))
@@ -142,11 +147,7 @@ def zone_bx_average(zone_daily, bx, year=None, month=None, start=None, end=None)
 
 def zone_bx_from_raw(prices, mapping, bx, year=None, start=None, end=None):
     """The same statistics straight from prices, ranking hourly zone averages."""
-    rows = (
-        date_window(prices, start, end)
-        if start is not None and end is not None
-        else in_year(prices, year)
-    )
+    rows = _chosen(prices, year, None, start, end)
     return (
         _bx_of_hourly(hourly_zone_means(rows, mapping), check_bx([bx]))
         .withColumnRenamed("_avg", "avg_price")

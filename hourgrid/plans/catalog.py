@@ -959,10 +959,10 @@ def _(t):
     "price_histogram",
     f"""WITH {WIDE}, v AS (SELECT CAST(mw AS DOUBLE) AS v FROM prices),
     e AS (SELECT min(v) AS lo, max(v) AS hi FROM v),
-    bins AS (SELECT CAST(least(floor((v - lo) / (hi - lo) * 30), 29) AS INT) AS bin,
-             lo, (hi - lo) / 30 AS w FROM v, e)
+    held AS (SELECT CAST(least(floor((v - lo) / (hi - lo) * 30), 29) AS INT) AS bin FROM v, e),
+    bins AS (SELECT CAST(b AS INT) AS bin, lo, (hi - lo) / 30 AS w FROM range(30) x(b), e)
     SELECT bin, {r('min(lo + bin * w)')} AS bin_start, {r('min(lo + (bin + 1) * w)')} AS bin_end,
-    count(*) AS records FROM bins GROUP BY bin""",
+    count(held.bin) AS records FROM bins LEFT JOIN held USING (bin) GROUP BY bin""",
 )
 def _(t):
     return heatmaps.price_histogram(t.wide())
@@ -978,7 +978,7 @@ def _(t):
 
 @query(
     "search_nodes",
-    f"WITH {WIDE} SELECT DISTINCT node FROM prices WHERE node ILIKE '%07%' ORDER BY node LIMIT 50",
+    f"WITH {WIDE} SELECT DISTINCT node FROM prices WHERE node ILIKE '%07%'",
 )
 def _(t):
     return nodes.search_nodes(t.wide(), "07")
@@ -996,7 +996,7 @@ def _(t):
 @query(
     "selected_nodes",
     f"""WITH {WIDE}, matching AS (
-    SELECT DISTINCT node FROM prices WHERE node ILIKE '%07%' ORDER BY node LIMIT 50)
+    SELECT DISTINCT node FROM prices WHERE node ILIKE '%07%')
     SELECT node FROM matching UNION
     SELECT node FROM prices WHERE starts_with(upper(node), 'SUPPLIER#00000002')""",
 )
@@ -1029,7 +1029,7 @@ def _(t):
 
 @query("available_years", f"WITH {LONG} SELECT DISTINCT CAST(year(opr_dt) AS INT) AS year FROM prices")
 def _(t):
-    return nodes.available_years(t.long(), 1990, 2100)
+    return nodes.available_years(t.long())
 
 
 @query(
@@ -1221,6 +1221,15 @@ def _(t):
 @query(
     "unprocessed_files",
     f"""WITH {LONG}, {_FILES} SELECT file, opr_dt FROM files
+    WHERE opr_dt NOT IN (SELECT opr_dt FROM prices)""",
+)
+def _(t):
+    return archives.unprocessed_files(_archive_names(t), t.long())
+
+
+@query(
+    "unprocessed_batch",
+    f"""WITH {LONG}, {_FILES} SELECT file, opr_dt FROM files
     WHERE opr_dt NOT IN (SELECT opr_dt FROM prices) ORDER BY file LIMIT 200""",
 )
 def _(t):
@@ -1279,11 +1288,13 @@ def _(t):
     return rows.select("node", "opr_dt", "opr_hr", "mw")
 
 
-@query("append_prices", f"WITH {DENSE} {_KEY_PRICE} UNION ALL {_KEY_PRICE} WHERE mw < 0")
+@query("append_prices", f"WITH {DENSE} {_KEY_PRICE}")
 def _(t):
+    """Rows below zero are stored first; of the rest appended, those keys stay as they are."""
     prices = t.dense()
-    path = _written(t, prices, "append")
-    store.append_prices(prices.where("mw < 0"), path)
+    path = _written(t, prices.where("mw < 0"), "append")
+    changed = prices.withColumn("mw", F.when(F.col("mw") < 0, F.lit(1)).otherwise(F.col("mw")))
+    store.append_prices(changed, path)
     return store.read_prices(t.spark, path).select("node", "opr_dt", "opr_hr", "mw")
 
 
@@ -1516,17 +1527,16 @@ def _(t):
 @query(
     "refresh_heatmap",
     _by_zone_sql(
-        LONG.replace("GROUP BY r.r_name", f"WHERE year({_LONG_DAY}) IN (1996, 1997) GROUP BY r.r_name"),
+        LONG,
         _CELL,
         ", count(*) AS record_count",
     ),
 )
 def _(t):
     base = scratch_path(t.spark, "heatmap")
-    prices = t.long().where("opr_dt BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'")
-    store.write_daily(prices, f"{base}/prices")
+    store.write_daily(t.long(), f"{base}/prices")
     mapping = t.long_map()
-    for year in (1996, 1997, 1996):
+    for year in [*range(1992, 2002), 1996]:  # 1992 and others without a price leave nothing
         jobs.refresh_heatmap(t.spark, f"{base}/prices", mapping, f"{base}/cells", year)
     return t.spark.read.parquet(f"{base}/cells")
 

@@ -12,8 +12,8 @@ from hourgrid.operators.cleaning import dedupe_keep_first
 from hourgrid.operators.heatmaps import month_hour_heatmap
 from hourgrid.operators.rollups import bx_annual, bx_monthly
 from hourgrid.operators.zones import mapping_stats, node_zone_map
-from hourgrid.session import cut_lineage
-from hourgrid.sources import archives, store
+from hourgrid.session import Scratch, cut_lineage
+from hourgrid.sources import archives, paths, store
 from hourgrid.sources.columns import typed_prices
 from hourgrid.sources.csv_files import read_mapping
 
@@ -33,8 +33,30 @@ def store_bx(spark, prices, mapping, daily_path, bx_values=None):
     store.upsert_table(spark, daily_path, all_bx(prices, mapping, bx_values), BX_KEY, "opr_dt")
 
 
-def load_batch(spark, archive_path, store_path, daily_path=None, mapping=None, batch_size=None):
-    """Load waiting archives into the day store and, optionally, their Bx.
+LEDGER = "file string"
+
+
+def _loaded_files(spark, store_path):
+    """Names of the archives that were loaded without an error."""
+    path = f"{store_path}/_loaded"
+    if not paths.exists(spark, path):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(path).distinct()
+
+
+def _file_name(path):
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def load_batch(
+    spark, archive_path, store_path, daily_path=None, mapping=None, batch_size=None, year=None
+):
+    """Load waiting archives, of one year if given, into the store and, optionally, their Bx.
+
+    An archive waits until it was loaded without an error; that is remembered by its
+    name, not by its day. It adds rows of its own day only (others are counted in the
+    report), and a stored key stays as it is, so the result does not depend on the
+    batch size, and nothing stored is lost.
 
     Returns one row per archive: processed, skipped or error. The listing of the
     batch is read on the driver (one name per archive); archive content is not.
@@ -42,15 +64,20 @@ def load_batch(spark, archive_path, store_path, daily_path=None, mapping=None, b
     once although its rows feed the store, the Bx and the report.
     """
     files = archives.list_archives(spark, archive_path).select("file")
-    done = store.stored_dates(spark, store_path)
-    waiting = archives.unprocessed_files(files, done, batch_size)
-    names = [row.file for row in waiting.select("file").collect()]
-    report = files.join(
-        done, archives.archive_date(F.col("file")) == F.col("opr_dt"), "left_semi"
-    ).select(
-        F.element_at(F.split("file", "/"), -1).alias("source_file"),
-        F.lit(0).cast("long").alias("records"),
+    day = archives.archive_date(F.col("file"))
+    files = files.where(day.isNotNull() if year is None else F.year(day) == year)
+    name = _file_name(F.col("file")).alias("file")
+    done = _loaded_files(spark, store_path)
+    waiting = files.withColumn("path", F.col("file")).withColumn("file", name)
+    waiting = waiting.join(done, "file", "left_anti").orderBy("file")
+    waiting = waiting if batch_size is None else waiting.limit(batch_size)
+    names = [row.path for row in waiting.collect()]
+    nothing = F.lit(0).cast("long")
+    report = files.select(name).join(done, "file", "left_semi").select(
+        F.col("file").alias("source_file"),
+        nothing.alias("records"),
         F.lit(None).cast("string").alias("error"),
+        nothing.alias("foreign_rows"),
         F.lit("skipped").alias("status"),
     )
     if not names:
@@ -61,13 +88,23 @@ def load_batch(spark, archive_path, store_path, daily_path=None, mapping=None, b
         )
     )
     rows = typed_prices(batch.where(F.col("error").isNull()).withColumnRenamed("row_no", "row_id"))
-    store.write_daily(dedupe_keep_first(rows, PRICE_KEY, ["source_file", "row_id"]), store_path)
+    own_day = F.col("opr_dt") == archives.archive_date(F.col("source_file"))
+    foreign = rows.where(~own_day).groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("foreign_rows")
+    )
+    rows = rows.where(own_day)
+    store.append_prices(dedupe_keep_first(rows, PRICE_KEY, ["source_file", "row_id"]), store_path)
     if daily_path is not None:
         loaded = store.on_days(store.read_prices(spark, store_path), rows)
         store_bx(spark, loaded, mapping, daily_path)
-    loaded = archives.archive_status(batch).withColumn(
-        "status", F.when(F.col("error").isNull(), "processed").otherwise("error")
+    loaded = (
+        archives.archive_status(batch)
+        .join(foreign, "source_file", "left")
+        .na.fill(0, ["foreign_rows"])
+        .withColumn("status", F.when(F.col("error").isNull(), "processed").otherwise("error"))
     )
+    finished = loaded.where("status = 'processed'").select(F.col("source_file").alias("file"))
+    finished.write.mode("append").parquet(f"{store_path}/_loaded")
     return report.unionByName(loaded)
 
 
@@ -87,9 +124,29 @@ def load_summary(report):
 
 
 def reprocess_year(spark, year, archive_path, store_path, batch_size=None):
-    """Drop a year from the day store and load it again from its archives."""
-    dropped = store.clear_year(spark, store_path, year)
-    return dropped, load_batch(spark, archive_path, store_path, batch_size=batch_size)
+    """Load a year again from its archives, all batches of it, and replace it.
+
+    The new rows are complete before an old one goes. An archive that cannot be read
+    raises, and the stored year stays.
+    """
+    with Scratch(spark, "reprocess") as scratch:
+        fresh = scratch.folder("prices")
+        while True:
+            report = load_batch(spark, archive_path, fresh, batch_size=batch_size, year=year)
+            report = cut_lineage(report)
+            if not report.where("status = 'error'").isEmpty():
+                raise ValueError(f"some archives of {year} cannot be read; nothing was replaced")
+            if report.where("status = 'processed'").isEmpty():
+                break
+        known = _loaded_files(spark, store_path)
+        dropped = 0
+        if store.list_day_folders(spark, store_path):
+            dropped = store.clear_year(spark, store_path, year)
+        if store.list_day_folders(spark, fresh):
+            store.append_prices(store.read_prices(spark, fresh), store_path)
+        again = _loaded_files(spark, fresh).join(known, "file", "left_anti")
+        again.write.mode("append").parquet(f"{store_path}/_loaded")
+    return dropped, report.withColumn("status", F.lit("processed"))
 
 
 def backfill_bx(spark, store_path, daily_path, mapping, year=None):
@@ -123,8 +180,11 @@ def summarise_days(spark, store_path, summary_path, start=None, end=None):
 
 
 def refresh_heatmap(spark, store_path, mapping, heatmap_path, year):
-    """Replace one year of the month x hour table."""
-    cells = month_hour_heatmap(store.read_prices(spark, store_path), mapping, year)
+    """Replace one year of the month x hour table; a year without prices goes."""
+    cells = cut_lineage(month_hour_heatmap(store.read_prices(spark, store_path), mapping, year))
+    if cells.isEmpty():
+        paths.drop_folder(spark, f"{heatmap_path}/year={year}")
+        return
     (
         cells.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -15,6 +15,11 @@ def list_folders(spark, path):
     return sorted(name for name in names if name[0] not in "._")
 
 
+def exists(spark, path):
+    target, files = _file_system(spark, path)
+    return files.exists(target)
+
+
 def drop_folder(spark, path):
     target, files = _file_system(spark, path)
     return files.delete(target, True)

@@ -3,6 +3,7 @@
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hourgrid.functions.filters import keep_nodes
 from hourgrid.functions.periods import date_window
@@ -17,6 +18,7 @@ from hourgrid.sources import paths
 
 DAY_FOLDERS = ("year", "month", "opr_dt")
 PRICE_COLUMNS = tuple(PRICE_SCHEMA.fieldNames())
+PRICE_KEY = ["node", "opr_dt", "opr_hr"]
 
 
 def _price_layout(df):
@@ -56,7 +58,13 @@ def write_daily(df, path):
 
 
 def append_prices(df, path):
-    """Add rows to their days without touching what is there."""
+    """Add the rows whose (node, opr_dt, opr_hr) is not stored yet; stored rows stay.
+
+    ``df`` holds each key once. Stored files are not rewritten.
+    """
+    spark = df.sparkSession
+    if list_day_folders(spark, path):
+        df = insert_ignore(on_days(read_prices(spark, path), df), df, PRICE_KEY)
     _write_days(df, path, "append")
 
 
@@ -168,13 +176,17 @@ def _touched(spark, path, new, partition):
     """The stored rows in the partitions that ``new`` falls into, or None.
 
     Partition values are few and become literals, so other folders are not read.
+    Stored columns that ``new`` lacks are read as well.
     """
     stored = {name.split("=")[1] for name in paths.list_folders(spark, path)}
     values = [row[0] for row in new.select(partition).distinct().collect()]
     shared = [value for value in values if str(value) in stored]
     if not shared:
         return None
-    return spark.read.schema(new.schema).parquet(path).where(F.col(partition).isin(shared))
+    own = {f.name: f for f in new.schema.fields}
+    held = spark.read.option("mergeSchema", True).parquet(path).schema.fields
+    schema = StructType([*own.values(), *[f for f in held if f.name not in own]])
+    return spark.read.schema(schema).parquet(path).where(F.col(partition).isin(shared))
 
 
 def upsert_table(spark, path, new, keys, partition):
@@ -193,7 +205,8 @@ def upsert_table(spark, path, new, keys, partition):
 
 def insert_ignore_table(spark, path, new, keys, partition):
     """Append the rows whose key is not stored yet."""
-    rows = cut_lineage(dedupe_keep_first(new, keys, [F.lit(1)]))
+    order = [c for c in sorted(new.columns) if c not in keys]
+    rows = cut_lineage(dedupe_keep_first(new, keys, order))
     old = _touched(spark, path, rows, partition)
     if old is not None:
         rows = insert_ignore(old, rows, keys)

@@ -30,15 +30,16 @@ def frame(spark):
     return spark.createDataFrame(rows, "g string, v decimal(12,4)").repartition(5)
 
 
-@pytest.mark.parametrize("limit", [quantiles.BROADCAST_TARGETS, 0])
-def test_profile_equals_numpy(frame, limit, monkeypatch):
-    monkeypatch.setattr(quantiles, "BROADCAST_TARGETS", limit)
-    result = {
-        row.g: row
-        for row in price_profile(
-            frame, ["g"], "v", POINTS, {"positive": lambda v: v > 0}
-        ).collect()
-    }
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_profile_equals_numpy(spark, frame, broadcast):
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, broadcast)
+    try:
+        rows = price_profile(frame, ["g"], "v", POINTS, {"positive": lambda v: v > 0}).collect()
+    finally:
+        spark.conf.set(setting, before)
+    result = {row.g: row for row in rows}
     for name, values in groups().items():
         row = result[name]
         assert row["count"] == len(values)

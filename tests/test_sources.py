@@ -3,6 +3,7 @@ import zipfile
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from hourgrid.operators import cleaning
 from hourgrid.plans import jobs
@@ -298,3 +299,52 @@ def test_upsert_twice_is_the_same(spark, tmp_path):
         store.upsert_table(spark, path, rows, ["node", "opr_dt", "opr_hr"], "opr_dt")
         store.insert_ignore_table(spark, path, rows, ["node", "opr_dt", "opr_hr"], "opr_dt")
     assert keys(spark.read.parquet(path)) == keys(rows)
+
+
+def test_rows_of_another_day_and_second_archives(spark, tmp_path):
+    """An archive adds rows of its own day only; the result is the same for any batch size."""
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    first = [line("2024-03-01", h, "a", 1) for h in range(1, 25)]
+    stray = [line("2024-03-01", 3, "a", 9), line("2024-03-03", 1, "a", 9)]
+    archive(landing, "2024-03-01", first)
+    archive(landing, "2024-03-02", [line("2024-03-02", 1, "a", 2), *stray])
+    archive(landing, "2024-03-03", [line("2024-03-03", h, "a", 3) for h in (1, 2)])
+    results = []
+    for size in (1, 2, None):
+        path = str(tmp_path / f"prices-{size}")
+        reports = []
+        for _ in range(4):
+            reports += jobs.load_batch(spark, str(landing), path, batch_size=size).collect()
+        results.append(
+            sorted((r.opr_dt, r.opr_hr, r.mw) for r in store.read_prices(spark, path).collect())
+        )
+        done = [r for r in reports if r.status == "processed"]
+        assert len(done) == 3 and sum(r.foreign_rows for r in done) == 2
+    assert results[0] == results[1] == results[2]
+    assert len(results[0]) == 24 + 1 + 2 and (dt.date(2024, 3, 1), 3, 9) not in results[0]
+
+
+def test_reprocess_in_batches_keeps_other_years(spark, tmp_path):
+    landing, path = tmp_path / "landing", str(tmp_path / "prices")
+    landing.mkdir()
+    days(landing, 3)
+    store.write_daily(price_rows(spark, [0], first=dt.date(2023, 5, 1)), path)
+    jobs.load_batch(spark, str(landing), path)
+    dropped, _ = jobs.reprocess_year(spark, 2024, str(landing), path, batch_size=1)
+    assert dropped == 72 and store.read_prices(spark, path).count() == 72 + 4
+
+
+def test_append_keeps_stored_keys_and_upsert_keeps_columns(spark, tmp_path):
+    path = str(tmp_path / "prices")
+    store.append_prices(price_rows(spark, [0]), path)
+    store.append_prices(price_rows(spark, [0]).withColumn("mw", F.lit(7)), path)
+    assert {r.mw for r in store.read_prices(spark, path).collect()} == {0}
+    table = str(tmp_path / "table")
+    schema = "node string, opr_dt date, v int, extra string"
+    day = dt.date(2024, 1, 1)
+    old = spark.createDataFrame([("a", day, 1, "x"), ("b", day, 1, "y")], schema)
+    store.upsert_table(spark, table, old, ["node"], "opr_dt")
+    store.upsert_table(spark, table, old.where("node = 'a'").drop("extra"), ["node"], "opr_dt")
+    rows = {r.node: r.extra for r in spark.read.parquet(table).collect()}
+    assert rows == {"a": None, "b": "y"}
