@@ -3,9 +3,10 @@
 The benchmark is a stated query set: it goes over all documents in blocks of a bounded
 number of words, each broadcast once. Per block there are two passes over the texts:
 
-1. Every item's word n-grams get their document frequency in the whole corpus. The
-   rarest third of an item's n-grams (SEEDS at least) become its seeds. Rarity is
-   relative to the item, so an item that leaked into very many documents keeps seeds.
+1. Every item's word n-grams get their document frequency in the whole corpus. Those
+   of at most RARE plus 1.5 times the item's lower quartile become its seeds (SEEDS of
+   the rarest at least). Rarity is relative to the item, so an item that leaked into
+   very many documents keeps seeds, and not only those that edited copies lack.
 2. Seed hits give places to look at. Where enough of the item's words occur at all, a
    Smith-Waterman alignment of the item with the surrounding words gives the score:
    the alignment's value divided by that of a full copy.
@@ -32,6 +33,7 @@ from hourgrid.llm.token_counts import CACHED_LENGTH, Remembered
 
 GRAM = 3
 SEEDS = 8
+RARE = 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 SCORE = 0.5
 BLOCK_WORDS = 200_000
@@ -89,7 +91,9 @@ class Block:
         self.seed[:] = False
         for grams in per_item.values():
             ranked = sorted(grams, key=lambda g: (frequency.get(g, 0), g))
-            self.seed[ranked[: max(SEEDS, -(-len(ranked) // 3))]] = True
+            most = RARE + 1.5 * frequency.get(ranked[len(ranked) // 4], 0)
+            rare = sum(frequency.get(g, 0) <= most for g in ranked)
+            self.seed[ranked[: max(SEEDS, rare)]] = True
 
 
 class Scanner:
