@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from hourgrid.llm.common import arrow_schema
-from hourgrid.llm.token_counts import CACHED_LENGTH, Remembered
+from hourgrid.llm.token_counts import Remembered
 
 GRAM = 3
 SEEDS = 8
@@ -102,7 +102,7 @@ class Scanner:
     def __init__(self, block):
         self.block = block
         known = block.number
-        self.word = Remembered(lambda w: known.get(plain(w), 0), length=CACHED_LENGTH)
+        self.word = Remembered(lambda w: known.get(plain(w), 0), "leaks")
 
     def hits(self, text):
         """Word numbers of a text, and the places and n-grams of its hits."""

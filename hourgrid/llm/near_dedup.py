@@ -36,7 +36,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hourgrid.llm.common import map_rows, text_bytes
-from hourgrid.llm.token_counts import CACHED_LENGTH, Remembered
+from hourgrid.llm.token_counts import Remembered
 
 SKETCH = 48
 SHARED = 26
@@ -46,7 +46,7 @@ LEAST = 200
 SLICE = 4096
 ROW = "doc_id long, n long, class_high long, class_low long, sketch array<long>"
 
-_word_hash = Remembered(lambda word: xxhash.xxh3_64_intdigest(word), length=CACHED_LENGTH)
+_word_hash = Remembered(xxhash.xxh3_64_intdigest, "near")
 
 
 def mixed(values):

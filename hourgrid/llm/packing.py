@@ -57,7 +57,7 @@ class WordIds:
             t.content for t in self.tokenizer.get_added_tokens_decoder().values()
         ]
         self.fast = ranked_encoding(path)
-        self.word = Remembered(self.after_space, length=CACHED_LENGTH)
+        self.word = Remembered(self.after_space, "packing")
 
     def encode(self, text):
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)

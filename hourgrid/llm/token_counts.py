@@ -11,6 +11,7 @@ than ``doc_id`` and ``text`` are ignored.
 
 import json
 import re
+import weakref
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -21,7 +22,7 @@ from hourgrid.llm.common import map_rows
 
 # Fixed value: the published splitting pattern of this family of tokenizers.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 CACHED_LENGTH = 64
 
 
@@ -105,13 +106,23 @@ class BytePairs:
 
 
 class Remembered(dict):
-    """A function's results, in two generations of a bounded number of short keys."""
+    """A function's results, in two generations of a bounded number of short keys.
 
-    def __init__(self, function, bound=CACHED_WORDS, length=CACHED_LENGTH):
+    A Python worker serves one stage after another; what the stages of other owners
+    remembered goes when the first new key of an owner comes.
+    """
+
+    owner_now, instances = None, []
+
+    def __init__(self, function, owner, bound=CACHED_WORDS, length=CACHED_LENGTH):
         super().__init__()
-        self.function, self.bound, self.length, self.older = function, bound, length, {}
+        self.function, self.owner, self.older = function, owner, {}
+        self.bound, self.length = bound, length
+        Remembered.instances.append(weakref.ref(self))
 
     def __missing__(self, key):
+        if Remembered.owner_now != self.owner:
+            self.take_over()
         value = self.older.get(key)
         if value is None:
             value = self.function(key)
@@ -122,6 +133,15 @@ class Remembered(dict):
             self[key] = value
         return value
 
+    def take_over(self):
+        Remembered.owner_now = self.owner
+        live = [(ref, ref()) for ref in Remembered.instances]
+        Remembered.instances = [ref for ref, one in live if one is not None]
+        for _, one in live:
+            if one is not None and one.owner != self.owner:
+                one.clear()
+                one.older = {}
+
 
 DOUBLE_BLANK = re.compile(r"\s\s")
 
@@ -140,8 +160,8 @@ class WordCounter:
 
     def __init__(self, pairs):
         self.pairs = pairs
-        self.piece = Remembered(lambda piece: pairs.merged(piece.encode("utf-8")))
-        self.word = Remembered(lambda word: self.plain(" " + word))
+        self.piece = Remembered(lambda piece: pairs.merged(piece.encode("utf-8")), "counts")
+        self.word = Remembered(lambda word: self.plain(" " + word), "counts")
 
     def plain(self, text):
         piece = self.piece

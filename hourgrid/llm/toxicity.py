@@ -33,7 +33,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
 from hourgrid.llm.common import map_rows
-from hourgrid.llm.token_counts import CACHED_LENGTH, Remembered
+from hourgrid.llm.token_counts import Remembered
 
 SAMPLE = 20_000
 LEXICON = 2_000
@@ -106,7 +106,7 @@ class Features:
     )
 
     def __init__(self, lexicon):
-        self.word = Remembered(lambda w: packed_word(w, lexicon), length=CACHED_LENGTH)
+        self.word = Remembered(lambda w: packed_word(w, lexicon), "toxicity")
 
     def of(self, text):
         words = (text or "").split()
@@ -213,8 +213,8 @@ def word_contexts(rows):
     return map_rows(rows, count, "word string, toxic int, contexts long, times long")
 
 
-_plain = Remembered(plain, length=CACHED_LENGTH)
-_bucket = Remembered(lambda word: hash_bits(word), length=CACHED_LENGTH)
+_plain = Remembered(plain, "toxicity")
+_bucket = Remembered(lambda word: hash_bits(word), "toxicity")
 
 
 def hash_bits(word):
