@@ -26,6 +26,7 @@ from tokenizers import Tokenizer
 from hourgrid.llm.common import arrow_schema, map_rows
 from hourgrid.llm.token_counts import (
     CACHED_LENGTH,
+    TOKEN_WORDS,
     Remembered,
     byte_symbols,
     words_stand_alone,
@@ -57,7 +58,7 @@ class WordIds:
             t.content for t in self.tokenizer.get_added_tokens_decoder().values()
         ]
         self.fast = ranked_encoding(path)
-        self.word = Remembered(self.after_space, "packing")
+        self.word = Remembered(self.after_space, "packing", TOKEN_WORDS)
 
     def encode(self, text):
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)

@@ -22,7 +22,8 @@ from hourgrid.llm.common import map_rows
 
 # Fixed value: the published splitting pattern of this family of tokenizers.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 200_000
+CACHED_WORDS = 80_000
+TOKEN_WORDS = 200_000  # where a new word costs most
 CACHED_LENGTH = 64
 
 
@@ -160,8 +161,8 @@ class WordCounter:
 
     def __init__(self, pairs):
         self.pairs = pairs
-        self.piece = Remembered(lambda piece: pairs.merged(piece.encode("utf-8")), "counts")
-        self.word = Remembered(lambda word: self.plain(" " + word), "counts")
+        self.piece = Remembered(lambda piece: pairs.merged(piece.encode("utf-8")), "counts", TOKEN_WORDS)
+        self.word = Remembered(lambda word: self.plain(" " + word), "counts", TOKEN_WORDS)
 
     def plain(self, text):
         piece = self.piece
