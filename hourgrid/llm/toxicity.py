@@ -70,7 +70,9 @@ FIELDS = {
 def plain(word):
     """A word as letters only: lower case, look-alike signs read as the letters they mimic."""
     lower = word.lower()
-    if any(c.isalpha() for c in lower):
+    if lower.isascii() and lower.isalpha():
+        return lower
+    if any(map(str.isalpha, lower)):
         lower = lower.strip("!|.,;:?\"'()[]").translate(LOOK_ALIKE)
     return unicodedata.normalize("NFC", LETTERS.sub("", lower))
 
@@ -82,18 +84,27 @@ def stems(word):
 
 def packed_word(word, lexicon):
     bare = plain(word)
-    value = {
-        "weight": round(16 * max((lexicon.get(s, 0.0) for s in stems(bare)), default=0.0)),
-        "upper": sum(c.isupper() for c in word),
-        "marks": sum(not c.isalnum() for c in word),
-        "shouts": word.count("!"),
-        "length": len(word),
-        "hidden": int(bool(INNER.search(word))),
-        "second": int(bare in SECOND_PERSON),
-        "capitals": int(len(bare) > 1 and word.isupper()),
-        "repeated": int(bool(REPEATED.search(word))),
-    }
-    return sum(min(value[name], top) << shift for name, (shift, top) in FIELDS.items())
+    weight = max([lexicon.get(s, 0.0) for s in stems(bare)])
+    packed = packed_field("weight", round(16 * weight)) + packed_field("length", len(word))
+    if bare in SECOND_PERSON:
+        packed += packed_field("second", 1)
+    if REPEATED.search(word):
+        packed += packed_field("repeated", 1)
+    # Most words are lower-case letters, which have none of what follows.
+    if not word.islower():
+        packed += packed_field("upper", sum(map(str.isupper, word)))
+        packed += packed_field("capitals", int(len(bare) > 1 and word.isupper()))
+    if not word.isalnum():
+        packed += packed_field("marks", len(word) - sum(map(str.isalnum, word)))
+        packed += packed_field("shouts", word.count("!"))
+    if not word.isalpha():
+        packed += packed_field("hidden", int(bool(INNER.search(word))))
+    return packed
+
+
+def packed_field(name, value):
+    shift, top = FIELDS[name]
+    return min(value, top) << shift
 
 
 class Features:
