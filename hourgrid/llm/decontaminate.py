@@ -1,21 +1,18 @@
-"""Benchmark items inside training documents: rare n-gram seeds, then local alignment.
+"""Benchmark items inside training documents: n-gram seeds, then local alignment.
 
 The benchmark is a stated query set: it goes over all documents in blocks of a bounded
-number of words, each broadcast once. Per block there are two passes over the texts:
-
-1. Every item's word n-grams get their document frequency in the whole corpus. Those
-   of at most RARE plus 1.5 times the item's lower quartile become its seeds (SEEDS of
-   the rarest at least). Rarity is relative to the item, so an item that leaked into
-   very many documents keeps seeds, and not only those that edited copies lack.
-2. Seed hits give places to look at. Where enough of the item's words occur at all, a
-   Smith-Waterman alignment of the item with the surrounding words gives the score:
-   the alignment's value divided by that of a full copy.
+number of words, each broadcast once. Per block there is one pass over the texts: every
+word n-gram of an item is a seed, however often it occurs, so no number of copies hides
+an item. Seed hits give places to look at. Where a run of the item's words could reach
+the score at all, a Smith-Waterman alignment of the item with the surrounding words
+gives it: the alignment's value divided by that of a full copy.
 
 Texts never move between executors.
 
 Defined cases: words are runs without white space, lower-cased and stripped of signs
 at both ends; null and empty texts have no leak; items of fewer words than a seed has
-cannot be told from chance and match nothing; repeated items each report; repeated
+cannot be told from chance and match nothing; a copy without GRAM words of the item in
+a row gives no place to look at and is not found; repeated items each report; repeated
 rows each report; an empty benchmark reports nothing; other columns are kept.
 """
 
@@ -24,16 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from hourgrid.llm.common import arrow_schema
 from hourgrid.llm.token_counts import Remembered
 
 GRAM = 3
-SEEDS = 8
-RARE = 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 SCORE = 0.5
 BLOCK_WORDS = 200_000
@@ -67,8 +60,11 @@ class Block:
             for position, code in enumerate(self.codes(item).tolist()):
                 places[code].append((i, position))
         self.grams = np.array(sorted(places), np.int64)
-        self.places = [places[code] for code in self.grams.tolist()]
-        self.seed = np.ones(len(self.grams), bool)
+        listed = [places[code] for code in self.grams.tolist()]
+        # The places of n-gram g are those from first[g] to first[g + 1].
+        self.first = np.cumsum([0, *map(len, listed)])
+        flat = np.array([p for some in listed for p in some], np.int64).reshape(-1, 2)
+        self.place_item, self.place_position = flat[:, 0], flat[:, 1]
 
     def codes(self, numbers):
         """One code per n-gram; n-grams with a word unknown to the block get -1."""
@@ -82,18 +78,15 @@ class Block:
             known &= part > 0
         return np.where(known, code, -1)
 
-    def keep_rarest(self, frequency):
-        """Leave each item its rarest n-grams by document frequency."""
-        per_item = defaultdict(set)
-        for gram, places in enumerate(self.places):
-            for item, _ in places:
-                per_item[item].add(gram)
-        self.seed[:] = False
-        for grams in per_item.values():
-            ranked = sorted(grams, key=lambda g: (frequency.get(g, 0), g))
-            most = RARE + 1.5 * frequency.get(ranked[len(ranked) // 4], 0)
-            rare = sum(frequency.get(g, 0) <= most for g in ranked)
-            self.seed[ranked[: max(SEEDS, rare)]] = True
+    def candidates(self, at, grams):
+        """Items of some n-grams found at places of a text, and where each would start."""
+        count = self.first[grams + 1] - self.first[grams]
+        before = np.cumsum(count) - count
+        place = np.arange(count.sum()) + np.repeat(self.first[grams] - before, count)
+        item = self.place_item[place]
+        start = np.repeat(at, count) - self.place_position[place]
+        order = np.lexsort((start, item))
+        return item[order], start[order]
 
 
 class Scanner:
@@ -114,22 +107,23 @@ class Scanner:
             return numbers, at[:0], at[:0]
         gram = np.searchsorted(self.block.grams, codes[at])
         gram[gram == len(self.block.grams)] = 0
-        found = (self.block.grams[gram] == codes[at]) & self.block.seed[gram]
+        found = self.block.grams[gram] == codes[at]
         return numbers, at[found], gram[found]
 
     def leaks(self, text):
         """The best place of every item whose score reaches SCORE."""
         numbers, at, grams = self.hits(text)
-        starts = defaultdict(list)
-        for place, gram in zip(at.tolist(), grams.tolist()):
-            for item, position in self.block.places[gram]:
-                starts[item].append(place - position)
+        if not len(at):
+            return []
+        items, starts = self.block.candidates(at, grams)
+        edges = np.flatnonzero(np.diff(items, prepend=-1, append=-1))
         found = []
-        for item in sorted(starts):
+        for low_edge, high_edge in zip(edges[:-1], edges[1:]):
+            item = int(items[low_edge])
             wanted = self.block.items[item]
             best = max(
                 self.aligned(wanted, numbers, low, high)
-                for low, high in clusters(sorted(starts[item]), len(wanted))
+                for low, high in clusters(starts[low_edge:high_edge].tolist(), len(wanted))
             )
             if best[0] >= SCORE:
                 found.append(
@@ -147,8 +141,11 @@ class Scanner:
         slack = len(wanted) // 4 + 1
         low = max(0, low - slack)
         window = numbers[low : high + len(wanted) + slack]
-        # Every aligned word is one of the item's, so this bounds the score.
-        if np.isin(window, wanted).sum() < SCORE * len(wanted):
+        # Of the words an alignment spans, those of the item gain MATCH at most and the
+        # others lose at least one MISMATCH or GAP, so the best run bounds the value.
+        gain = np.where(np.isin(window, wanted), MATCH, max(MISMATCH, GAP))
+        total = np.concatenate([[0], np.cumsum(gain)])
+        if (total - np.minimum.accumulate(total)).max() < SCORE * MATCH * len(wanted):
             return 0.0, 0, 0
         value, start, end = smith_waterman(wanted, window)
         return value / (MATCH * len(wanted)), low + start, low + end
@@ -208,24 +205,6 @@ def blocks(benchmark):
         yield [(row.item_id, row.text) for row in mine.orderBy("item_id", "text").collect()]
 
 
-def document_frequency(docs, shared):
-    """How many documents hold each n-gram of the broadcast block."""
-    schema = "gram long, n long"
-    target = arrow_schema(docs.sparkSession, schema)
-
-    def run(batches):
-        scanner = Scanner(shared.value)
-        total = np.zeros(len(shared.value.grams), np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                total[np.unique(scanner.hits(text.as_py())[2])] += 1
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"gram": seen, "n": total[seen]}, schema=target)
-
-    counts = docs.select("text").mapInArrow(run, schema).groupBy("gram").agg(F.sum("n").alias("n"))
-    return {row.gram: row.n for row in counts.collect()}  # one row per n-gram of the block
-
-
 def leak_column(shared):
     @pandas_udf(LEAKS)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -244,7 +223,6 @@ def with_leaks(docs, benchmark):
         block = Block(items)
         if not len(block.grams):
             continue
-        block.keep_rarest(document_frequency(docs, context.broadcast(block)))
         found.append(leak_column(context.broadcast(block)))
     if not found:
         return docs.withColumn("leaks", F.expr(f"cast(array() as {LEAKS})"))

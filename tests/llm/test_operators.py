@@ -280,6 +280,23 @@ def test_leaks_verbatim_edited_and_none(spark, empty):
     assert decontaminate.with_leaks(empty, benchmark).count() == 0
 
 
+def test_leaks_of_an_item_edited_alike_in_many_documents(spark):
+    """Four spread changes leave 26 of 38 n-grams, each in all of the copies."""
+    rng = random.Random(6)
+    item = [f"w{i}" for i in range(40)]
+    edited = ["other" if i in (5, 14, 23, 32) else w for i, w in enumerate(item)]
+    noise = lambda n: " ".join(f"n{rng.randrange(5000)}" for _ in range(n))
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    for copies, whole in ((5, 0), (25, 0), (1000, 0), (1000, 10)):
+        # Whole copies make the n-grams that the edits lack rare, but not absent.
+        rows = [f"{noise(9)} {' '.join(w)} {noise(9)}" for w in [edited] * copies + [item] * whole]
+        docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        leaks = [r.leaks for r in decontaminate.with_leaks(docs, benchmark).orderBy("doc_id").collect()]
+        assert [len(x) for x in leaks] == [1] * (copies + whole)
+        assert {x[0].score for x in leaks[:copies]} == {0.85}
+        assert {x[0].score for x in leaks[copies:]} <= {1.0}
+
+
 def test_token_counts_equal_the_library(docs):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     rows = token_counts.token_counts(docs, TOKENIZER).collect()
