@@ -9,8 +9,11 @@ check digit, addresses stay addresses, and names keep the gender of their title.
 
 Draws can collide, so the distinct entities of the corpus are checked: two entities
 with one surrogate, or a surrogate that is itself an entity of the corpus, send all
-but the first entity to the next attempt, until nothing collides. Only the few
-entities beyond attempt 0 have to be known when texts are rewritten: they are
+but the first entity to the next attempt, until nothing collides. Some forms
+have few others like them (a one-letter mail has 26), so from attempt SAME_FORM on they
+grow by a letter, digit or syllable an attempt, and addresses take any octets. Forms
+without a letter or digit get letters for their signs from the first attempt. Only the
+few entities beyond attempt 0 have to be known when texts are rewritten: they are
 broadcast if they are at most BROADCAST_ROWS, and otherwise joined to the documents
 that hold them.
 
@@ -23,6 +26,7 @@ import hashlib
 import hmac
 import re
 from collections import Counter
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import Window
@@ -33,6 +37,7 @@ from hourgrid.llm.common import map_rows
 
 BROADCAST_ROWS = 100_000
 ROUNDS = 50
+SAME_FORM = 3
 REWRITTEN = "struct<text:string,n:int>"
 
 # Titles with the gender they tell, and given names of that gender.
@@ -199,33 +204,45 @@ def script(text):
     return "latin"
 
 
+def wider(draw, text, extra):
+    """``like`` with letters for a text of signs only, and ``extra`` more at the end."""
+    if not any(c.isalpha() or c.isdigit() for c in text):
+        text = "x" * len(text)
+    more = DIGITS if text.isdigit() else LOWER if text == text.lower() else UPPER
+    return like(draw, text) + "".join(draw.of(more) for _ in range(extra))
+
+
 RESERVED = re.compile(r"(?:^|\.)example(?:\.(?:com|net|org))?$")
 
 
 def surrogate(key, kind, form, attempt):
     """The canonical form that replaces ``form``."""
     draw = Draw(key, kind, form, attempt)
+    extra = max(0, attempt - SAME_FORM + 1)
     if kind == "email":
         local, _, domain = form.partition("@")
         # Reserved domains stay; of others, the top level does.
         fixed = RESERVED.search(domain) or re.search(r"\.[^.]*$", domain)
         host, top = domain[: fixed.start()], fixed.group()
-        return f"{like(draw, local)}@{like(draw, host)}{top}"
+        return f"{wider(draw, local, extra)}@{like(draw, host)}{top}"
     if kind == "ip":
+        if extra:
+            return ".".join(str(draw.below(256)) for _ in range(4))
         return ".".join(octet(draw, len(part)) for part in form.split("."))
     if kind == "card":
-        body = form[0] + "".join(draw.of(DIGITS) for _ in form[2:])
+        body = form[0] + "".join(draw.of(DIGITS) for _ in range(len(form) - 2 + extra))
         valid = luhn(form[:-1]) == form[-1]
         return body + (luhn(body) if valid else draw.of(DIGITS))
     if kind == "phone":
         first = "23456789"
-        return "".join(draw.of(first if c not in "01" else DIGITS) for c in form)
+        same = "".join(draw.of(first if c not in "01" else DIGITS) for c in form)
+        return same + "".join(draw.of(DIGITS) for _ in range(extra))
     if kind in ("awskey", "iban"):
         head = 4 if kind == "awskey" else 2
-        return form[:head] + like(draw, form[head:])
+        return form[:head] + wider(draw, form[head:], extra)
     if kind == "family":
         syllables = SYLLABLES[script(form)]
-        return "".join(draw.of(syllables) for _ in range(4 + draw.below(2)))
+        return "".join(draw.of(syllables) for _ in range(4 + draw.below(2) + extra))
     if kind.startswith("given"):
         names = GIVEN[script(form), kind[-1]]
         if attempt == 0:
@@ -233,7 +250,7 @@ def surrogate(key, kind, form, attempt):
         # The plain names are few: later attempts add syllables.
         extra = range(1 + attempt // 8)
         return draw.of(names).lower() + "".join(draw.of(SYLLABLES[script(form)]) for _ in extra)
-    return like(draw, form)
+    return wider(draw, form, extra)
 
 
 def rendered(kind, surface, form):
@@ -242,15 +259,18 @@ def rendered(kind, surface, form):
         return form.upper() if surface.isupper() else form.capitalize()
     if kind not in ("phone", "card", "ssn", "iban", "email"):
         return form
+    if kind == "email":
+        # Each side of its own: a longer local part leaves the case of the domain.
+        sides = zip(form.split("@"), surface.split("@"))
+        return "@".join(
+            "".join(n.upper() if o.isupper() else n for n, o in zip_longest(new, old[: len(new)], fillvalue=""))
+            for new, old in sides
+        )
     signs = iter(form)
     out = [country_code(surface)] if kind == "phone" else []
     for c in surface[len("".join(out)) :]:
-        if kind == "email":
-            new = next(signs)
-            out.append(new.upper() if c.isupper() else new)
-        else:
-            out.append(next(signs) if c.isalnum() else c)
-    return "".join(out)
+        out.append(next(signs) if c.isalnum() else c)
+    return "".join([*out, *signs])
 
 
 def replaced(text, key, attempts):

@@ -174,6 +174,28 @@ def test_pii_collisions_draw_again(spark, scratch):
     assert any(r.attempt > 0 for r in table)
 
 
+def test_pii_settles_forms_of_which_there_are_few(spark, scratch):
+    rows = ["password: ******** and ...@example.com or __@Example.com"]
+    rows += [f"to {c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    rows += [f"call +1 23 {i:02}" for i in range(100)]
+    every = [f"{a}.{b}.{c}.{d}" for a, b, c, d in itertools.product(range(1, 10), repeat=4)]
+    rows.append(" ".join(every))  # all addresses of one-digit octets
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = scratch.stage(pii.settled(scratch, docs, b"k"))
+    table = kept.collect()
+    assert len(table) == 3 + 26 + 100 + len(every)
+    assert len({(r.kind, r.surrogate) for r in table}) == len(table)
+    assert not {(r.kind, r.surrogate) for r in table} & {(r.kind, r.form) for r in table}
+    out = [r.text for r in pii.rewritten(docs, b"k", kept).orderBy("doc_id").collect()]
+    new = {(r.kind, r.form): r.surrogate for r in table}
+    assert out[0].startswith(f"password: {new['secret', '********']} and ") and "*" not in out[0]
+    assert out[0].count("xample.com") == 2 and "@Example.com" in out[0]
+    assert [t.split()[1] for t in out[1:27]] == [new["email", r.split()[1]] for r in rows[1:27]]
+    assert out[-1].split() == [new["ip", f] for f in every]
+    for before, after in zip(rows, out):  # each stays an entity of its type
+        assert [k for _, _, k, _ in pii.found(before)] == [k for _, _, k, _ in pii.found(after)]
+
+
 def test_toxicity_learns_and_holds_out(spark, scratch):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
