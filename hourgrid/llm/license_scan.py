@@ -148,6 +148,9 @@ RULES = (
     ("proprietary", ("AllRights",)),
 )
 
+# The tag of an SPDX line; its colon ends no sentence.
+TAG = "spdx-license-identifier"
+
 SIGNS = "[^a-z0-9.;:!?+-]+"
 ENDS = "[.;:!?]+( |$)"
 
@@ -166,7 +169,8 @@ def mark_filter(lowered):
 
 def identifiers(lowered):
     """The identifiers of the known sentences of a lower-cased text, in order."""
-    sentences = F.split(F.regexp_replace(lowered, SIGNS, " "), ENDS)
+    tagged = F.regexp_replace(lowered, rf"{TAG}[ \t]*:", f"{TAG} ")
+    sentences = F.split(F.regexp_replace(tagged, SIGNS, " "), ENDS)
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     plain = F.transform(
         sentences, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9+-]+", " "))

@@ -84,6 +84,21 @@ def test_license_rules(spark, scratch):
     assert got == [*cases.values(), ""]
 
 
+def test_license_tag_lines(spark):
+    """Every SPDX sentence of the table, as the tag is written."""
+    known = {s: i for s, i in license_scan.SENTENCES.items() if s.startswith("spdx-")}
+    licence = {run[0]: name for name, run in license_scan.RULES if len(run) == 1}
+    rows, expected = [], []
+    for sentence, identifier in known.items():
+        name = sentence.split(" ", 1)[1].replace("2 0", "2.0").replace("3 0", "3.0")
+        for line in ("// SPDX-License-Identifier: {}\ncode()", "/* SPDX-License-Identifier:{} */", "a: b.\n# spdx-license-identifier : {}"):
+            rows.append((len(rows), line.format(name.upper())))
+            expected.append((licence[identifier], identifier))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = license_scan.scan(docs).orderBy("doc_id").collect()
+    assert len(known) == 10 and [(r.licences, r.sentences) for r in got] == expected
+
+
 def test_license_scan_is_native(spark):
     docs = spark.range(3).selectExpr("id AS doc_id", "cast(id AS string) AS text")
     text = license_scan.scan(docs)._jdf.queryExecution().executedPlan().toString()
