@@ -23,6 +23,13 @@ MARKS = (
     "public domain", "liable", "spdx", "freely", "misrepresented",
 )
 
+# The same as single words, which wrapped lines, comment signs and double
+# blanks leave whole; the operator looks for these before it normalises a text.
+WORD_MARKS = (
+    "licen", "copyright", "permission", "warrant", "redistribut", "reserved", "domain",
+    "liable", "spdx", "freely", "misrepresented",
+)
+
 # Known sentences after normalisation (lower case; letters, digits, - and
 # + only, single blanks, no full stop) and their identifiers.
 SENTENCES = {
@@ -162,7 +169,7 @@ def run_of(ids):
 
 def mark_filter(lowered):
     found = F.lit(False)
-    for mark in MARKS:
+    for mark in WORD_MARKS:
         found = found | F.contains(lowered, F.lit(mark))
     return found
 

@@ -99,6 +99,22 @@ def test_license_tag_lines(spark):
     assert len(known) == 10 and [(r.licences, r.sentences) for r in got] == expected
 
 
+def test_license_notices_wrapped_without_another_mark(spark):
+    assert all(any(m in s for m in license_scan.WORD_MARKS) for s in license_scan.SENTENCES)
+    assert not any(set(m) - set("abcdefghijklmnopqrstuvwxyz") for m in license_scan.WORD_MARKS)
+    cases = {
+        "All rights\nreserved": "proprietary",
+        "all  rights   reserved.": "proprietary",
+        "/* All rights\n * reserved. */": "proprietary",
+        "This work is dedicated to the public\n * domain.": "public-domain",
+        "# This file is in the public\r\n#\tdomain": "public-domain",
+        "the public\nlibrary": "",
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = [r.licences for r in license_scan.scan(rows).orderBy("doc_id").collect()]
+    assert got == [*cases.values()]
+
+
 def test_license_scan_is_native(spark):
     docs = spark.range(3).selectExpr("id AS doc_id", "cast(id AS string) AS text")
     text = license_scan.scan(docs)._jdf.queryExecution().executedPlan().toString()
