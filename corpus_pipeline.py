@@ -30,11 +30,17 @@ def drop_copies(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """Of each group of near duplicates, the one with the smallest doc_id."""
+    """Of each group of near duplicates, the one with the smallest doc_id, null first.
+
+    Rows go by doc_id and text, so others with the same doc_id, or also none, stay.
+    """
     with Scratch(spark, "near") as scratch:
-        rows = near_dedup.near_components(scratch, docs, STAGE_SHINGLE_WORDS)
-        gone = cut_lineage(rows.where(~F.col("kept")).select(F.col("doc_id").alias("gone")), "gone")
-    same = F.col("doc_id").eqNullSafe(F.col("gone"))
+        rows = near_dedup.near_rows(scratch, docs, STAGE_SHINGLE_WORDS)
+        gone = rows.where(~F.col("kept")).select(
+            F.col("doc_id").alias("gone"), F.col("digest").alias("gone_digest")
+        )
+        gone = cut_lineage(gone, "gone")
+    same = F.col("doc_id").eqNullSafe(F.col("gone")) & (near_dedup.digest() == F.col("gone_digest"))
     return nested(docs).join(gone, same, "left_anti").select("row.*")
 
 

@@ -1,8 +1,8 @@
 """Near-duplicate documents from bottom-k sketches of one hash function.
 
 1. A document's set is its distinct word shingles as 64-bit hashes; its sketch is the
-   k smallest. Documents with the same set form a class, whose smallest doc_id stands
-   for it from here on.
+   k smallest. Documents with the same set form a class, which has a number of its
+   own from here on; no step goes by doc_id, which may be null or repeated.
 2. Inverted lists of the sketch values give overlaps. Values in one list only are
    dropped, and so are documents that share fewer values than a linked pair must
    share; of the rest, each document is listed under its rarest values, enough of them
@@ -25,8 +25,9 @@ chance below one in a million (binomial with k draws).
 
 Defined cases: words are runs without ASCII white space, A-Z lower-cased; fewer words
 than a shingle has give the whole sequence as one; null, empty and blank texts have an
-empty set and stand alone; repeated rows of one doc_id fall into one class; a null
-doc_id is the smallest; other columns are ignored.
+empty set and stand alone; rows are told apart by doc_id and text, so of each component
+the row with the smallest doc_id, then the smallest digest of its text, is kept, with
+its exact repetitions; a null doc_id is the smallest; other columns are ignored.
 """
 
 import numpy as np
@@ -44,7 +45,7 @@ ESTIMATE = 0.5
 BLOCK = 200_000
 LEAST = 200
 SLICE = 4096
-ROW = "doc_id long, n long, class_high long, class_low long, sketch array<long>"
+ROW = "doc_id long, digest string, n long, class_high long, class_low long, sketch array<long>"
 
 _word_hash = Remembered(xxhash.xxh3_64_intdigest, "near")
 
@@ -69,8 +70,13 @@ def shingle_set(text, width):
     return np.unique(total.view(np.int64))
 
 
+def digest():
+    """With doc_id, what tells the rows of a table of texts apart; null for null."""
+    return F.md5(F.col("text").cast("binary"))
+
+
 def sketches(docs, width):
-    """doc_id, set size, 128-bit hash of the whole set, and its bottom-k sketch."""
+    """doc_id, digest, set size, 128-bit hash of the whole set, and its bottom-k sketch."""
 
     def rows(batch):
         out = {name: [] for name in ("n", "class_high", "class_low", "sketch")}
@@ -81,9 +87,10 @@ def sketches(docs, width):
             out["class_high"].append(int.from_bytes(digest[:8], "little", signed=True))
             out["class_low"].append(int.from_bytes(digest[8:], "little", signed=True))
             out["sketch"].append(values[:SKETCH])
-        return {"doc_id": batch["doc_id"], **out}
+        return {"doc_id": batch["doc_id"], "digest": batch["digest"], **out}
 
-    return map_rows(docs.select("doc_id", "text"), rows, ROW, slice_rows=128)
+    columns = docs.select("doc_id", "text", digest().alias("digest"))
+    return map_rows(columns, rows, ROW, slice_rows=128)
 
 
 def listed(scratch, classes):
@@ -149,13 +156,17 @@ def verified(pairs, sets):
     return both.where(common * 100 >= union * 80).select("a", "b")
 
 
-def full_sets(docs, ids, width):
-    """id and full shingle set of the documents that stand for the classes ``ids``."""
-    chosen = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+def full_sets(docs, heads, width):
+    """id and full shingle set of the documents that stand for classes (id, head)."""
+    wanted = heads.select(
+        "id", F.col("head.doc_id").alias("head_id"), F.col("head.digest").alias("head_digest")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("head_id")) & (digest() == F.col("head_digest"))
+    chosen = docs.select("doc_id", "text").join(wanted, same).select("id", "text")
 
     def rows(batch):
         sets = [shingle_set(text, width) for text in batch["text"]]
-        return {"id": batch["doc_id"], "shingles": sets}
+        return {"id": batch["id"], "shingles": sets}
 
     return map_rows(chosen, rows, "id long, shingles array<long>", slice_rows=64)
 
@@ -187,18 +198,23 @@ def components(scratch, links):
 
 def near_components(scratch, docs, width):
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    return near_rows(scratch, docs, width).drop("digest")
+
+
+def near_rows(scratch, docs, width):
+    """One row per document: doc_id, digest, n_shingles, component_id, kept."""
     rows = scratch.stage(sketches(docs, width), "sketches")
     by_class = ["n", "class_high", "class_low"]
     filled = rows.where("n > 0")
     classes = scratch.stage(
-        filled.groupBy(*by_class).agg(
-            F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")
-        ),
+        filled.groupBy(*by_class)
+        .agg(F.min(F.struct("doc_id", "digest")).alias("head"), F.first("sketch").alias("sketch"))
+        .withColumn("id", F.monotonically_increasing_id()),
         "classes",
     )
     lists = listed(scratch, classes)
-    ids = lists.select("id").distinct()
-    sets = scratch.stage(full_sets(docs, ids, width), "sets")
+    heads = classes.select("id", "head").join(lists.select("id"), "id", "left_semi")
+    sets = scratch.stage(full_sets(docs, heads, width), "sets")
     near = scratch.stage(estimated(paired(lists), classes), "near")
     links = scratch.stage(verified(near, sets), "found")
     reached = components(scratch, links)
@@ -209,15 +225,20 @@ def near_components(scratch, docs, width):
     labels = classes.join(reached, "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
-    labels = labels.select(*by_class, "component")
-    grouped = filled.join(labels, by_class).select("doc_id", "n", "component")
-    alone = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))
-    return grouped.union(alone).select(
+    labels = labels.select(*by_class, "head", "component")
+    first = labels.groupBy("component").agg(F.min("head").alias("first"))
+    labels = labels.join(first, "component").select(*by_class, "first")
+    grouped = filled.join(labels, by_class).select(
         "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.col("component").alias("component_id"),
-        F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"),
+        "digest",
+        "n",
+        F.col("first.doc_id").alias("component_id"),
+        F.struct("doc_id", "digest").eqNullSafe(F.col("first")).alias("kept"),
+    )
+    alone = rows.where("n = 0").select(
+        "doc_id", "digest", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")
     )
+    return grouped.union(alone).withColumnRenamed("n", "n_shingles")
 
 
 def open_lists(lists, reached):

@@ -432,6 +432,32 @@ def test_near_components_of_loose_copies(spark, scratch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4)
 
 
+def test_near_copies_go_by_row(spark, scratch):
+    """Null and repeated ids: only near copies go, and they are linked without an id."""
+    rng = random.Random(3)
+    text = lambda: " ".join(f"t{rng.randrange(10**6)}" for _ in range(150))
+    edited = lambda t: " ".join(["changed", *t.split()[1:]])
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [
+        (None, text()), (None, text()), (None, ""), (None, None),  # unrelated ones
+        (None, a), (1, a.replace(" ", "  ")), (2, edited(a)),
+        (None, b), (None, edited(b)),
+        (3, c), (4, edited(c)), (4, text()),
+        (5, d), (5, edited(d)),
+        (6, e), (6, e + " "), (7, text()),
+    ]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, other string")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert len(left) == len(set(left)) and set(left) <= set(rows)
+    group = [(4, 7), (7, 9), (9, 11), (12, 14), (14, 16)]
+    sure = {*rows[:5], rows[9], rows[11], rows[16]}
+    assert sure <= set(left) and len(left) == len(sure) + 3
+    assert all(len(set(rows[i:j]) & set(left)) == 1 for i, j in group if (i, j) != (9, 11))
+    got = near_dedup.near_components(scratch, docs, 5).collect()
+    assert len(got) == len(rows) and sum(r.kept for r in got) == len(left)
+    assert sum(r.component_id is None for r in got) == 9
+
+
 def test_stages_keep_columns_and_clean_rows(spark, docs, tmp_path):
     base = str(tmp_path)
     docs.write.parquet(f"{base}/documents.parquet")
