@@ -71,7 +71,7 @@ PATTERNS = (
     ("awskey", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", "A"),
     ("secret", r"(?i)(?<=[=:\s\"'])(?:(?:sk|pk|ghp|gho|xox[bp])[_-][A-Za-z0-9_-]{16,}|[0-9a-f]{32,64})(?![\w-])", ""),
     ("secret", r"(?i)\b(?:password|passwd|pwd|secret|token|api_?key)\s*[=:]\s*[\"']?(?P<value>[^\s\"',;]{6,})", ""),
-    ("card", r"(?<![\w-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])", ""),
+    ("card", r"(?<![\w-])(?:[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)(?:[ -]?\d{4}){3}|3\d{3}[ -]?\d{6}[ -]?\d{4,5})(?![\w-])", ""),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])", ""),
     ("name", rf"(?<!\w)(?P<title>{TITLE})\.? (?P<value>{CAPITAL}(?: {CAPITAL})?)", ""),
 )
@@ -230,7 +230,9 @@ def surrogate(key, kind, form, attempt):
             return ".".join(str(draw.below(256)) for _ in range(4))
         return ".".join(octet(draw, len(part)) for part in form.split("."))
     if kind == "card":
-        body = form[0] + "".join(draw.of(DIGITS) for _ in range(len(form) - 2 + extra))
+        # Of the numbers that begin with 2, only 2221 to 2720 are cards.
+        head = str(2221 + draw.below(500)) if form[0] == "2" else form[0]
+        body = head + "".join(draw.of(DIGITS) for _ in range(len(form) - 1 - len(head) + extra))
         valid = luhn(form[:-1]) == form[-1]
         return body + (luhn(body) if valid else draw.of(DIGITS))
     if kind == "phone":

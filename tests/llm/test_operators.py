@@ -227,6 +227,23 @@ def test_pii_settles_forms_of_which_there_are_few(spark, scratch):
         assert [k for _, _, k, _ in pii.found(before)] == [k for _, _, k, _ in pii.found(after)]
 
 
+def test_pii_cards_of_all_series_and_groupings():
+    cards = [
+        "2221000000000009", "2720 9999 9999 9996", "2300-0000-0000-0003", "3782 822463 10005",
+        "3714-496353-98431", "3056 930902 5904", "378282246310005", "4111 1111 1111 1111",
+        "5500 0000 0000 0004", "6011000990139424",
+    ]
+    for card in cards:
+        text, n = pii.replaced(f"pay {card}, please", b"k", {})
+        new = text[4:-8]
+        assert n == 1 and new != card and [s[2] for s in pii.found(text)] == ["card"]
+        assert [c if not c.isdigit() else "0" for c in new] == [c if not c.isdigit() else "0" for c in card]
+        digits = "".join(c for c in new if c.isdigit())
+        assert digits[0] == card[0] and pii.luhn(digits[:-1]) == digits[-1], card
+    for other in ("2220999999999999", "2721 0000 0000 0000", "2024 0101 1200 0000", "22210000000000091"):
+        assert pii.replaced(f"no {other}.", b"k", {})[1] == 0
+
+
 def test_toxicity_learns_and_holds_out(spark, scratch):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
