@@ -21,7 +21,7 @@ leaves a task of step 4; its work still grows with the square of a cluster.
 
 Sketches can miss a linked pair only if fewer than SHARED of k sketch values are
 shared, or the estimate falls below ESTIMATE; for pairs at the threshold each has a
-chance below one in a million (binomial with k draws).
+chance of 7.8e-7 at most (binomial with k draws, 23 or fewer of 48 at 0.8).
 
 Defined cases: words are runs without ASCII white space, A-Z lower-cased; fewer words
 than a shingle has give the whole sequence as one; null, empty and blank texts have an
@@ -40,7 +40,7 @@ from hourgrid.llm.common import map_rows, text_bytes
 from hourgrid.llm.token_counts import Remembered
 
 SKETCH = 48
-SHARED = 26
+SHARED = 24
 ESTIMATE = 0.5
 BLOCK = 200_000
 LEAST = 200

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -449,6 +450,26 @@ def test_near_components_of_loose_copies(spark, scratch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4)
 
 
+def test_near_copies_that_share_half_of_a_sketch(spark, scratch):
+    """24 more shingles, all with small hashes, fill half of the longer text's sketch."""
+    missed = sum(math.comb(48, x) * 0.8**x * 0.2 ** (48 - x) for x in range(near_dedup.SHARED))
+    assert near_dedup.SKETCH == 48 and missed < 1e-6
+    rng = random.Random(8)
+    words = [f"h{rng.randrange(10**6)}" for _ in range(203)]
+    short = " ".join(words)
+    small = near_dedup.shingle_set(short, 4)[23]
+    for _ in range(24):
+        tries = (f"x{i}" for i in itertools.count())
+        words.append(next(w for w in tries if near_dedup.shingle_set(" ".join([*words[-3:], w]), 4)[0] < small))
+    rows = [(1, short), (2, " ".join(words))]
+    first, second = (set(near_dedup.shingle_set(t, 4)[: near_dedup.SKETCH]) for _, t in rows)
+    assert len(first & second) == 24
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_components(scratch, docs, 4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4)
+    assert {r.component_id for r in got} == {1}
+
+
 def test_near_copies_go_by_row(spark, scratch):
     """Null and repeated ids: only near copies go, and they are linked without an id."""
     rng = random.Random(3)
