@@ -6,6 +6,7 @@ import corpus_pipeline
 from hourgrid.llm import (
     decontaminate,
     exact_dedup,
+    lexical_search,
     license_scan,
     line_dedup,
     near_dedup,
@@ -18,6 +19,7 @@ from hourgrid.llm import (
 from hourgrid.llm.settings import (
     END_ID,
     LINE_DOCUMENTS,
+    RANKED,
     SEQUENCE,
     SHARDS,
     SHINGLE_WORDS,
@@ -171,3 +173,44 @@ def op3(spark, folder):
         kept = scratch.stage(pii.settled(scratch, docs, SURROGATE_KEY), "settled")
         rows = pii.rewritten(docs, SURROGATE_KEY, kept)
         return rows.select("doc_id", "n_entities", "text")
+
+
+@query(
+    "op13_lexical_search",
+    r"""
+    WITH texts AS (
+      SELECT doc_id, regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+      FROM documents WHERE text IS NOT NULL),
+    sizes AS (SELECT doc_id, CAST(len(terms) AS BIGINT) AS n FROM texts WHERE len(terms) > 0),
+    total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sizes),
+    tfs AS (
+      SELECT doc_id, term, count(*) AS tf
+      FROM (SELECT doc_id, unnest(terms) AS term FROM texts) GROUP BY ALL),
+    weights AS (
+      SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE)
+                                        / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM tfs CROSS JOIN total GROUP BY term),
+    wanted AS (
+      SELECT item_id, term, count(*) AS repeats
+      FROM (SELECT item_id, unnest(regexp_extract_all(
+                     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark) GROUP BY ALL),
+    scored AS (
+      SELECT item_id, doc_id, CAST(sum(repeats * w * ((1000000000 * tf)
+               // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // words))))) AS BIGINT) AS score
+      FROM wanted JOIN tfs USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id)
+           CROSS JOIN total
+      GROUP BY item_id, doc_id)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+          FROM scored WHERE score > 0)
+    WHERE rank <= 20
+    """,
+)
+def op13(spark, folder):
+    docs, items = (table(spark, folder, name) for name in ("documents", "benchmark"))
+    with Scratch(spark, "search") as scratch:
+        return cut_lineage(lexical_search.ranked(scratch, docs, items, RANKED), "search")
