@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hourgrid.llm import (
+    conversation_repair,
     decontaminate,
     exact_dedup,
     lexical_search,
@@ -175,6 +176,114 @@ def op3(spark, folder):
         return rows.select("doc_id", "n_entities", "text")
 
 
+def repair_sql():
+    """Best suffix of every state, from the last row back, as text: cost, then initials."""
+
+    def edit(suffix, cost, initial):
+        return f"printf('%06d', left({suffix}, 6)::INT + {cost}) || '{initial}' || substr({suffix}, 7)"
+
+    after = {0: 2, 1: 2, 2: 3, 3: 2}
+    gone = "fault IN ('blank', 'duplicate')"
+    extra = "(CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END)"
+    plain, best = [], []
+    for state, follow in after.items():
+        kept = {0: "role[1] IN ('s', 'u')", 2: "role[1] = 'a'"}.get(state, "role[1] = 'u'")
+        to = "CASE role[1] WHEN 's' THEN v1 WHEN 'u' THEN v2 ELSE v3 END"
+        plain.append(
+            f"least({edit(f'v{state}', 3, 'D')}, "
+            f"CASE WHEN NOT {gone} THEN {edit(f'v{follow}', f'2 + {extra}', 'R')} END, "
+            f"CASE WHEN NOT {gone} AND {kept} THEN {edit(f'({to})', extra, 'K')} END) AS e{state}"
+        )
+        twice = edit(f"e{after[follow]}", 4, "II")
+        best.append(f"least(e{state}, {edit(f'e{follow}', 2, 'I')}, {twice})")
+    return f"""
+    WITH RECURSIVE keyed AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+      FROM conversations),
+    kinds AS (
+      SELECT *, xor(4294967295, list_reduce(
+          list_prepend(4294967295::BIGINT,
+                       list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)),
+          lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                            lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS kind
+      FROM keyed),
+    hurt AS (
+      SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g')
+                       ELSE text END AS text,
+             unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+      FROM kinds WHERE kind <> 0),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id
+                                   ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i
+      FROM hurt),
+    faulty AS (
+      SELECT conv_id, i, turn, role, text,
+             lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair,
+             CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1
+                    THEN 'duplicate'
+                  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated'
+                  ELSE 'none' END AS fault
+      FROM placed),
+    counts AS (
+      SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (fault = 'blank') AS blank,
+             count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+      FROM faulty GROUP BY conv_id),
+    suffixes AS (
+      SELECT conv_id, n + 1 AS i, '000000' AS v0, '000004II' AS v1, '000002I' AS v2,
+             '000000' AS v3
+      FROM counts
+      UNION ALL
+      SELECT conv_id, i, {", ".join(best)}
+      FROM (SELECT f.conv_id, f.i, {", ".join(plain)}
+            FROM suffixes s JOIN faulty f
+              ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i - 1)),
+    audits AS (SELECT conv_id, left(v0, 6)::BIGINT AS cost, substr(v0, 7) AS audit
+               FROM suffixes WHERE i = 1),
+    letters AS (
+      SELECT conv_id, unnest(string_split(audit, '')) AS letter,
+             generate_subscripts(string_split(audit, ''), 1) AS p
+      FROM audits WHERE audit <> ''),
+    aligned AS (
+      SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i
+      FROM letters),
+    written AS (
+      SELECT a.conv_id, a.p, a.letter, f.role, CASE a.letter WHEN 'I' THEN '' ELSE f.text END AS text,
+             row_number() OVER (PARTITION BY a.conv_id ORDER BY a.p) - 1
+               - max(CASE WHEN a.letter = 'K' AND f.role[1] = 's' THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY a.conv_id) AS k
+      FROM aligned a LEFT JOIN faulty f
+        ON f.conv_id IS NOT DISTINCT FROM a.conv_id AND f.i = a.i
+      WHERE a.letter <> 'D'),
+    hashes AS (
+      SELECT conv_id, sha256(string_agg(
+               CASE WHEN letter = 'K' THEN role WHEN k % 2 = 0 THEN 'user' ELSE 'assistant' END
+               || ':' || text, chr(10) ORDER BY p)) AS sha
+      FROM written GROUP BY conv_id)
+    SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+           coalesce(duplicate, 0)::BIGINT AS duplicate,
+           coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+           coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+           coalesce(sha, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o
+    LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN hashes h ON h.conv_id IS NOT DISTINCT FROM o.conv_id
+    """
+
+
+@query("op12_conversation_repair", repair_sql())
+def op12(spark, folder):
+    rows = table(spark, folder, "conversations")
+    with Scratch(spark, "repair") as scratch:
+        return cut_lineage(conversation_repair.trial(scratch, rows), "repair")
+
+
 @query(
     "op13_lexical_search",
     r"""
