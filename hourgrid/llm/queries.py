@@ -7,6 +7,7 @@ from hourgrid.llm import (
     conversation_repair,
     decontaminate,
     exact_dedup,
+    fingerprints,
     lexical_search,
     license_scan,
     line_dedup,
@@ -19,6 +20,7 @@ from hourgrid.llm import (
 )
 from hourgrid.llm.settings import (
     END_ID,
+    HAMMING_RADIUS,
     LINE_DOCUMENTS,
     RANKED,
     SEQUENCE,
@@ -176,6 +178,28 @@ def op3(spark, folder):
         return rows.select("doc_id", "n_entities", "text")
 
 
+@query("op11_fingerprints")
+def op11(spark, folder):
+    docs = table(spark, folder, "documents")
+    with Scratch(spark, "prints") as scratch:
+        rows = scratch.stage(fingerprints.trial(scratch, docs), "rows")
+        classes = fingerprints.near_classes(scratch, rows, HAMMING_RADIUS)
+        found = rows.join(classes, "fingerprint").select(
+            "doc_id",
+            "n_chars",
+            *[
+                F.lower(F.hex(name)).alias(name)
+                for name in ("edited_sha256", "fingerprint", "edited_fingerprint")
+            ],
+            "near_edited",
+            "near_next",
+            "class_id",
+            "class_size",
+            "n_near",
+        )
+        return cut_lineage(found, "prints")
+
+
 def repair_sql():
     """Best suffix of every state, from the last row back, as text: cost, then initials."""
 

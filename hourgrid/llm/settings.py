@@ -13,3 +13,4 @@ STAGE_SHINGLE_WORDS = 5  # of the pipeline's stage
 TOXIC = 0.3
 SURROGATE_KEY = b"an example key; production passes its own"
 RANKED = 20  # documents of a benchmark item
+HAMMING_RADIUS = 7  # of 256 bits
