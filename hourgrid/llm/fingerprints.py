@@ -247,7 +247,7 @@ def near_classes(scratch, prints, radius):
         near[first] = counted(prints[first], prints[second], sizes[second], list_no)
         if low != high:
             near[second] = counted(prints[second], prints[first], sizes[first], list_no)
-        else:
+        elif list_no == 0:
             near -= sizes  # each has met itself
         met = near > 0
         return pd.DataFrame({"fingerprint": rows["fingerprint"][met], "near": near[met]})
