@@ -10,12 +10,13 @@ decides the repaired rows wholly.
 1. Rows get their faults in DataFrame expressions and are sorted within conversations;
    only roles, faults and digests move.
 2. Per conversation a depth-first search runs over (rows done, last role). It has its
-   own stack, a lower bound of what the rest of the rows costs, the best finished list
-   so far as (cost, audit), and for each node a table of the best prefix that reached
-   it; worse prefixes are dropped there. An empty stack is the proof.
+   own stack, a lower bound of what the rest of the rows costs from each state, an
+   incumbent (cost, audit), first the cost of a greedy descent, and for each node a table
+   of the best prefix that reached it; worse prefixes are dropped there. Edits are tried
+   in the order of bound and initial. An empty stack is the proof.
 3. Long conversations are searched in segments of SEGMENT rows: the node tables at the
-   end of one are the starts of the next, so memory stays at one segment, one byte a row
-   and the audit.
+   end of one are the starts of the next, so memory stays at one segment, the audit and
+   a few bytes a row.
 4. Edits are applied while the sorted texts stream by, with one row held at a time.
 
 Rows of one conversation follow each other, so one task reads a conversation in order,
@@ -30,6 +31,7 @@ without rows the result is empty; other columns are ignored.
 
 import hashlib
 import os.path
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import Window
@@ -50,84 +52,105 @@ NEXT = {START: USER, SYSTEM: USER, USER: ASSISTANT, ASSISTANT: USER}
 FINAL = (START, ASSISTANT)
 LEGAL = {"su", "ua", "au"}
 CLEAN, CUT, GONE = range(3)
+DEAREST = 1 << 60
+LAST_AUDIT = "~"  # after every audit
 
 STATISTICS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
 
 
 def least_costs(rows):
-    """For every suffix of (role, fault) rows, a lower bound of its cost.
+    """Lower bounds of the cost of every suffix of (role, fault) rows, by state.
 
-    Every row costs its cheapest edit. Of two equal user or assistant rows side by side
-    one is not kept as it is, or a row is inserted between them; pairs do not overlap.
+    They leave the audit out of account, and are as sharp as that allows: weaker ones
+    (costs row by row, or system rows kept anywhere) let the search grow exponentially
+    on conversations of some hundred rows.
     """
-    bound = [0] * (len(rows) + 1)
-    least = []
-    for role, fault in rows:
-        kept = (0 if role else REROLE) + (TRUNCATED if fault == CUT else 0)
-        least.append(DELETE if fault == GONE else min(DELETE, kept))
-    for i in range(len(rows) - 1, -1, -1):
-        bound[i] = bound[i + 1] + least[i]
-        if i + 1 < len(rows):
-            (role, fault), (after, fault_after) = rows[i], rows[i + 1]
-            if role == after and role in ROLES and GONE not in (fault, fault_after):
-                bound[i] = max(bound[i], bound[i + 2] + least[i] + least[i + 1] + REROLE)
+    bound = [array("q", bytes(8 * (len(rows) + 1))) for _ in NEXT]
+    for i in range(len(rows), -1, -1):
+        least = [0 if i == len(rows) and state in FINAL else DEAREST for state in NEXT]
+        for state in NEXT:
+            for initial, price, j, after in edits(rows, i, state):
+                if initial != "I":
+                    least[state] = min(least[state], price + bound[after][j])
+        for _ in range(2):  # two insertions lead to every state that one can reach
+            for state, follow in NEXT.items():
+                least[state] = min(least[state], INSERT + least[follow])
+        for state in NEXT:
+            bound[state][i] = least[state]
     return bound
 
 
 def edits(rows, i, state):
-    """(initial, cost, rows done, state) of every edit at a node, the dearest first."""
-    done = i < len(rows)
+    """(initial, cost, rows done, state) of every edit at a node."""
     follow = NEXT[state]
-    if done:
+    yield "I", INSERT, i, follow
+    if i < len(rows):
         role, fault = rows[i]
         yield "D", DELETE, i + 1, state
         if fault != GONE:
             extra = TRUNCATED if fault == CUT else 0
             yield "R", REROLE + extra, i + 1, follow
-    yield "I", INSERT, i, follow
-    if done and fault != GONE and (role == follow or (role == SYSTEM and state == START)):
-        yield "K", extra, i + 1, role
+            if role == follow or (role == SYSTEM and state == START):
+                yield "K", extra, i + 1, role
+
+
+def descent(rows, bound):
+    """The cost of the list of edits that looks cheapest at every step."""
+    i, state, cost = 0, START, 0
+    while i < len(rows) or state not in FINAL:
+        _, price, i, state = min(
+            edits(rows, i, state), key=lambda e: (e[1] + bound[e[3]][e[2]], -e[2], e[0])
+        )
+        cost += price
+    return cost
 
 
-def search(rows, starts, last):
-    """The best (cost, audit) of every state after ``rows``.
+def search(rows, start, end, starts, bound, limit):
+    """The best (cost, audit) of every state after ``end`` rows, from those at ``start``.
 
-    ``starts`` has those before; of ``last`` rows only the final states count.
+    No complete list of edits costs more than ``limit``; prefixes that must, go.
     """
-    bound = least_costs(rows)
-    tables = [{} for _ in range(len(rows) + 1)]
+    tables = [{} for _ in range(start, end + 1)]
     tables[0] = dict(starts)
-    stack = [(0, state, *best) for state, best in starts.items()]
-    incumbent = (float("inf"), "")
+    stack = [(start, state, *best) for state, best in starts.items()]
+    incumbent = (limit, LAST_AUDIT)
     while stack:
         i, state, cost, audit = stack.pop()
-        if tables[i][state] != (cost, audit):
+        if tables[i - start][state] != (cost, audit):
             continue  # a better prefix came here since
-        least = cost + bound[i]
-        if least > incumbent[0] or (least == incumbent[0] and audit > incumbent[1][: len(audit)]):
+        least = cost + bound[state][i]
+        if least == incumbent[0] and audit > incumbent[1][: len(audit)]:
             continue
-        if last and i == len(rows) and state in FINAL:
+        if i == len(rows) and state in FINAL:
             incumbent = min(incumbent, (cost, audit))
+        found = []
         for initial, price, j, after in edits(rows, i, state):
+            if j > end or cost + price + bound[after][j] > incumbent[0]:
+                continue
             reached = (cost + price, audit + initial)
-            held = tables[j].get(after)
+            held = tables[j - start].get(after)
             if held is None or reached < held:
-                tables[j][after] = reached
-                stack.append((j, after, *reached))
-    return {START: incumbent} if last else tables[-1]
+                tables[j - start][after] = reached
+                found.append((cost + price + bound[after][j], initial, j, after, reached))
+        # The most promising edit is tried first.
+        for _, _, j, after, reached in sorted(found, reverse=True):
+            stack.append((j, after, *reached))
+    return tables[-1]
 
 
 def cheapest(rows):
     """Cost and audit of the best repair of (role, fault) rows."""
+    bound = least_costs(rows)
+    limit = descent(rows, bound)
     best, settled = {START: (0, "")}, []
     for start in range(0, max(len(rows), 1), SEGMENT):
         # What all prefixes share decides nothing any more.
         shared = os.path.commonprefix([audit for _, audit in best.values()])
         settled.append(shared)
         best = {s: (cost, audit[len(shared) :]) for s, (cost, audit) in best.items()}
-        end = start + SEGMENT
-        best = search(rows[start:end], best, end >= len(rows))
-    cost, audit = best[START]
+        end = min(start + SEGMENT, len(rows))
+        best = search(rows, start, end, best, bound, limit)
+    cost, audit = min(best[state] for state in FINAL if state in best)
     return cost, "".join(settled) + audit
 
 

@@ -198,8 +198,8 @@ def test_segments_change_nothing(segment, monkeypatch):
         roles = rng.choice(([0, 1, 2, 3], [2, 3], [2, 2, 3], [1, 2, 3]))
         codes = [(rng.choice(roles), rng.choice([0, 0, 1, 2])) for _ in range(rng.randrange(60))]
         assert repair.cheapest(codes) == suffix_best(codes)
-        bound = repair.least_costs(codes)
-        assert bound[0] <= repair.cheapest(codes)[0] and bound[-1] == 0
+        bound, cost = repair.least_costs(codes), repair.cheapest(codes)[0]
+        assert bound[repair.START][0] <= cost <= repair.descent(codes, bound)
 
 
 CONVERSATIONS = "conv_id long, turn long, role string, text string, audit string, kind string"
