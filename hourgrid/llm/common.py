@@ -1,5 +1,9 @@
 """Small helpers shared by the text operators."""
 
+import ctypes
+import ctypes.util
+import gc
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -40,3 +44,41 @@ def arrow_schema(spark, schema):
 def nested(docs):
     """All columns in ``row`` beside doc_id and text, so that no new name meets an old one."""
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", "text")
+
+
+class Worker:
+    """What a Python worker holds for the operator it works for now.
+
+    A worker lives through many stages. Encoders, lexicons and remembered results
+    belong to an owner; those of all others go as soon as another one is at work.
+    """
+
+    owner = None
+    made = {}
+    remembered = []  # weak references to dictionaries with an ``owner``
+
+
+def held(owner, key, build):
+    """The result of ``build()``, made once per worker while ``owner`` is at work."""
+    take_over(owner)
+    if key not in Worker.made:
+        Worker.made[key] = build()
+    return Worker.made[key]
+
+
+def take_over(owner):
+    if Worker.owner == owner:
+        return
+    Worker.owner, Worker.made = owner, {}
+    live = [(ref, ref()) for ref in Worker.remembered]
+    Worker.remembered = [ref for ref, one in live if one is not None]
+    for _, one in live:
+        if one is not None and one.owner != owner:
+            one.forget()
+    del live
+    gc.collect()
+    # Freed memory goes back to the system, not only to this process.
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(ctypes.CDLL(libc), "malloc_trim"):
+        ctypes.CDLL(libc).malloc_trim(0)

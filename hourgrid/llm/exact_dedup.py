@@ -11,12 +11,9 @@ largest doc_id stays, and rows that repeat that doc_id stay together; a null doc
 is smaller than any other; other columns are kept as they are.
 """
 
-import hashlib
-
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BinaryType
 
+from hourgrid.llm.common import UPPER
 from hourgrid.session import cut_lineage
 
 PREFIX = 256
@@ -24,14 +21,10 @@ PREFIX = 256
 BITS = 1 << 24
 
 
-@pandas_udf(BinaryType())
-def _digest(texts):
-    return texts.map(digest)
-
-
 def digest(text):
-    """SHA-256 of a text with A-Z lower-cased; null counts as empty."""
-    return hashlib.sha256((text or "").encode("utf-8").lower()).digest()
+    """SHA-256 of a text column with A-Z lower-cased; null counts as empty."""
+    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
+    return F.unhex(F.sha2(lowered.cast("binary"), 256))
 
 
 def _bit(key):
@@ -80,7 +73,7 @@ def exact_groups(scratch, docs, all_digests=False):
     ``all_digests`` asks for it.
     """
     marked = refine(docs.select("doc_id", "text"))
-    full = _digest("text")
+    full = digest(F.col("text"))
     narrow = scratch.stage(
         marked.select(
             "doc_id",
@@ -117,7 +110,7 @@ def drop_duplicates(docs):
     """The documents that stay. Texts that refinement proves unique are not moved."""
     columns = docs.columns
     marked = refine(docs)
-    rows = marked.where("again").withColumn("digest", _digest("text"))
+    rows = marked.where("again").withColumn("digest", digest(F.col("text")))
     # A table of its own, so that the join can split a large group.
     keep = cut_lineage(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "keep")
     same = (F.col("r.digest") == F.col("k.digest")) & F.col("r.doc_id").eqNullSafe(

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hourgrid.llm.common import arrow_schema, map_rows
+from hourgrid.llm.common import arrow_schema, held, map_rows
 from hourgrid.llm.token_counts import (
     CACHED_LENGTH,
     TOKEN_WORDS,
@@ -99,9 +99,8 @@ def ranked_encoding(path):
     return tiktoken.Encoding("words", pat_str=PIECE, mergeable_ranks=ranks, special_tokens={})
 
 
-@lru_cache(maxsize=2)
 def word_ids(path):
-    return WordIds(path)
+    return held("packing", path, lambda: WordIds(path))
 
 
 def signs():

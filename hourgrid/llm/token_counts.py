@@ -12,13 +12,12 @@ than ``doc_id`` and ``text`` are ignored.
 import json
 import re
 import weakref
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import regex
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import map_rows
+from hourgrid.llm.common import Worker, held, map_rows, take_over
 
 # Fixed value: the published splitting pattern of this family of tokenizers.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -109,21 +108,18 @@ class BytePairs:
 class Remembered(dict):
     """A function's results, in two generations of a bounded number of short keys.
 
-    A Python worker serves one stage after another; what the stages of other owners
-    remembered goes when the first new key of an owner comes.
+    What the stages of other owners remembered goes when the first new key comes.
     """
 
-    owner_now, instances = None, []
-
     def __init__(self, function, owner, bound=CACHED_WORDS, length=CACHED_LENGTH):
         super().__init__()
         self.function, self.owner, self.older = function, owner, {}
         self.bound, self.length = bound, length
-        Remembered.instances.append(weakref.ref(self))
+        Worker.remembered.append(weakref.ref(self))
 
     def __missing__(self, key):
-        if Remembered.owner_now != self.owner:
-            self.take_over()
+        if Worker.owner != self.owner:
+            take_over(self.owner)
         value = self.older.get(key)
         if value is None:
             value = self.function(key)
@@ -134,14 +130,9 @@ class Remembered(dict):
             self[key] = value
         return value
 
-    def take_over(self):
-        Remembered.owner_now = self.owner
-        live = [(ref, ref()) for ref in Remembered.instances]
-        Remembered.instances = [ref for ref, one in live if one is not None]
-        for _, one in live:
-            if one is not None and one.owner != self.owner:
-                one.clear()
-                one.older = {}
+    def forget(self):
+        self.clear()
+        self.older = {}
 
 
 DOUBLE_BLANK = re.compile(r"\s\s")
@@ -181,9 +172,8 @@ class WordCounter:
         return self.plain(first) + sum(map(self.word.__getitem__, rest))
 
 
-@lru_cache(maxsize=2)
 def word_counter(path):
-    return WordCounter(BytePairs.load(path))
+    return held("counts", path, lambda: WordCounter(BytePairs.load(path)))
 
 
 def token_counts(docs, tokenizer):

@@ -21,7 +21,6 @@ rows get the same score.
 
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
-from hourgrid.llm.common import map_rows
+from hourgrid.llm.common import held, map_rows
 from hourgrid.llm.token_counts import Remembered
 
 SAMPLE = 20_000
@@ -160,9 +159,8 @@ class Features:
         ]
 
 
-@lru_cache(maxsize=2)
 def features_of(lexicon):
-    return Features(dict(lexicon))
+    return held("toxicity", lexicon, lambda: Features(dict(lexicon)))
 
 
 def feature_column(text, lexicon):
