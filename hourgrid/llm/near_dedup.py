@@ -197,8 +197,13 @@ def components(scratch, links):
 
 
 def near_components(scratch, docs, width):
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    return near_rows(scratch, docs, width).drop("digest")
+    """One row per document: doc_id, n_shingles, component_id, kept, stays.
+
+    ``kept`` rows have the id of their component, ``stays`` is the one row of it that a
+    filter leaves; they differ only where an id is repeated.
+    """
+    rows = near_rows(scratch, docs, width).drop("digest").withColumnRenamed("kept", "stays")
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_rows(scratch, docs, width):

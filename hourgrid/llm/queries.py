@@ -111,19 +111,20 @@ def op9(spark, folder):
     "op2_line_dedup",
     r"""
     WITH lines AS (
-      SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line
-      FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+      SELECT r, doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line
+      FROM (SELECT row_number() OVER () AS r, doc_id,
+                   string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
     keyed AS (
       SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
       FROM lines),
     heavy AS (
       SELECT key, true AS gone FROM keyed WHERE key <> ''
-      GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+      GROUP BY key HAVING count(DISTINCT r) >= 10)
     SELECT doc_id, count(*) AS n_lines, count(gone) AS n_dropped,
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (gone IS NULL), ''))
              AS kept_sha256
-    FROM keyed LEFT JOIN heavy USING (key) GROUP BY doc_id
+    FROM keyed LEFT JOIN heavy USING (key) GROUP BY r, doc_id
     """,
 )
 def op2(spark, folder):
