@@ -4,6 +4,10 @@ Each job can be run again: finished days are skipped, and tables are written by
 key or by whole partitions.
 """
 
+import functools
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.functions.periods import date_window, in_year
@@ -12,6 +16,7 @@ from hourgrid.operators.cleaning import dedupe_keep_first
 from hourgrid.operators.heatmaps import month_hour_heatmap
 from hourgrid.operators.rollups import bx_annual, bx_monthly
 from hourgrid.operators.zones import mapping_stats, node_zone_map
+from hourgrid.plans import ledger
 from hourgrid.session import Scratch, cut_lineage
 from hourgrid.sources import archives, paths, store
 from hourgrid.sources.columns import typed_prices
@@ -33,79 +38,130 @@ def store_bx(spark, prices, mapping, daily_path, bx_values=None):
     store.upsert_table(spark, daily_path, all_bx(prices, mapping, bx_values), BX_KEY, "opr_dt")
 
 
-LEDGER = "file string"
+BATCH_FILES = 1000  # archives whose names the driver holds at a time
 
 
-def _loaded_files(spark, store_path):
-    """Names of the archives that were loaded without an error."""
-    path = f"{store_path}/_loaded"
-    if not paths.exists(spark, path):
-        return spark.createDataFrame([], LEDGER)
-    return spark.read.schema(LEDGER).parquet(path).distinct()
+def file_name(path):
+    return F.element_at(F.split(path, "/"), -1)
 
 
-def _file_name(path):
-    return F.element_at(F.split(path, "/"), -1)
+def report_rows(rows, status):
+    """Report rows of archives that were not read now."""
+    nothing = F.lit(0).cast("long")
+    return rows.select(
+        F.col("file").alias("source_file"),
+        nothing.alias("records"),
+        F.lit(None).cast("string").alias("error"),
+        nothing.alias("foreign_rows"),
+        F.lit(status).alias("status"),
+    )
+
+
+def load_files(spark, files, content, store_path, daily_path=None, mapping=None, run=None):
+    """Load some archives into the store and, optionally, the Bx of their days.
+
+    ``files`` has file, length, modified and republished of each, ``content`` (path,
+    content). An archive adds rows of its own day only; others are counted. A stored
+    key stays as it is, unless the archive was loaded before and has been republished:
+    its rows then replace those of the same key. Every archive gets a row in the
+    ledger. Doing all of it again changes nothing.
+
+    Returns the report, one staged row per archive.
+    """
+    with Scratch(spark, "load") as scratch:
+        batch = scratch.stage(archives.unpack_archives(content), "unpacked")
+        files = scratch.stage(files, "files")
+        readable = batch.where(F.col("error").isNull()).withColumnRenamed("row_no", "row_id")
+        rows = typed_prices(readable)
+        own_day = F.col("opr_dt") == archives.archive_date(F.col("source_file"))
+        foreign = rows.where(~own_day).groupBy("source_file").agg(
+            F.count(F.lit(1)).alias("foreign_rows")
+        )
+        rows = rows.where(own_day)
+        order = ["source_file", "row_id"]
+        again = files.where("republished").select(F.col("file").alias("source_file"))
+        fresh = rows.join(again, "source_file", "left_anti")
+        store.append_prices(dedupe_keep_first(fresh, PRICE_KEY, order), store_path)
+        if not again.isEmpty():
+            newer = rows.join(again, "source_file", "left_semi")
+            store.merge_daily(spark, dedupe_keep_first(newer, PRICE_KEY, order), store_path)
+        if daily_path is not None:
+            loaded = store.on_days(store.read_prices(spark, store_path), rows)
+            store_bx(spark, loaded, mapping, daily_path)
+        status = F.when(F.col("error").isNull(), ledger.PROCESSED).otherwise(ledger.ERROR)
+        report = cut_lineage(
+            archives.archive_status(batch)
+            .join(foreign, "source_file", "left")
+            .na.fill(0, ["foreign_rows"])
+            .withColumn("status", status),
+            "load-report",
+        )
+        results = report.select(F.col("source_file").alias("file"), "status", "error")
+        known = files.select("file", "length", "modified")
+        ledger.note(known.join(results, "file"), store_path, run)
+    return report
 
 
 def load_batch(
-    spark, archive_path, store_path, daily_path=None, mapping=None, batch_size=None, year=None
+    spark,
+    archive_path,
+    store_path,
+    daily_path=None,
+    mapping=None,
+    batch_size=None,
+    year=None,
+    max_attempts=None,
 ):
     """Load waiting archives, of one year if given, into the store and, optionally, their Bx.
 
-    An archive waits until it was loaded without an error; that is remembered by its
-    name, not by its day. It adds rows of its own day only (others are counted in the
-    report), and a stored key stays as it is, so the result does not depend on the
-    batch size, and nothing stored is lost.
+    An archive waits until this version of it, by length and modification time, was
+    loaded without an error. Those that failed least often come first, then by name, so
+    an unreadable one never holds the others up; with ``max_attempts`` it is left alone
+    after so many failures, until it is republished. See ``load_files`` for the rows.
 
-    Returns one row per archive: processed, skipped or error. The listing of the
-    batch is read on the driver (one name per archive); archive content is not.
-    The unpacked batch is kept in the shared folder, so every archive is unzipped
-    once although its rows feed the store, the Bx and the report.
+    Returns one row per archive: processed, skipped, error, or quarantined. The driver
+    holds the names of at most BATCH_FILES archives at a time; archive content is not
+    read on it, and every archive is unzipped once.
     """
-    files = archives.list_archives(spark, archive_path).select("file")
-    day = archives.archive_date(F.col("file"))
-    files = files.where(day.isNotNull() if year is None else F.year(day) == year)
-    name = _file_name(F.col("file")).alias("file")
-    done = _loaded_files(spark, store_path)
-    waiting = files.withColumn("path", F.col("file")).withColumn("file", name)
-    waiting = waiting.join(done, "file", "left_anti").orderBy("file")
-    waiting = waiting if batch_size is None else waiting.limit(batch_size)
-    names = [row.path for row in waiting.collect()]
-    nothing = F.lit(0).cast("long")
-    report = files.select(name).join(done, "file", "left_semi").select(
-        F.col("file").alias("source_file"),
-        nothing.alias("records"),
-        F.lit(None).cast("string").alias("error"),
-        nothing.alias("foreign_rows"),
-        F.lit("skipped").alias("status"),
+    recover(spark, store_path)
+    run = uuid.uuid4().hex
+    day = archives.archive_date(F.col("path"))
+    files = (
+        archives.list_archives(spark, archive_path)
+        .select(F.col("file").alias("path"), "length", F.col("modificationTime").alias("modified"))
+        .where(day.isNotNull() if year is None else F.year(day) == year)
+        .withColumn("file", file_name(F.col("path")))
     )
-    if not names:
-        return report
-    batch = cut_lineage(
-        archives.unpack_archives(
-            spark.read.format("binaryFile").load(names).select("path", "content")
+    before = cut_lineage(ledger.states(files, ledger.read(spark, store_path)), "listing")
+    loaded = before.where("loaded").select("file").distinct()
+    reports = [report_rows(loaded, "skipped")]
+    if max_attempts is not None:
+        stuck = before.where(~F.col("loaded") & (F.col("attempts") >= max_attempts))
+        reports.append(report_rows(stuck, "quarantined"))
+    left = batch_size
+    while left is None or left > 0:
+        waiting = ledger.states(files, ledger.read(spark, store_path), run)
+        waiting = waiting.where(~F.col("loaded") & ~F.col("tried"))
+        if max_attempts is not None:
+            waiting = waiting.where(F.col("attempts") < max_attempts)
+        size = BATCH_FILES if left is None else min(left, BATCH_FILES)
+        micros = F.unix_micros("modified").alias("micros")
+        chosen = waiting.select("path", "file", "length", micros, "republished", "attempts")
+        chosen = chosen.orderBy("attempts", "file", "path").limit(size).collect()
+        if not chosen:
+            break
+        content = spark.read.format("binaryFile").load([row.path for row in chosen])
+        some = spark.createDataFrame(
+            [(r.file, r.length, r.micros, r.republished) for r in chosen],
+            "file string, length long, micros long, republished boolean",
+        ).withColumn("modified", F.timestamp_micros("micros"))
+        reports.append(
+            load_files(
+                spark, some, content.select("path", "content"), store_path, daily_path, mapping, run
+            )
         )
-    )
-    rows = typed_prices(batch.where(F.col("error").isNull()).withColumnRenamed("row_no", "row_id"))
-    own_day = F.col("opr_dt") == archives.archive_date(F.col("source_file"))
-    foreign = rows.where(~own_day).groupBy("source_file").agg(
-        F.count(F.lit(1)).alias("foreign_rows")
-    )
-    rows = rows.where(own_day)
-    store.append_prices(dedupe_keep_first(rows, PRICE_KEY, ["source_file", "row_id"]), store_path)
-    if daily_path is not None:
-        loaded = store.on_days(store.read_prices(spark, store_path), rows)
-        store_bx(spark, loaded, mapping, daily_path)
-    loaded = (
-        archives.archive_status(batch)
-        .join(foreign, "source_file", "left")
-        .na.fill(0, ["foreign_rows"])
-        .withColumn("status", F.when(F.col("error").isNull(), "processed").otherwise("error"))
-    )
-    finished = loaded.where("status = 'processed'").select(F.col("source_file").alias("file"))
-    finished.write.mode("append").parquet(f"{store_path}/_loaded")
-    return report.unionByName(loaded)
+        left = None if left is None else left - len(chosen)
+    return functools.reduce(DataFrame.unionByName, reports)
 
 
 def load_summary(report):
@@ -123,32 +179,120 @@ def load_summary(report):
     )
 
 
-def reprocess_year(spark, year, archive_path, store_path, batch_size=None):
+def _journal(store_path, year):
+    return f"{store_path}/_reprocess/{year}"
+
+
+INTENT = "day date, action string"
+REPLACE, DROP = "replace", "drop"
+
+
+def _nothing(step):
+    pass
+
+
+def reprocess_year(spark, year, archive_path, store_path, batch_size=None, after_step=_nothing):
     """Load a year again from its archives, all batches of it, and replace it.
 
-    The new rows are complete before an old one goes. An archive that cannot be read
-    raises, and the stored year stays.
+    1. All archives go to a store of their own below ``store_path``. One that cannot be
+       read raises, and the stored year stays; so it does if the job breaks off here,
+       and the next call goes on with the archives that are left.
+    2. The days to replace and to drop are written down. From here on the year is
+       replaced, by this call or, after a failure, by ``recover`` at the next start of
+       any load.
+    3. Each day is swapped by itself: its old folder goes, its new one is moved there.
+       The new rows of a day exist at any time, and no step done twice does harm.
+    4. Archives of dropped days are forgotten, those of the new days are remembered.
+
+    ``after_step`` is called with the name of each finished step, for tests.
+    Returns how many stored rows were replaced or dropped, and the load's report.
     """
-    with Scratch(spark, "reprocess") as scratch:
-        fresh = scratch.folder("prices")
-        while True:
-            report = load_batch(spark, archive_path, fresh, batch_size=batch_size, year=year)
-            report = cut_lineage(report)
-            if not report.where("status = 'error'").isEmpty():
-                raise ValueError(f"some archives of {year} cannot be read; nothing was replaced")
-            if report.where("status = 'processed'").isEmpty():
-                break
-        known = _loaded_files(spark, store_path)
-        dropped = 0
-        if store.list_day_folders(spark, store_path):
-            dropped = store.clear_year(spark, store_path, year)
-        if store.list_day_folders(spark, fresh):
-            store.append_prices(store.read_prices(spark, fresh), store_path)
-        again = _loaded_files(spark, fresh).join(known, "file", "left_anti")
-        again.write.mode("append").parquet(f"{store_path}/_loaded")
+    recover(spark, store_path, after_step)
+    journal = _journal(store_path, year)
+    fresh = f"{journal}/prices"
+    _drop_stale(spark, archive_path, journal, fresh, year)
+    reports = []
+    while True:
+        report = load_batch(spark, archive_path, fresh, batch_size=batch_size, year=year)
+        report = cut_lineage(report)
+        if not report.where("status = 'error'").isEmpty():
+            raise ValueError(f"some archives of {year} cannot be read; nothing was replaced")
+        loaded = report.where("status = 'processed'")
+        if loaded.isEmpty():
+            break
+        reports.append(loaded)
+        after_step("loaded")
+    # Archives that an earlier, broken call has loaded are in the last report only.
+    read = functools.reduce(DataFrame.unionByName, reports, report.limit(0))
+    report = read.unionByName(report.join(read.select("source_file"), "source_file", "left_anti"))
+    held = {d for d in store.list_day_folders(spark, store_path) if d.year == year}
+    dropped = 0
+    if held:
+        stored = store.read_prices(spark, store_path)
+        dropped = date_window(stored, f"{year}-01-01", f"{year}-12-31").count()
+    new = set(store.list_day_folders(spark, fresh))
+    intent = [(day, REPLACE if day in new else DROP) for day in sorted(held | new)]
+    spark.createDataFrame(intent, INTENT).coalesce(1).write.parquet(f"{journal}/intent")
+    after_step("intent")
+    _replace_days(spark, store_path, journal, after_step)
     return dropped, report.withColumn("status", F.lit("processed"))
 
 
+def _drop_stale(spark, archive_path, journal, fresh, year):
+    """Begin anew if an archive that an earlier call has loaded is there no longer."""
+    if not paths.exists(spark, journal):
+        return
+    names = archives.list_archives(spark, archive_path).select(file_name(F.col("file")).alias("file"))
+    if not ledger.read(spark, fresh).join(names, "file", "left_anti").isEmpty():
+        paths.drop_folder(spark, journal)
+
+
+def _replace_days(spark, store_path, journal, after_step=_nothing):
+    """Steps 3 and 4 of ``reprocess_year``, from wherever they were left."""
+    fresh = f"{journal}/prices"
+    intent = spark.read.schema(INTENT).parquet(f"{journal}/intent").orderBy("day").collect()
+    staged = store.list_day_folders(spark, fresh)
+    for day, action in intent:  # a year's days at most
+        target = store.day_folder(store_path, day)
+        if action == DROP:
+            paths.drop_folder(spark, target)
+        elif day in staged:
+            paths.drop_folder(spark, target)
+            after_step("cleared")
+            paths.move_folder(spark, staged[day], target)
+        after_step("day")
+    done = spark.createDataFrame([(d,) for d, a in intent if a == DROP], "day date")
+    known = ledger.read(spark, store_path).select("file").distinct()
+    gone = known.join(done, archives.archive_date(F.col("file")) == F.col("day"), "left_semi")
+    ledger.forget(cut_lineage(gone, "forgotten"), store_path, "reprocess")
+    after_step("forgotten")
+    loaded = ledger.read(spark, fresh).where(F.col("status") == ledger.PROCESSED)
+    ledger.note(cut_lineage(loaded, "remembered"), store_path, "reprocess")
+    after_step("remembered")
+    paths.drop_folder(spark, journal)
+
+
+def recover(spark, store_path, after_step=_nothing):
+    """Finish what a broken ``reprocess_year`` had written down; other drafts stay."""
+    for year in paths.list_hidden(spark, f"{store_path}/_reprocess"):
+        journal = _journal(store_path, year)
+        if paths.exists(spark, f"{journal}/intent/_SUCCESS"):
+            _replace_days(spark, store_path, journal, after_step)
+        elif paths.exists(spark, f"{journal}/intent"):
+            paths.drop_folder(spark, f"{journal}/intent")
+
+
+def clear_days(spark, store_path, start=None, end=None):
+    """Drop the days of a range and forget their archives, so that they load again."""
+    recover(spark, store_path)
+    known = ledger.read(spark, store_path).select("file").distinct()
+    days = known.withColumn("opr_dt", archives.archive_date(F.col("file")))
+    files = cut_lineage(date_window(days, start, end).select("file"), "forgotten")
+    dropped = store.clear_range(spark, store_path, start, end)
+    ledger.forget(files, store_path, "clear")
+    return dropped
+
+
 def backfill_bx(spark, store_path, daily_path, mapping, year=None):
     """Calculate Bx for the stored days that have none."""
     days = in_year(store.stored_dates(spark, store_path), year)

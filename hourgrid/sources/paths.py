@@ -23,3 +23,20 @@ def exists(spark, path):
 def drop_folder(spark, path):
     target, files = _file_system(spark, path)
     return files.delete(target, True)
+
+
+def move_folder(spark, source, target):
+    """Rename a folder; its new parent is made and an old target must be gone."""
+    old, files = _file_system(spark, source)
+    new = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files.mkdirs(new.getParent())
+    if not files.rename(old, new):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def list_hidden(spark, path):
+    """Names of all folders directly below ``path``, with those of jobs."""
+    target, files = _file_system(spark, path)
+    if not files.exists(target):
+        return []
+    return sorted(s.getPath().getName() for s in files.listStatus(target) if s.isDirectory())

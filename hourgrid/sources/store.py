@@ -129,6 +129,11 @@ def list_day_folders(spark, path):
     }
 
 
+def day_folder(path, day):
+    """Where the rows of a day lie."""
+    return f"{path}/year={day.year}/month={day.month}/opr_dt={day.isoformat()}"
+
+
 def stored_dates(spark, path):
     """The loaded days."""
     days = sorted(list_day_folders(spark, path))

@@ -62,9 +62,10 @@ def test_market_quantiles_stay_off_one_task(facts):
 
 EAGER = {
     "append_prices", "backfill_bx", "clear_range", "ingest_zip", "insert_ignore_table",
-    "load_batch", "parse_price_csv", "refresh_heatmap", "refresh_mapping", "reprocess_year",
+    "load_batch", "load_batch_bad_archive", "load_report", "load_summary", "parse_price_csv",
+    "refresh_heatmap", "refresh_mapping", "reprocess_year", "reprocess_year_resumed",
     "rollup_job", "scan_day", "scan_range", "standardize_csv", "stored_dates",
-    "stream_daily_ingest", "upsert_table", "write_daily",
+    "stream_archives", "stream_daily_ingest", "upsert_table", "write_daily",
 }
 
 
