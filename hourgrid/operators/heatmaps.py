@@ -42,6 +42,54 @@ def month_hour_heatmap(prices, mapping, year=None):
     )
 
 
+PARTIAL_KEY = ("node", "year", "month", "hour")
+
+
+def month_hour_partials(prices):
+    """Sum and count of prices per node, year, month and hour, which add up."""
+    cells = _sums(
+        prices,
+        "node",
+        F.year("opr_dt").alias("year"),
+        F.month("opr_dt").alias("month"),
+        F.col("opr_hr").alias("hour"),
+    )
+    return cells.select(
+        *PARTIAL_KEY,
+        F.col("_sum").cast("decimal(38,4)").alias("price_sum"),
+        F.col("_count").alias("price_count"),
+    )
+
+
+def merged_partials(added, removed):
+    """``added`` partials without the ``removed`` ones; cells without prices go."""
+    minus = removed.withColumns(
+        {name: -F.col(name) for name in ("price_sum", "price_count")}
+    )
+    return (
+        added.unionByName(minus)
+        .groupBy(*PARTIAL_KEY)
+        .agg(
+            F.sum("price_sum").cast("decimal(38,4)").alias("price_sum"),
+            F.sum("price_count").alias("price_count"),
+        )
+        .where("price_count <> 0")
+    )
+
+
+def heatmap_of_partials(partials, mapping, year=None):
+    """``month_hour_heatmap`` from stored partials; the mapping joins cells, not prices."""
+    rows = partials if year is None else partials.where(F.col("year") == year)
+    cells = (
+        attach_zone(rows, mapping)
+        .groupBy("zone", "year", "month", "hour")
+        .agg(F.sum("price_sum").alias("_sum"), F.sum("price_count").alias("_count"))
+    )
+    return zone_and_overall(cells, ["year", "month", "hour"]).select(
+        "zone", "year", "month", "hour", _mean(), F.col("_count").alias("record_count")
+    )
+
+
 def read_heatmap(heatmap, zone=None, year=None):
     """One zone of a stored heat-map (Overall by default)."""
     rows = heatmap.where(F.col("zone") == (zone or OVERALL))

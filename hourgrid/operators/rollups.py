@@ -61,12 +61,13 @@ def bx_trend(
     )
 
 
-def _rollup(rows, period):
+def _rollup(rows, period, *more):
     return rows.groupBy("node", period, "bx_type").agg(
         round_to(F.avg("avg_price"), 2).alias("avg_price"),
         round_to(F.min("avg_price"), 2).alias("min_price"),
         round_to(F.max("avg_price"), 2).alias("max_price"),
         F.countDistinct("opr_dt").alias("day_count"),
+        *more,
     )
 
 
@@ -86,6 +87,34 @@ def bx_monthly(daily, year=None, month=None):
     return _rollup(rows, F.date_format("opr_dt", "yyyy-MM").alias("year_month"))
 
 
+def bx_monthly_sums(daily, year=None):
+    """``bx_monthly`` with the exact sum of the days, which adds up over months."""
+    rows = in_year(_node_level(daily), year)
+    return _rollup(
+        rows,
+        F.date_format("opr_dt", "yyyy-MM").alias("year_month"),
+        F.sum("avg_price").alias("price_sum"),
+        F.count("avg_price").alias("price_days"),
+    )
+
+
+def annual_of_monthly(sums):
+    """``bx_annual`` from ``bx_monthly_sums``: months share no day, so counts add up.
+
+    The mean has the scale that an average of stored prices has before it is rounded.
+    """
+    mean = F.sum("price_sum") / F.sum("price_days")
+    if dict(sums.dtypes)["price_sum"].startswith("decimal"):
+        mean = mean.cast("decimal(20,8)")
+    year = F.left("year_month", F.lit(4)).cast("int").alias("year")
+    return sums.groupBy("node", year, "bx_type").agg(
+        round_to(mean, 2).alias("avg_price"),
+        F.min("min_price").alias("min_price"),
+        F.max("max_price").alias("max_price"),
+        F.sum("day_count").alias("day_count"),
+    )
+
+
 def bx_annual(daily, year=None):
     """Node x year x bx."""
     return _rollup(in_year(_node_level(daily), year), F.year("opr_dt").alias("year"))

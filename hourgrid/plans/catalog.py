@@ -1630,6 +1630,117 @@ def _(t):
     return t.spark.read.parquet(f"{base}/cells")
 
 
+_DAY, _NEW_DAY = dt.date(1996, 3, 2), dt.date(1997, 5, 3)
+_CHANGED = LONG.replace("prices AS (", "all_prices AS (", 1) + f""",
+prices AS (SELECT * REPLACE (CASE WHEN opr_dt = DATE '{_DAY}' THEN mw + 1 ELSE mw END AS mw)
+    FROM all_prices)"""
+
+
+@query("refresh_heatmap_one_day", _by_zone_sql(_CHANGED, _CELL, ", count(*) AS record_count"))
+def _(t):
+    base = scratch_path(t.spark, "partials")
+    rows, paths_ = t.long(), (f"{base}/prices", f"{base}/partials")
+    store.write_daily(rows.where(F.col("opr_dt") != F.lit(_NEW_DAY)), paths_[0])
+    jobs.build_partials(t.spark, *paths_)
+    raised = (F.col("mw") + 1).cast("decimal(12,4)")
+    for day, price in ((_DAY, raised), (_NEW_DAY, F.col("mw"))):
+        one = rows.where(F.col("opr_dt") == F.lit(day)).withColumn("mw", price)
+        jobs.replace_days(t.spark, one, *paths_)
+    return heatmaps.heatmap_of_partials(t.spark.read.parquet(paths_[1]), t.long_map())
+
+
+@query(
+    "calculate_bx",
+    f"""WITH {pooled(DENSE)}, {_daily_cte('avg(mw)')} SELECT 'node' AS level, node, opr_dt, bx_type,
+    CAST({stored('avg_price')} AS DOUBLE) AS avg_price FROM daily
+    UNION ALL {_ZONE_ROWS}""",
+)
+def _(t):
+    base = scratch_path(t.spark, "bx")
+    mapping, where = t.dense_map(), (f"{base}/prices", f"{base}/daily")
+    store.write_daily(t.dense(), where[0])
+    # Some days have one Bx, some have three; then whatever is missing is added.
+    jobs.calculate_bx(t.spark, *where, mapping, [4], end=DENSE_TO)
+    jobs.calculate_bx(t.spark, *where, mapping, [4, 6, 8], start=DENSE_FROM, end=DENSE_TO)
+    jobs.calculate_bx(t.spark, *where, mapping)
+    daily = t.spark.read.parquet(where[1])
+    return daily.select("level", "node", "opr_dt", "bx_type", "avg_price")
+
+
+@query(
+    "calculate_bx_again",
+    f"""WITH {DENSE}, {DAILY} SELECT node, opr_dt, bx_type, CAST(avg_price
+    + CASE WHEN {JAN} AND bx_type IN (4, 6) THEN 1 ELSE 0 END AS DOUBLE) AS avg_price FROM daily""",
+)
+def _(t):
+    base = scratch_path(t.spark, "bx")
+    mapping, where = t.dense_map(), (f"{base}/prices", f"{base}/daily")
+    rows = t.dense()
+    store.write_daily(rows, where[0])
+    jobs.calculate_bx(t.spark, *where, mapping)
+    raised = (F.col("mw") + 1).cast("decimal(12,4)")
+    store.write_daily(rows.withColumn("mw", raised), where[0])
+    jobs.calculate_bx(
+        t.spark, *where, mapping, [4, 6], start=DENSE_FROM, end=DENSE_TO, force=True
+    )
+    daily = t.spark.read.parquet(where[1]).where("level = 'node'")
+    return daily.select("node", "opr_dt", "bx_type", "avg_price")
+
+
+def _zone_texts(zone_hourly):
+    """A zone file per year, in two layouts below a preamble."""
+    hours = (
+        zone_hourly.groupBy("opr_dt", "hour_num")
+        .pivot("zone", list(ZONE_HEADERS))
+        .agg(F.first("lmp"))
+        .withColumn("year", F.year("opr_dt"))
+    )
+    first, other = [
+        F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns_])
+        for columns_ in (
+            ("opr_dt", "hour_num", *ZONE_HEADERS),
+            ("hour_num", "opr_dt", "ZP26", "NP15", "SP15"),
+        )
+    ]
+    even = F.col("year") % 2 == 0
+    titles = F.when(
+        even, F.lit("Local Date,Hour Number,NP-15 LMP,SP-15 LMP,ZP-26 LMP")
+    ).otherwise(F.lit('"Hour Number","Local Date","ZP-26 LMP","NP-15 LMP","SP-15 LMP"'))
+    lines = hours.select("year", titles.alias("titles"), F.when(even, first).otherwise(other).alias("row"))
+    note = F.lit("Day-ahead prices\n\nin dollars, by zone")
+    return lines.groupBy("year", "titles").agg(
+        F.concat_ws("\n", note, "titles", F.collect_list("row")).alias("text")
+    ).select(F.concat(F.col("year").cast("string"), F.lit(".csv")).alias("path"), "text")
+
+
+def _save_texts(folder):
+    def save(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for file, text in zip(batch["path"], batch["text"]):
+                system, path = fs.FileSystem.from_uri(f"{folder}/{file}")
+                system.create_dir(path.rsplit("/", 1)[0])
+                with system.open_output_stream(path) as out:
+                    out.write(text.encode())
+            yield batch[["path"]]
+
+    return save
+
+
+@query("import_zone_files", f"WITH {of_means(_ZONE_HOURLY)} {_MEANS_ROWS}")
+def _(t):
+    base = scratch_path(t.spark, "zone-files")
+    saved = _zone_texts(t.zone_hourly()).mapInPandas(_save_texts(f"{base}/files"), "path string")
+    saved.write.parquet(f"{base}/saved")
+    files = [f"{base}/files/{year}.csv" for year in range(1991, 2004)]
+    # Some years have no file; 1995 comes twice, and the Bx of its days are written again.
+    for some in (files[:5], files[4:]):
+        jobs.import_zone_files(t.spark, some, f"{base}/hours", f"{base}/daily")
+    daily = t.spark.read.parquet(f"{base}/daily")
+    return daily.select("level", "node", "opr_dt", "bx_type", "avg_price")
+
+
 @query("stream_daily_ingest", f"WITH {DENSE} {_KEY_PRICE}")
 def _(t):
     base = scratch_path(t.spark, "stream")

@@ -11,14 +11,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.functions.periods import date_window, in_year
-from hourgrid.operators.bx import bx_daily, bx_zone_pooled, missing_bx_dates, node_daily_summary
+from hourgrid.operators.bx import (
+    bx_daily,
+    bx_zone_hourly,
+    bx_zone_pooled,
+    check_bx,
+    missing_bx_dates,
+    node_daily_summary,
+    pending_bx,
+)
 from hourgrid.operators.cleaning import dedupe_keep_first
-from hourgrid.operators.heatmaps import month_hour_heatmap
-from hourgrid.operators.rollups import bx_annual, bx_monthly
+from hourgrid.operators.heatmaps import (
+    PARTIAL_KEY,
+    merged_partials,
+    month_hour_heatmap,
+    month_hour_partials,
+)
+from hourgrid.operators.rollups import annual_of_monthly, bx_monthly_sums
 from hourgrid.operators.zones import mapping_stats, node_zone_map
 from hourgrid.plans import ledger
-from hourgrid.session import Scratch, cut_lineage
-from hourgrid.sources import archives, paths, store
+from hourgrid.schemas import PRICE_SCHEMA
+from hourgrid.session import Scratch, cut_lineage, write_and_read
+from hourgrid.sources import archives, csv_files, paths, store
 from hourgrid.sources.columns import typed_prices
 from hourgrid.sources.csv_files import read_mapping
 
@@ -301,16 +315,158 @@ def backfill_bx(spark, store_path, daily_path, mapping, year=None):
     store_bx(spark, prices, mapping, daily_path)
 
 
+def calculate_bx(
+    spark, store_path, daily_path, mapping, bx_values=None, start=None, end=None, force=False
+):
+    """Calculate chosen Bx of the stored days of a range; returns the (day, Bx) pairs done.
+
+    Pairs that have rows stay, unless ``force``: then their rows go first, so that none
+    stays that the prices no longer give. Only prices of days with such a pair are read,
+    and only their partitions of the daily table are rewritten.
+    """
+    recover(spark, store_path)
+    values = check_bx(bx_values)
+    days = date_window(store.stored_dates(spark, store_path), start, end)
+    with Scratch(spark, "bx") as scratch:
+        if force:
+            bx_type = F.explode(F.array(*[F.lit(v) for v in values])).alias("bx_type")
+            wanted = days.select("opr_dt", bx_type)
+        else:
+            wanted = pending_bx(days, _calculated(spark, daily_path, days), values)
+        wanted = cut_lineage(wanted, "bx-days")
+        if wanted.isEmpty():
+            return wanted
+        prices = store.on_days(store.read_prices(spark, store_path), wanted)
+        rows = all_bx(prices, mapping, values).join(wanted, ["opr_dt", "bx_type"], "left_semi")
+        rows = scratch.stage(rows, "bx-rows")
+        if force:
+            store.replace_rows(spark, daily_path, wanted, rows, ["opr_dt", "bx_type"], "opr_dt")
+        else:
+            store.upsert_table(spark, daily_path, rows, BX_KEY, "opr_dt")
+    return wanted
+
+
+def _calculated(spark, daily_path, days):
+    """The (day, Bx) pairs of the daily table that prices of ``days`` can have."""
+    held = store.stored_days(spark, daily_path).join(days, "opr_dt", "left_semi")
+    stored = [row.opr_dt for row in held.collect()]
+    if not stored:
+        return spark.createDataFrame([], "opr_dt date, bx_type int")
+    daily = spark.read.parquet(daily_path).where(F.col("opr_dt").isin(stored))
+    return daily.where("level = 'node'").select("opr_dt", "bx_type").distinct()
+
+
 def rollup_job(spark, daily_path, monthly_path, annual_path, year=None):
-    """Refresh the monthly and annual tables from the daily one."""
-    daily = spark.read.parquet(daily_path)
-    monthly = bx_monthly(daily, year)
-    store.upsert_table(
-        spark, monthly_path, monthly, ["node", "year_month", "bx_type"], "year_month"
+    """Refresh the monthly and annual tables; the daily one is read once."""
+    with Scratch(spark, "rollup") as scratch:
+        sums = scratch.stage(bx_monthly_sums(spark.read.parquet(daily_path), year), "monthly")
+        monthly = sums.drop("price_sum", "price_days")
+        store.upsert_table(
+            spark, monthly_path, monthly, ["node", "year_month", "bx_type"], "year_month"
+        )
+        annual = annual_of_monthly(sums)
+        store.upsert_table(spark, annual_path, annual, ["node", "year", "bx_type"], "year")
+
+
+def build_partials(spark, store_path, partials_path):
+    """Store the month x hour partials of all prices, by year and month."""
+    finish_days(spark, store_path, partials_path)
+    _write_partials(month_hour_partials(store.read_prices(spark, store_path)), partials_path)
+
+
+def _write_partials(partials, path):
+    (
+        partials.hint("rebalance", "year", "month")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("year", "month")
+        .parquet(path)
     )
-    store.upsert_table(
-        spark, annual_path, bx_annual(daily, year), ["node", "year", "bx_type"], "year"
+
+
+def _read_partials(spark, path, months):
+    layout = "node string, hour int, price_sum decimal(38,4), price_count long, year int, month int"
+    held = {
+        (year, month)
+        for year, month in months
+        if paths.exists(spark, f"{path}/year={year}/month={month}")
+    }
+    if not held:
+        return spark.createDataFrame([], layout).select(*PARTIAL_KEY, "price_sum", "price_count")
+    chosen = functools.reduce(
+        lambda a, b: a | b,
+        [(F.col("year") == y) & (F.col("month") == m) for y, m in sorted(held)],
     )
+    rows = spark.read.schema(layout).parquet(path).where(chosen)
+    return rows.select(*PARTIAL_KEY, "price_sum", "price_count")
+
+
+def replace_days(spark, rows, store_path, partials_path):
+    """Replace whole days of the store, and their share in the month x hour partials.
+
+    Read are ``rows``, the stored prices of the same days and the partials of their
+    months. What the days held is subtracted, what they hold now is added. New prices
+    and partials lie ready before the first old file goes; a job that broke off is
+    finished by ``finish_days`` at the next start.
+    """
+    finish_days(spark, store_path, partials_path)
+    journal = f"{store_path}/_days"
+    rows = write_and_read(rows, f"{journal}/prices")
+    days = rows.select("opr_dt").distinct()
+    in_month = days.select(F.year("opr_dt").alias("y"), F.month("opr_dt").alias("m")).distinct()
+    months = [tuple(row) for row in in_month.collect()]
+    held = _read_partials(spark, partials_path, months)
+    removed = month_hour_partials(rows.limit(0))
+    if store.list_day_folders(spark, store_path):
+        removed = month_hour_partials(store.on_days(store.read_prices(spark, store_path), rows))
+    partials = merged_partials(held.unionByName(month_hour_partials(rows)), removed)
+    partials.write.parquet(f"{journal}/partials")
+    # A month whose prices all went has no cells, and its old ones must go.
+    spark.createDataFrame(months, "year int, month int").write.parquet(f"{journal}/intent")
+    finish_days(spark, store_path, partials_path)
+
+
+def finish_days(spark, store_path, partials_path):
+    """Apply what ``replace_days`` had made ready, or drop a draft."""
+    journal = f"{store_path}/_days"
+    if paths.exists(spark, f"{journal}/intent/_SUCCESS"):
+        layout = f"{PRICE_SCHEMA.simpleString()[len('struct<'):-1]}".replace(":", " ")
+        held = spark.read.parquet(f"{journal}/prices").columns
+        prices = spark.read.schema(layout).parquet(f"{journal}/prices").select(
+            *[name for name in PRICE_SCHEMA.fieldNames() if name in held]
+        )
+        store.write_daily(prices, store_path)
+        partials = spark.read.parquet(f"{journal}/partials")
+        _write_partials(partials, partials_path)
+        months = spark.read.schema("year int, month int").parquet(f"{journal}/intent")
+        empty = months.join(partials, ["year", "month"], "left_anti").collect()
+        for year, month in empty:
+            paths.drop_folder(spark, f"{partials_path}/year={year}/month={month}")
+    paths.drop_folder(spark, journal)
+
+
+def import_zone_files(spark, files, zone_path, daily_path):
+    """Take published zone prices of any layout into the zone table, and their Bx.
+
+    Files that are not there are skipped. Of several rows of one day, hour and zone the
+    last one stays, by the order of ``files`` and within a file. Only the Bx of days in
+    the files are calculated, from all stored hours of those days.
+    """
+    with Scratch(spark, "zones") as scratch:
+        found = csv_files.read_zone_files(spark, files)
+        if found is None:
+            return 0
+        key = ["opr_dt", "hour_num", "zone"]
+        last = [F.desc(name) for name in ("file_no", "block", "line")]
+        rows = dedupe_keep_first(found, key, last).drop("file_no", "block", "line")
+        rows = scratch.stage(rows.withColumn("year", F.year("opr_dt")), "zone-hours")
+        store.upsert_table(spark, zone_path, rows, key, "year")
+        years = [row.year for row in rows.select("year").distinct().collect()]
+        stored = spark.read.schema(rows.schema).parquet(zone_path).where(F.col("year").isin(years))
+        days = rows.select("opr_dt").distinct()
+        daily = bx_zone_hourly(stored.join(days, "opr_dt", "left_semi").drop("year"))
+        store.upsert_table(spark, daily_path, daily, BX_KEY, "opr_dt")
+        return rows.count()
 
 
 def summarise_days(spark, store_path, summary_path, start=None, end=None):

@@ -1,9 +1,15 @@
 """CSV readers: price files, mapping files, zone files."""
 
+import csv
+import functools
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.operators.cleaning import clean_and_validate, dedupe_keep_first
 from hourgrid.schemas import COMPONENT, ZONE_HEADERS
+from hourgrid.sources import paths as file_system
 from hourgrid.sources.columns import (
     STRICT_COLUMNS,
     clean_numeric,
@@ -108,8 +114,8 @@ def _zone_day(text):
     ).cast("date")
 
 
-def zone_wide_to_long(wide):
-    """One row per date, hour and zone from the wide zone layout.
+def zone_wide_to_long(wide, kept=()):
+    """One row per date, hour and zone from the wide zone layout, with ``kept`` columns.
 
     ``wide`` has 'Local Date', 'Hour Number' and four columns per zone; a missing
     component column gives NULL.
@@ -132,40 +138,87 @@ def zone_wide_to_long(wide):
     ]
     return (
         wide.select(
+            *kept,
             _zone_day(F.col("`Local Date`").cast("string")).alias("opr_dt"),
             F.col("`Hour Number`").cast("string").try_cast("int").alias("hour_num"),
             F.explode(F.array(*zones)).alias("z"),
         )
-        .select("opr_dt", "hour_num", "z.*")
+        .select("opr_dt", "hour_num", "z.*", *kept)
         .dropna(subset=["opr_dt", "hour_num", "lmp"])
     )
 
 
-def read_zone_csv(spark, paths):
-    """Zone files with a preamble above the header, any set of component columns.
+ROW_ORDER = ("file_no", "block", "line")
+
 
-    Each file's header is found by its first two titles; the rows of the file are
-    then read by header name, so files of different layouts can be mixed.
+def _zone_layouts(spark, files):
+    """Files by header: {titles: {path: position in ``files``}}.
+
+    A header is the first line with the two key titles. Only header lines reach the
+    driver, one per file.
     """
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value")
-    )
-    is_header = F.col("value").contains("Local Date") & F.col("value").contains("Hour Number")
-    titles = lines.where(is_header).select(
-        "file", F.transform(F.split("value", ","), lambda t: F.trim(F.replace(t, F.lit('"'), F.lit("")))).alias("titles")
-    )
-    cells = F.transform(F.split("value", ","), lambda t: F.trim(F.replace(t, F.lit('"'), F.lit(""))))
-    rows = (
-        lines.where(~is_header)
-        .withColumn("cells", cells)
-        .join(titles, "file")
-        .where(F.size("cells") >= 2)
+    place = {}
+    for number, file in enumerate(files):
+        place.setdefault(file, number)
+    lines = spark.read.text(list(place)).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
     )
-    names = ["Local Date", "Hour Number", *[h for hs in ZONE_HEADERS.values() for h in hs]]
-    wide = rows.select(
-        *[
-            F.try_element_at("cells", F.nullif(F.array_position("titles", name), F.lit(0)).cast("int")).alias(name)
-            for name in names
-        ]
+    headers = lines.where(
+        F.col("value").contains("Local Date") & F.col("value").contains("Hour Number")
     )
-    return zone_wide_to_long(wide)
+    first = headers.groupBy("path").agg(F.min(F.struct("block", "line", "value")).alias("first"))
+    layouts = {}
+    for path, header in first.select("path", "first.value").orderBy("path").collect():
+        titles = tuple(t.strip() for t in next(csv.reader([header.lstrip("\ufeff")])))
+        number = max((n for f, n in place.items() if _same_file(path, f)), default=0)
+        layouts.setdefault(titles, {})[path] = number
+    return layouts
+
+
+def _same_file(path, given):
+    """Whether a listed file is the one that was given, or lies below it."""
+    plain = unquote(path.split(":", 1)[-1]).lstrip("/")
+    wanted = given.split(":", 1)[-1] if "://" in given else given
+    wanted = wanted.strip("/")
+    return plain == wanted or plain.startswith(f"{wanted}/") or plain.endswith(f"/{wanted}")
+
+
+def read_zone_files(spark, files):
+    """Zone prices of files with a preamble above the header, whatever their layout.
+
+    Files that are not there are left out; None if none is. Files of one layout are
+    read together by Spark's CSV reader, so no line is joined to its header; what is
+    not a row of a date and an hour, such as the preamble, has no price and goes.
+    The rows tell their ``file_no`` in ``files``, block and line.
+    """
+    present = [f for f in files if file_system.exists(spark, f)]
+    layouts = _zone_layouts(spark, present) if present else {}
+    parts = []
+    for titles, numbers in layouts.items():
+        names = [f"c{i}" for i in range(len(titles))]
+        schema = ", ".join(f"{name} string" for name in names)
+        reader = spark.read.schema(schema).option("ignoreLeadingWhiteSpace", True)
+        rows = reader.csv(list(numbers))
+        number = F.create_map(*[F.lit(v) for pair in numbers.items() for v in pair])
+        path = F.col("_metadata.file_path")
+        wide = rows.select(
+            *[F.col(name).alias(title) for title, name in dict(zip(titles, names)).items()],
+            number[path].alias("file_no"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),
+        )
+        parts.append(zone_wide_to_long(wide, ROW_ORDER))
+    if not parts:
+        return None
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def read_zone_csv(spark, paths):
+    """Zone files of any layout as rows of day, hour, zone and prices."""
+    found = read_zone_files(spark, [paths] if isinstance(paths, str) else list(paths))
+    if found is None:
+        raise ValueError("no zone file with a header")
+    return found.drop(*ROW_ORDER)

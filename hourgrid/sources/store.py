@@ -177,19 +177,23 @@ def stored_days(spark, path):
     return spark.createDataFrame([(dt.date.fromisoformat(n),) for n in names], "opr_dt date")
 
 
-def _touched(spark, path, new, partition):
-    """The stored rows in the partitions that ``new`` falls into, or None.
+def _touched(spark, path, named, partition, new=None):
+    """The stored rows in the partitions that ``named`` falls into, or None.
 
     Partition values are few and become literals, so other folders are not read.
-    Stored columns that ``new`` lacks are read as well.
+    Stored columns that ``new`` (``named`` itself, if not given) lacks are read as well;
+    they are looked up in the files of these partitions only.
     """
+    new = named if new is None else new
     stored = {name.split("=")[1] for name in paths.list_folders(spark, path)}
-    values = [row[0] for row in new.select(partition).distinct().collect()]
+    values = [row[0] for row in named.select(partition).distinct().collect()]
     shared = [value for value in values if str(value) in stored]
     if not shared:
         return None
     own = {f.name: f for f in new.schema.fields}
-    held = spark.read.option("mergeSchema", True).parquet(path).schema.fields
+    folders = [f"{path}/{partition}={value}" for value in shared]
+    touched = spark.read.option("mergeSchema", True).option("basePath", path)
+    held = touched.parquet(*folders).schema.fields
     schema = StructType([*own.values(), *[f for f in held if f.name not in own]])
     return spark.read.schema(schema).parquet(path).where(F.col(partition).isin(shared))
 
@@ -208,6 +212,27 @@ def upsert_table(spark, path, new, keys, partition):
     _write_table(rows, path, partition, "overwrite")
 
 
+def replace_rows(spark, path, doomed, new, on, partition):
+    """Delete the rows whose ``on`` columns occur in ``doomed`` and insert ``new`` ones.
+
+    Only partitions named in ``doomed`` are read and rewritten, as one copy; one that is
+    left without a row goes.
+    """
+    rows = cut_lineage(new)
+    old = _touched(spark, path, doomed, partition, rows)
+    merged = rows
+    if old is not None:
+        kept = old.join(doomed.select(*on).distinct(), list(on), "left_anti")
+        merged = cut_lineage(kept.unionByName(rows, allowMissingColumns=True))
+    _write_table(merged, path, partition, "overwrite")
+    left = {str(row[0]) for row in merged.select(partition).distinct().collect()}
+    named = {str(row[0]) for row in doomed.select(partition).distinct().collect()}
+    for name in paths.list_folders(spark, path):
+        value = name.split("=")[1]
+        if value in named - left:
+            paths.drop_folder(spark, f"{path}/{name}")
+
+
 def insert_ignore_table(spark, path, new, keys, partition):
     """Append the rows whose key is not stored yet."""
     order = [c for c in sorted(new.columns) if c not in keys]

@@ -61,7 +61,8 @@ def test_market_quantiles_stay_off_one_task(facts):
 
 
 EAGER = {
-    "append_prices", "backfill_bx", "clear_range", "ingest_zip", "insert_ignore_table",
+    "append_prices", "backfill_bx", "calculate_bx", "calculate_bx_again", "clear_range",
+    "import_zone_files", "ingest_zip", "insert_ignore_table", "refresh_heatmap_one_day",
     "load_batch", "load_batch_bad_archive", "load_report", "load_summary", "parse_price_csv",
     "refresh_heatmap", "refresh_mapping", "reprocess_year", "reprocess_year_resumed",
     "rollup_job", "scan_day", "scan_range", "standardize_csv", "stored_dates",
