@@ -492,7 +492,8 @@ def test_near_copies_go_by_row(spark, scratch):
     assert sure <= set(left) and len(left) == len(sure) + 3
     assert all(len(set(rows[i:j]) & set(left)) == 1 for i, j in group if (i, j) != (9, 11))
     got = near_dedup.near_components(scratch, docs, 5).collect()
-    assert len(got) == len(rows) and sum(r.kept for r in got) == len(left)
+    assert len(got) == len(rows) and sum(r.stays for r in got) == len(left)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
     assert sum(r.component_id is None for r in got) == 9
 
 
