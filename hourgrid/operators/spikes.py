@@ -50,15 +50,27 @@ def price_spikes(
     prices = filter_prices(df, start, end, exclude_zero=exclude_zero).select(
         "node", "opr_dt", "opr_hr", "mw"
     )
+    return _latest_first(_spikes(_with_history(prices, rows - 1), threshold_std, rows))
+
+
+def _latest_first(spikes):
+    # The sort samples its input first; over the few rebalanced spikes that costs
+    # nothing, over the windows it would compute them twice.
+    return spikes.hint("rebalance").orderBy(
+        F.col("operational_date").desc(), F.col("operational_hour").desc(), "node"
+    )
+
+
+def _spikes(parts, threshold_std, rows):
+    """Spikes among the own rows of every (node, _part)."""
     frame = (
         Window.partitionBy("node", "_part")
         .orderBy("opr_dt", "opr_hr")
         .rowsBetween(1 - rows, 0)
     )
     price = F.col("mw").cast("double")
-    spikes = (
-        _with_history(prices, rows - 1)
-        .withColumn("_mean", F.avg(price).over(frame))
+    return (
+        parts.withColumn("_mean", F.avg(price).over(frame))
         .withColumn("_std", F.stddev_samp(price).over(frame))
         .where(F.col("_own") & (F.col("_std") > 0))
         .where(price > F.col("_mean") + F.lit(float(threshold_std)) * F.col("_std"))
@@ -70,8 +82,26 @@ def price_spikes(
             round_to("_mean", 2).alias("rolling_mean"),
         )
     )
-    # The sort samples its input first; over the few rebalanced spikes that costs
-    # nothing, over the windows it would compute them twice.
-    return spikes.hint("rebalance").orderBy(
-        F.col("operational_date").desc(), F.col("operational_hour").desc(), "node"
+
+
+def last_rows(prices, rows=ROLLING_ROWS):
+    """The rows of each node that frames of later rows reach back to."""
+    newest = Window.partitionBy("node").orderBy(F.col("opr_dt").desc(), F.col("opr_hr").desc())
+    return (
+        prices.select("node", "opr_dt", "opr_hr", "mw")
+        .withColumn("_back", F.row_number().over(newest))
+        .where(F.col("_back") < rows)
+        .drop("_back")
     )
+
+
+def spikes_after(tails, df, threshold_std=3, exclude_zero=True, rows=ROLLING_ROWS):
+    """Spikes of new days alone, and the tails that the days after them need.
+
+    ``tails`` are the :func:`last_rows` before the first new day, under the same filter.
+    The spikes are those that :func:`price_spikes` finds on these days in all prices.
+    """
+    new = filter_prices(df, exclude_zero=exclude_zero).select("node", "opr_dt", "opr_hr", "mw")
+    both = tails.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+    parts = _with_history(both, rows - 1).withColumn("_own", F.col("_own") & F.col("_new"))
+    return _spikes(parts, threshold_std, rows), last_rows(both, rows)

@@ -10,14 +10,15 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from hourgrid.functions import sketches
 from hourgrid.functions.periods import date_spine, date_window
 from hourgrid.functions.rounding import round_all
-from hourgrid.operators import bx, cleaning, heatmaps, nodes, rollups, spikes, stats, topk, zones
-from hourgrid.plans import jobs, ledger
+from hourgrid.operators import bx, bx_sums, cleaning, heatmaps, nodes, rollups, spikes, stats, topk, zones
+from hourgrid.plans import jobs, ledger, summaries
 from hourgrid.plans.projections import Tables
 from hourgrid.schemas import ZONE_HEADERS
 from hourgrid.session import scratch_path
-from hourgrid.sources import archives, columns, csv_files, store
+from hourgrid.sources import archives, columns, csv_files, node_index, store
 from hourgrid.streaming import ingest
 
 QUERIES = {}
@@ -1785,3 +1786,111 @@ def _(t):
     daily = t.spark.read.parquet(f"{base}/daily")
     columns_ = ["level", "node", "opr_dt", "bx_type", "avg_price"]
     return daily.select(*columns_).unionByName(counted.select(*columns_))
+
+
+# ------------------------------------------------- tables kept beside the prices
+
+
+def _indexed(t, base):
+    """A node index filled by two loads that share a year."""
+    prices = t.wide()
+    for part in ("year(opr_dt) <= 1995", "year(opr_dt) >= 1995"):
+        node_index.update_nodes(t.spark, f"{base}/index", prices.where(part))
+    return f"{base}/index"
+
+
+@query(
+    "find_nodes",
+    f"""WITH {WIDE} SELECT node, min(opr_dt) AS first_day, max(opr_dt) AS last_day
+    FROM prices WHERE node ILIKE '%#0000000%' AND node ILIKE '%07%' GROUP BY node""",
+)
+def _(t):
+    path = _indexed(t, scratch_path(t.spark, "nodes"))
+    known = node_index.read_nodes(t.spark, path)
+    hits = node_index.find_nodes(t.spark, path, "r#0000000")
+    short = node_index.find_nodes(t.spark, path, "07")
+    return known.join(hits, "node").join(short, "node").select("node", "first_day", "last_day")
+
+
+@query(
+    "stored_nodes",
+    f"""WITH {WIDE}, {MAPPING} SELECT 'stored' AS origin, node FROM prices GROUP BY node
+    UNION ALL SELECT DISTINCT 'mapping', pnode_id FROM mapping""",
+)
+def _(t):
+    base = scratch_path(t.spark, "nodes")
+    fallback = node_index.stored_nodes(t.spark, f"{base}/nothing", t.wide_map())
+    stored = node_index.stored_nodes(t.spark, _indexed(t, base), t.wide_map())
+    return stored.select(F.lit("stored").alias("origin"), "node").union(
+        fallback.select(F.lit("mapping"), "node")
+    )
+
+
+def _summed(t):
+    base = scratch_path(t.spark, "sums")
+    daily = bx.bx_daily(t.wide())
+    # The days of 1995 come twice and count once.
+    for part in ("year(opr_dt) <= 1995", "year(opr_dt) >= 1995"):
+        where = f"{base}/index", f"{base}/sums"
+        summaries.keep_bx_sums(t.spark, daily.where(part), t.wide_map(), *where)
+    return t.spark.read.parquet(f"{base}/sums")
+
+
+@query("bx_trend_of_sums", _trend_sql(WIDE, _MONTH))
+def _(t):
+    return bx_sums.trend_of_sums(_summed(t), 5, aggregation="monthly")
+
+
+@query("bx_average_of_sums", _average_sql(WIDE, "AND zone = 'NP15' AND year(opr_dt) > 1994"))
+def _(t):
+    return bx_sums.average_of_sums(_summed(t), 6, start=dt.date(1995, 1, 1), zone="NP15")
+
+
+@query(
+    "price_quantile_sketches",
+    f"""WITH {WIDE} SELECT node, count(*) AS count, {r('avg(mw)')} AS avg,
+    CAST(min(mw) AS DOUBLE) AS min, CAST(max(mw) AS DOUBLE) AS max, TRUE AS within_bound
+    FROM prices GROUP BY node
+    UNION ALL SELECT 'all nodes', count(*), {r('avg(mw)')}, CAST(min(mw) AS DOUBLE),
+    CAST(max(mw) AS DOUBLE), TRUE FROM prices""",
+)
+def _(t):
+    path = scratch_path(t.spark, "sketches")
+    prices = t.wide()
+    for part in ("year(opr_dt) <= 1995", "year(opr_dt) >= 1995"):
+        summaries.keep_sketches(t.spark, prices.where(part), path)
+    kept = t.spark.read.parquet(path)
+    wanted = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    everything = kept.withColumn("node", F.lit("all nodes"))
+    profile = sketches.sketch_profile(kept, ["node"], wanted).unionByName(
+        sketches.sketch_profile(everything, ["node"], wanted)
+    )
+    # The rank of each answer among the prices themselves, on both of its sides.
+    price, sides = F.col("mw").cast("double"), []
+    for name, fraction in wanted.items():
+        below = F.count(F.when(price < F.col(name), 1)) / F.count(F.lit(1))
+        upto = F.count(F.when(price <= F.col(name), 1)) / F.count(F.lit(1))
+        sides.append(
+            (below <= fraction + sketches.RANK_ERROR) & (upto >= fraction - sketches.RANK_ERROR)
+        )
+    both = F.explode(F.array("node", F.lit("all nodes"))).alias("node")
+    checked = (
+        prices.select(both, "mw")
+        .join(profile.select("node", *wanted), "node")
+        .groupBy("node")
+        .agg((sides[0] & sides[1] & sides[2]).alias("within_bound"))
+    )
+    return profile.join(checked, "node").select(
+        "node", "count", "avg", "min", "max", "within_bound"
+    )
+
+
+@query("price_spikes_by_day", _spikes_sql(WIDE, 2))
+def _(t):
+    path = scratch_path(t.spark, "spikes")
+    prices = t.wide()
+    # New days come after the stored ones; those from 1996 on come again.
+    for part in ("< 1994", "IN (1994, 1995)", "IN (1996, 1997)", ">= 1996"):
+        days = prices.where(f"year(opr_dt) {part}")
+        summaries.append_spikes(t.spark, days, path, threshold_std=2)
+    return summaries.read_spikes(t.spark, path)

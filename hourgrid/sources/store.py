@@ -243,6 +243,11 @@ def insert_ignore_table(spark, path, new, keys, partition):
     _write_table(rows, path, partition, "append")
 
 
+def replace_partitions(df, path, partition):
+    """Replace the partitions present in ``df``; others stay."""
+    _write_table(df, path, partition, "overwrite")
+
+
 def replace_table(df, path):
     """Full refresh of a small table."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
