@@ -18,7 +18,7 @@ from hourgrid.plans import jobs, ledger, summaries
 from hourgrid.plans.projections import Tables
 from hourgrid.schemas import ZONE_HEADERS
 from hourgrid.session import scratch_path
-from hourgrid.sources import archives, columns, csv_files, node_index, store
+from hourgrid.sources import archives, bucketed, columns, csv_files, node_index, store
 from hourgrid.streaming import ingest
 
 QUERIES = {}
@@ -1885,6 +1885,28 @@ def _(t):
     )
 
 
+def _bucketed(t):
+    """Prices and mapping bucketed alike, the years of 1995 and after written again."""
+    base = scratch_path(t.spark, "bucketed")
+    name = base.rsplit("-", 1)[1]
+    prices = bucketed.open_prices(t.spark, f"prices_{name}", f"{base}/prices", 8)
+    mapping = bucketed.open_mapping(t.spark, f"mapping_{name}", f"{base}/mapping", 8)
+    bucketed.replace_mapping(t.wide_map(), f"mapping_{name}")
+    for part in ("year(opr_dt) <= 1995", "year(opr_dt) >= 1995"):
+        bucketed.replace_months(t.wide().where(part), f"prices_{name}")
+    return prices, mapping
+
+
+@query("bx_zone_pooled_bucketed", f"WITH {pooled(WIDE)} {_ZONE_ROWS}")
+def _(t):
+    return bx.bx_zone_pooled(*_bucketed(t))
+
+
+@query("month_hour_heatmap_bucketed", _by_zone_sql(WIDE, _CELL, ", count(*) AS record_count"))
+def _(t):
+    return heatmaps.month_hour_heatmap(*_bucketed(t))
+
+
 @query("price_spikes_by_day", _spikes_sql(WIDE, 2))
 def _(t):
     path = scratch_path(t.spark, "spikes")

@@ -19,6 +19,14 @@ from hourgrid.sources import paths
 DAY_FOLDERS = ("year", "month", "opr_dt")
 PRICE_COLUMNS = tuple(PRICE_SCHEMA.fieldNames())
 PRICE_KEY = ["node", "opr_dt", "opr_hr"]
+# Files are sorted by node; pages of a hundred node-days let a look-up of one node skip the
+# others by their bounds, and a Bloom filter skips files without it where node names are too
+# many for a dictionary. Its size follows the number of names.
+LOOK_UP = {
+    "parquet.page.row.count.limit": "2400",
+    "parquet.bloom.filter.enabled#node": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+}
 
 
 def _price_layout(df):
@@ -47,6 +55,7 @@ def _write_days(df, path, mode):
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "snappy")
+        .options(**LOOK_UP)
         .partitionBy(*DAY_FOLDERS)
         .parquet(path)
     )
