@@ -7,17 +7,20 @@ most specific, and what a rule has matched is no longer open to later ones.
 
 Texts are cut twice, once with line breaks as blanks, for sentences wrapped over
 lines, and once with line breaks as ends, for lines without a full stop; the licences
-of both are reported. Only texts with a word that every known sentence has one of are
-cut at all.
+of both are reported. A line without ASCII letters or digits, comment signs or not, ends
+a sentence, and a copyright line is one of its own. Only texts with a word that every known
+sentence has one of are cut at all.
+
+"All rights reserved" before a notice belongs to the notice; alone it is proprietary.
 
 Defined cases: null and empty texts have no licence; sentences that belong to a
 licence but to no rule are reported as identifiers only; repeated rows are scanned one
-by one; columns other than doc_id and text are ignored.
+by one; columns other than doc_id and text are ignored; an empty table gives no row.
 """
 
 from pyspark.sql import functions as F
 
-# Words of which every known sentence has one.
+# Words and word pairs of which every known sentence has one.
 MARKS = (
     "licen", "copyright", "permission", "warrant", "redistribut", "rights reserved",
     "public domain", "liable", "spdx", "freely", "misrepresented",
@@ -48,6 +51,10 @@ SENTENCES = {
     "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "LiableMit",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
     "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "AsIsIsc",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "LiableIsc",
+    "isc license": "IscTitle",
+    "the isc license": "IscTitle",
     "spdx-license-identifier isc": "IscRef",
     "licensed under the isc license": "IscRef",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "BsdGrant",
@@ -55,6 +62,13 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BsdBinary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BsdEndorse",
     "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "AsIsBsd",
+    "neither the name of the copyright holders nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BsdEndorse",
+    "neither the name of the copyright holder nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BsdEndorse",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services": "LiableBsd",
+    "in no event shall the copyright holders or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services": "LiableBsd",
+    "in no event shall the copyright owner or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services": "LiableBsd",
+    "bsd 2-clause license": "Bsd2Title",
+    "bsd 3-clause license": "Bsd3Title",
     "use of this source code is governed by a bsd-style license that can be found in the license file": "BsdRef",
     "licensed under the bsd license": "BsdRef",
     "released under the bsd license": "BsdRef",
@@ -74,7 +88,10 @@ SENTENCES = {
     "you may obtain a copy of the license at https": "ApacheCopy",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "ApacheAsIs",
     "see the license for the specific language governing permissions and limitations under the license": "ApacheSee",
-    # copyleft
+    "apache license version 2 0 january 2004": "Apache2Title",
+    "apache license version 2 0 january 2004 http": "Apache2Title",
+    "apache license version 2 0 january 2004 https": "Apache2Title",
+    # copyleft, as whole sentences and as the pieces that semicolons and colons leave
     "this work is licensed under the gnu general public license version 3": "Gpl3Ref",
     "licensed under the gnu general public license version 3": "Gpl3Ref",
     "this program is licensed under the gnu general public license version 3": "Gpl3Ref",
@@ -88,12 +105,39 @@ SENTENCES = {
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "Gpl2PlusGrant",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GplWarranty",
     "see the gnu general public license for more details": "GplSee",
+    "see the gnu lesser general public license for more details": "LgplSee",
+    "see the gnu affero general public license for more details": "AgplSee",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "GplTerms",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "LgplTerms",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "AgplTerms",
+    "either version 2 of the license or at your option any later version": "Version2Plus",
+    "either version 2 1 of the license or at your option any later version": "Version21Plus",
+    "either version 3 of the license or at your option any later version": "Version3Plus",
+    "version 2 of the license": "Version2",
+    "version 2 1 of the license": "Version21",
+    "version 3 of the license": "Version3",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "Gpl2PlusGrant",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Gpl3PlusGrant",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "Lgpl21PlusGrant",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Lgpl3PlusGrant",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Agpl3PlusGrant",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "Gpl2OnlyGrant",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "Gpl3OnlyGrant",
+    "this program is distributed in the hope that it will be useful but without any warranty": "GplUseful",
+    "this library is distributed in the hope that it will be useful but without any warranty": "GplUseful",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "GplMerchant",
+    "you should have received a copy of the gnu general public license along with this program": "GplReceived",
+    "you should have received a copy of the gnu lesser general public license along with this program": "GplReceived",
+    "you should have received a copy of the gnu lesser general public license along with this library": "GplReceived",
+    "you should have received a copy of the gnu affero general public license along with this program": "GplReceived",
     "licensed under the gnu lesser general public license version 3": "Lgpl3Ref",
     "licensed under the gnu lesser general public license version 2 1": "Lgpl21Ref",
     "licensed under the gnu affero general public license version 3": "Agpl3Ref",
     "this work is licensed under the gnu affero general public license version 3": "Agpl3Ref",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "Mpl2Ref",
+    "this source code form is subject to the terms of the mozilla public license v": "Mpl2Form",
     "licensed under the mozilla public license version 2 0": "Mpl2Ref",
+    "mozilla public license version 2 0": "Mpl2Title",
     "spdx-license-identifier mpl-2 0": "Mpl2Ref",
     # content licences
     "licensed under cc by-nc 4 0": "CcByNc4Ref",
@@ -105,6 +149,13 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution 4 0 international license": "CcBy4Ref",
     "this work is licensed under a creative commons attribution-noncommercial 4 0 international license": "CcByNc4Ref",
     "this work is licensed under a creative commons attribution-sharealike 4 0 international license": "CcBySa4Ref",
+    "this work is licensed under the creative commons attribution 4 0 international license": "CcBy4Ref",
+    "this work is licensed under the creative commons attribution-noncommercial 4 0 international license": "CcByNc4Ref",
+    "this work is licensed under the creative commons attribution-sharealike 4 0 international license": "CcBySa4Ref",
+    "this work is licensed under a creative commons attribution-noderivatives 4 0 international license": "CcByNd4Ref",
+    "this work is licensed under a creative commons attribution-noncommercial-sharealike 4 0 international license": "CcByNcSa4Ref",
+    "this work is licensed under a creative commons attribution-noncommercial-noderivatives 4 0 international license": "CcByNcNd4Ref",
+    "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law": "Cc0Deed",
     "this work is dedicated to the public domain": "PublicDomain",
     "this is free and unencumbered software released into the public domain": "UnlicenseGrant",
     "this file is in the public domain": "PublicDomain",
@@ -113,22 +164,47 @@ SENTENCES = {
     "unauthorized copying of this file via any medium is strictly prohibited without permission": "NoCopying",
 }
 
-# Ordered rules, most specific first.
-RULES = (
+# Ordered rules of notices, most specific first. What stands before a notice
+# as its title or as "All rights reserved" belongs to it.
+NOTICES = (
     ("MIT", ("MitGrant", "MitNotice", "AsIsMit", "LiableMit")),
+    ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "AsIsBsd", "LiableBsd")),
+    ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "AsIsBsd", "LiableBsd")),
     ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "AsIsBsd")),
     ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "AsIsBsd")),
     ("Apache-2.0", ("Apache2Ref", "ApacheComply", "ApacheCopy", "ApacheAsIs", "ApacheSee")),
     ("Apache-2.0", ("Apache2Ref", "ApacheComply", "ApacheCopy", "ApacheSee")),
+    ("LGPL-2.1-or-later", ("LgplTerms", "Version21Plus")),
+    ("LGPL-2.1-or-later", ("Lgpl21PlusGrant",)),
+    ("LGPL-3.0-or-later", ("LgplTerms", "Version3Plus")),
+    ("LGPL-3.0-or-later", ("Lgpl3PlusGrant",)),
+    ("LGPL-2.1", ("LgplTerms", "Version21")),
+    ("LGPL-3.0", ("LgplTerms", "Version3")),
+    ("AGPL-3.0-or-later", ("AgplTerms", "Version3Plus")),
+    ("AGPL-3.0-or-later", ("Agpl3PlusGrant",)),
+    ("AGPL-3.0", ("AgplTerms", "Version3")),
     ("GPL-3.0-or-later", ("Gpl3PlusGrant", "GplWarranty", "GplSee")),
     ("GPL-2.0-or-later", ("Gpl2PlusGrant", "GplWarranty", "GplSee")),
+    ("GPL-3.0-or-later", ("GplTerms", "Version3Plus")),
+    ("GPL-2.0-or-later", ("GplTerms", "Version2Plus")),
+    ("GPL-3.0-only", ("GplTerms", "Version3")),
+    ("GPL-2.0-only", ("GplTerms", "Version2")),
+    ("GPL-3.0-only", ("Gpl3OnlyGrant",)),
+    ("GPL-2.0-only", ("Gpl2OnlyGrant",)),
+    ("ISC", ("IscGrant", "AsIsIsc", "LiableIsc")),
     ("ISC", ("IscGrant",)),
     ("MIT", ("MitGrant", "MitNotice")),
     ("GPL-3.0-or-later", ("Gpl3PlusGrant",)),
     ("GPL-2.0-or-later", ("Gpl2PlusGrant",)),
+    ("MPL-2.0", ("Mpl2Form",)),
     ("Unlicense", ("UnlicenseGrant",)),
+)
+
+# Ordered rules of shorter mentions.
+REFERENCES = (
     ("Apache-2.0", ("Apache2Ref", "ApacheComply")),
     ("Apache-2.0", ("Apache2Ref",)),
+    ("Apache-2.0", ("Apache2Title",)),
     ("MIT", ("MitTitle", "MitGrant")),
     ("MIT", ("MitRef",)),
     ("ISC", ("IscRef",)),
@@ -144,22 +220,33 @@ RULES = (
     ("LGPL-2.1", ("Lgpl21Ref",)),
     ("AGPL-3.0", ("Agpl3Ref",)),
     ("MPL-2.0", ("Mpl2Ref",)),
+    ("MPL-2.0", ("Mpl2Title",)),
     ("CC-BY-NC-SA-4.0", ("CcByNcSa4Ref",)),
     ("CC-BY-NC-ND-4.0", ("CcByNcNd4Ref",)),
     ("CC-BY-NC-4.0", ("CcByNc4Ref",)),
     ("CC-BY-SA-4.0", ("CcBySa4Ref",)),
     ("CC-BY-ND-4.0", ("CcByNd4Ref",)),
     ("CC-BY-4.0", ("CcBy4Ref",)),
+    ("CC0-1.0", ("Cc0Deed",)),
     ("public-domain", ("PublicDomain",)),
     ("proprietary", ("AllRights", "NoCopying")),
     ("proprietary", ("AllRights",)),
 )
+RULES = (
+    *[rule for name, run in NOTICES for rule in ((name, ("AllRights", *run)), (name, run))],
+    *REFERENCES,
+)
 
 # The tag of an SPDX line; its colon ends no sentence.
 TAG = "spdx-license-identifier"
 
 SIGNS = "[^a-z0-9.;:!?+-]+"
 ENDS = "[.;:!?]+( |$)"
+# A line break before a line without letters or digits, and a line that states a copyright.
+BLANK = r"\n(?=[^a-z0-9\n]*\n)"
+STATED = r"(^|\n)([^a-z0-9\n]*copyright[ \t]+(?:\(c\)|©|[12][0-9]{3})[^\n]*)"
+# The sentence repeated, as under several copyright lines.
+AGAIN = r"(\|AllRights)+\|"
 
 
 def run_of(ids):
@@ -176,7 +263,9 @@ def mark_filter(lowered):
 
 def identifiers(lowered):
     """The identifiers of the known sentences of a lower-cased text, in order."""
-    tagged = F.regexp_replace(lowered, rf"{TAG}[ \t]*:", f"{TAG} ")
+    ended = F.regexp_replace(lowered, STATED, "$1. $2 . ")
+    ended = F.regexp_replace(ended, BLANK, "\n. ")
+    tagged = F.regexp_replace(ended, rf"{TAG}[ \t]*:", f"{TAG} ")
     sentences = F.split(F.regexp_replace(tagged, SIGNS, " "), ENDS)
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     plain = F.transform(
@@ -196,6 +285,7 @@ def matched(ids):
         ]
     )
     text = F.concat(F.lit("|"), F.array_join(ids, "|"), F.lit("|"))
+    text = F.regexp_replace(text, AGAIN, "|AllRights|")
     start = F.struct(text.alias("open"), F.expr("cast(array() as array<string>)").alias("found"))
 
     def apply(state, rule):
@@ -225,45 +315,64 @@ def scan(docs):
     def joined(first, second):
         return F.array_join(F.sort_array(F.array_union(first, second)), ",")
 
+    # What "All rights reserved" belongs to shows in whole sentences only.
+    rest = F.when(
+        F.array_contains("wrapped", "AllRights"), F.array_remove("by_line", "AllRights")
+    ).otherwise(F.col("by_line"))
     return cut.select(
         "doc_id",
-        joined(matched(F.col("wrapped")), matched(F.col("by_line"))).alias("licences"),
+        joined(matched(F.col("wrapped")), matched(rest)).alias("licences"),
         joined(F.col("wrapped"), F.col("by_line")).alias("sentences"),
     )
 
 
 def checking_sql():
-    """The same in plain SQL, rule by rule."""
+    """The same in plain SQL, rule by rule: every text is cut, lines are joined anew."""
 
     def ids(text):
         cases = " ".join(f"WHEN '{s}' THEN '{i}'" for s, i in SENTENCES.items())
         return f"""list_filter(list_transform(
-          regexp_split_to_array(regexp_replace({text}, '{SIGNS}', ' ', 'g'), '{ENDS}'),
+          regexp_split_to_array(regexp_replace(
+            regexp_replace({text}, '{TAG}[ \t]*:', '{TAG} ', 'g'), '{SIGNS}', ' ', 'g'), '{ENDS}'),
           lambda s: CASE trim(regexp_replace(s, '[^a-z0-9+-]+', ' ', 'g')) {cases} END),
           lambda i: i IS NOT NULL)"""
 
     def licences(name):
         steps = (
-            f"SELECT doc_id, {name}, '|' || array_to_string({name}, '|') || '|' AS open, "
-            f"[]::VARCHAR[] AS found FROM cut"
+            f"SELECT doc_id, n, {name}, regexp_replace('|' || array_to_string({name}, '|') || '|', "
+            f"'{AGAIN}', '|AllRights|', 'g') AS open, []::VARCHAR[] AS found FROM cut"
         )
         for licence, run in RULES:
             text = run_of(run)
             steps = (
-                f"SELECT doc_id, {name}, replace(open, '{text}', '|#|') AS open, "
+                f"SELECT doc_id, n, {name}, replace(open, '{text}', '|#|') AS open, "
                 f"CASE WHEN contains(open, '{text}') THEN list_append(found, '{licence}') "
                 f"ELSE found END AS found FROM ({steps})"
             )
         return steps
 
-    hit = " OR ".join(f"contains(low, '{m}')" for m in MARKS)
+    # Line by line: one that states a copyright stands alone, one without a letter or
+    # digit that another follows ends what is before it.
+    stated = r"^[^a-z0-9]*copyright[ \t]+(\(c\)|©|[12][0-9]{3})"
+    one = f"""CASE WHEN regexp_matches(line, '{stated}') THEN '. ' || line || ' . '
+          WHEN i > 1 AND i < len(lines) AND NOT regexp_matches(line, '[a-z0-9]') THEN '. ' || line
+          ELSE line END"""
     return f"""
-    WITH cut AS (
-      SELECT doc_id, CASE WHEN {hit} THEN {ids("low")} ELSE [] END AS wrapped,
-             CASE WHEN {hit} THEN {ids("replace(low, chr(10), '. ')")} ELSE [] END AS by_line
-      FROM (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents)),
+    WITH source AS (
+      SELECT doc_id, row_number() OVER () AS n,
+             string_split(lower(coalesce(text, '')), chr(10)) AS lines FROM documents),
+    joined AS (
+      SELECT doc_id, n, array_to_string(list_transform(lines, lambda line, i: {one}), chr(10)) AS low
+      FROM source),
+    pieces AS (
+      SELECT doc_id, n, {ids("low")} AS wrapped,
+             {ids("replace(low, chr(10), '. ')")} AS by_line FROM joined),
+    cut AS (
+      SELECT doc_id, n, wrapped, CASE WHEN list_contains(wrapped, 'AllRights')
+             THEN list_filter(by_line, lambda i: i <> 'AllRights') ELSE by_line END AS by_line
+      FROM pieces),
     a AS ({licences("wrapped")}), b AS ({licences("by_line")})
-    SELECT doc_id,
+    SELECT a.doc_id,
       array_to_string(list_sort(list_distinct(list_concat(a.found, b.found))), ',') AS licences,
       array_to_string(list_sort(list_distinct(list_concat(a.wrapped, b.by_line))), ',') AS sentences
-    FROM a JOIN b USING (doc_id)"""
+    FROM a JOIN b ON a.n = b.n"""
