@@ -1,22 +1,26 @@
 """Benchmark items inside training documents: n-gram seeds, then local alignment.
 
 The benchmark is a stated query set: it goes over all documents in blocks of a bounded
-number of words, each broadcast once. Per block there is one pass over the texts: every
-word n-gram of an item is a seed, however often it occurs, so no number of copies hides
-an item. Seed hits give places to look at. Where a run of the item's words could reach
-the score at all, a Smith-Waterman alignment of the item with the surrounding words
-gives it: the alignment's value divided by that of a full copy.
+number of words, each broadcast once. Per block there is one pass over the texts. Seeds
+are the word n-grams of an item that are rare among the block's items (in at most
+SHARED_ITEMS different ones) and, of every STRETCH others in a row, the rarest; so a
+phrase that many items share costs nothing, and yet every part of an item has seeds.
+Rarity goes by items, never by documents: edited copies in many documents would make the
+n-grams they lack the rarest, and those are the ones that do not find them. Seed hits give
+places to look at. Where a run of the item's words could reach the score at all, a
+Smith-Waterman alignment of the item with the surrounding words gives it: the alignment's
+value divided by that of a full copy.
 
 Texts never move between executors.
 
 Defined cases: words are runs without white space, lower-cased and stripped of signs
 at both ends; null and empty texts have no leak; items of fewer words than a seed has
 cannot be told from chance and match nothing; a copy without GRAM words of the item in
-a row gives no place to look at and is not found; repeated items each report; repeated
+a row, at a seed, gives no place to look at and is not found; repeated items each report; repeated
 rows each report; an empty benchmark reports nothing; other columns are kept.
 """
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +31,8 @@ from pyspark.sql.functions import pandas_udf
 from hourgrid.llm.token_counts import Remembered
 
 GRAM = 3
+SHARED_ITEMS = 8
+STRETCH = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 SCORE = 0.5
 BLOCK_WORDS = 200_000
@@ -42,6 +48,18 @@ def words_of(text):
     return [w for w in map(plain, (text or "").split()) if w]
 
 
+def seeds(shared):
+    """Places of an item's seeds, by how many items have the n-gram at each place."""
+    rare = [place for place, count in enumerate(shared) if count <= SHARED_ITEMS]
+    chosen = list(rare)
+    for low, high in zip([-1, *rare], [*rare, len(shared)]):
+        for start in range(low + 1, high - STRETCH + 1, STRETCH):
+            chosen.append(min(range(start, start + STRETCH), key=shared.__getitem__))
+    if shared and not chosen:
+        chosen.append(min(range(len(shared)), key=shared.__getitem__))
+    return sorted(chosen)
+
+
 class Block:
     """Some benchmark items as word numbers, and the n-grams to look for."""
 
@@ -55,10 +73,15 @@ class Block:
         self.number = number
         self.base = len(number) + 1
         self.items = [np.array([number[w] for w in words], np.int64) for words in texts]
+        codes = [self.codes(item) for item in self.items]
+        # Repeated items count once.
+        different = {tuple(some.tolist()): some for some in codes}.values()
+        shared = Counter(code for some in different for code in np.unique(some).tolist())
         places = defaultdict(list)  # n-gram code -> (item, position)
-        for i, item in enumerate(self.items):
-            for position, code in enumerate(self.codes(item).tolist()):
-                places[code].append((i, position))
+        for i, some in enumerate(codes):
+            some = some.tolist()
+            for position in seeds([shared[code] for code in some]):
+                places[some[position]].append((i, position))
         self.grams = np.array(sorted(places), np.int64)
         listed = [places[code] for code in self.grams.tolist()]
         # The places of n-gram g are those from first[g] to first[g + 1].
