@@ -7,6 +7,11 @@ documents removes keys that fall below it. To drop lines, the keys of the docume
 stream past the filter of their shard; only what it lets through is checked against
 the exact counts, so a false positive never drops a line.
 
+The index lies in its folder and outlives its process. A change writes its part of the
+ledger and new filters and then one commit that names what is valid; a new object goes on
+from the last commit, and what a broken change left behind is overwritten. Every COMPACT
+parts the ledger is added up into one.
+
 A key is a line without ASCII white space at both ends, A-Z lower-cased; keys shorter
 than ``min_length`` code points never count. Keys travel as 128-bit hashes.
 
@@ -26,10 +31,13 @@ from pyspark.sql import functions as F
 
 from hourgrid.llm.common import arrow_schema, map_rows, text_bytes
 from hourgrid.session import write_and_read
+from hourgrid.sources import paths
 
 SLOTS = 4
 KICKS = 200
 SALTS = 8
+COMPACT = 8
+STATE = "changes array<string>, version int, threshold long, min_length long, shards long"
 KEY = ("shard", "high", "low")
 
 
@@ -125,7 +133,59 @@ class LineIndex:
     def __init__(self, spark, folder, threshold, min_length=1, shards=256):
         self.spark, self.folder = spark, folder
         self.threshold, self.min_length, self.shards = threshold, min_length, shards
-        self.changes, self.version = [], 0
+        self.changes, self.version, self.number = [], 0, 0
+        self._open()
+
+    def _open(self):
+        """Go on from the last commit in the folder, if there is one."""
+        commits = paths.list_folders(self.spark, f"{self.folder}/commits")
+        for name in reversed(commits):
+            last = self.spark.read.schema(STATE).parquet(f"{self.folder}/commits/{name}").first()
+            if last is None:  # a commit that was not finished
+                continue
+            if (last.threshold, last.min_length, last.shards) != (
+                self.threshold,
+                self.min_length,
+                self.shards,
+            ):
+                raise ValueError("the index was made with other parameters")
+            self.changes, self.version = list(last.changes), last.version
+            self.number = int(name)
+            return
+
+    def _commit(self, changes, version):
+        """Make a state valid as a whole; then drop what the last two do not need."""
+        old = set(self.changes)
+        path = f"{self.folder}/commits/{self.number + 1:08d}"
+        paths.drop_folder(self.spark, path)
+        named = F.array(*[F.lit(name) for name in changes])
+        self.spark.range(1).select(
+            named.alias("changes"),
+            F.lit(version).alias("version"),
+            *[
+                F.lit(value).cast("long").alias(name)
+                for name, value in (
+                    ("threshold", self.threshold),
+                    ("min_length", self.min_length),
+                    ("shards", self.shards),
+                )
+            ],
+        ).write.parquet(path)
+        needed = {*old, *changes, f"filters-{version}", f"filters-{self.version}", "commits"}
+        self.changes, self.version, self.number = list(changes), version, self.number + 1
+        for name in paths.list_folders(self.spark, self.folder):
+            if name not in needed and name.startswith(("change-", "filters-")):
+                paths.drop_folder(self.spark, f"{self.folder}/{name}")
+        for name in paths.list_folders(self.spark, f"{self.folder}/commits"):
+            if int(name) < self.number - 1:
+                paths.drop_folder(self.spark, f"{self.folder}/commits/{name}")
+
+    def compact(self):
+        """Add the ledger up into one part; counts and filters stay as they are."""
+        name = f"change-{self.number + 1}"
+        paths.drop_folder(self.spark, f"{self.folder}/{name}")
+        self.counts().write.parquet(f"{self.folder}/{name}")
+        self._commit([name], self.version)
 
     def insert(self, docs):
         self._change(docs, 1)
@@ -170,7 +230,9 @@ class LineIndex:
 
     def _ledger(self, changes):
         schema = "shard int, high long, low long, n long"
-        return self.spark.read.schema(schema).parquet(*changes) if changes else None
+        if not changes:
+            return None
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{c}" for c in changes])
 
     def _filters(self):
         schema = "shard int, filter binary"
@@ -179,12 +241,15 @@ class LineIndex:
         return self.spark.read.schema(schema).parquet(f"{self.folder}/filters-{self.version}")
 
     def _change(self, docs, sign):
-        path = f"{self.folder}/change-{len(self.changes)}"
+        number = self.number + 1
+        name = f"change-{number}"
+        for leftover in (name, f"filters-{number}"):
+            paths.drop_folder(self.spark, f"{self.folder}/{leftover}")
         delta = write_and_read(
             self.keys(docs)
             .groupBy(*KEY)
             .agg((F.count(F.lit(1)) * sign).cast("long").alias("n")),
-            path,
+            f"{self.folder}/{name}",
         )
         before = self._ledger(self.changes)
         after = F.col("n")
@@ -200,10 +265,12 @@ class LineIndex:
         moves = moved.where(rises | falls).select(
             "shard", "high", F.when(rises, 1).otherwise(-1).alias("step")
         )
-        self._update(moves)
-        self.changes.append(path)
+        self._update(moves, f"{self.folder}/filters-{number}")
+        self._commit([*self.changes, name], number)
+        if len(self.changes) >= COMPACT:
+            self.compact()
 
-    def _update(self, moves):
+    def _update(self, moves, path):
         """Apply rises and falls to the filter of each shard, one shard at a time."""
         old = self._filters().select(
             "shard", F.lit(0).cast("long").alias("high"), F.lit(0).alias("step"), "filter"
@@ -242,9 +309,7 @@ class LineIndex:
             if shard is not None:
                 yield finished()
 
-        self.version += 1
-        filters = stream.mapInArrow(run, schema)
-        filters.write.parquet(f"{self.folder}/filters-{self.version}")
+        stream.mapInArrow(run, schema).write.parquet(path)
 
     def suspects(self, keys):
         """The rows of ``keys`` that the filters let through.
