@@ -1,7 +1,9 @@
 """Personal data replaced by keyed surrogates of the same type and form.
 
 Entities are e-mail and IPv4 addresses, phone and card numbers, account and social
-numbers, keys and passwords, and names after a title. Every entity has a canonical
+numbers, keys and passwords, and names: those after a title, and known given names before
+a capitalised word. A part of a name found in a document is replaced wherever it stands in
+it as a word of its own, capitalised or in capitals. Every entity has a canonical
 form; its surrogate is drawn from a keyed hash of type, canonical form and attempt, so
 one person's mentions agree everywhere without a lookup. A surrogate keeps length,
 punctuation and letter case, digits stay digits, scripts stay, card numbers keep a valid
@@ -44,6 +46,7 @@ REWRITTEN = "struct<text:string,n:int>"
 TITLES = {
     "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"),
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Госпожа", "Κυρία"),
+    "n": ("Dr", "Prof", "Mx"),
 }
 GIVEN = {
     ("latin", "m"): "James Peter Thomas Daniel Martin Paul Lukas Felix Jonas Louis Hugo Pablo Diego Carlos Oscar Simon Victor Adam Leon Max".split(),
@@ -53,13 +56,21 @@ GIVEN = {
     ("greek", "m"): "Γιώργος Νίκος Κώστας Πέτρος Ανδρέας".split(),
     ("greek", "f"): "Μαρία Ελένη Άννα Κατερίνα Σοφία".split(),
 }
+# More given names that tell a name without a title; no common words.
+KNOWN = {
+    "m": "John Robert Michael William David Richard Joseph Charles Christopher Matthew Anthony Steven Andrew Kenneth Kevin Brian George Edward Ronald Timothy Jeffrey Gary Nicholas Eric Stephen Jonathan Larry Scott Benjamin Samuel Gregory Patrick Alexander Hans Klaus Jürgen Wolfgang Stefan Andreas Pierre Jean François Jacques Juan José Luis Miguel Javier".split(),
+    "f": "Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Kimberly Emily Donna Michelle Dorothy Carol Amanda Melissa Deborah Stephanie Rebecca Sharon Cynthia Kathleen Catherine Christine Ursula Ingrid Sabine Monika Petra Isabelle Nathalie Camille Isabel Pilar Dolores Maria Teresa Louise Jane Christina Julie Caroline".split(),
+}
 SYLLABLES = {
     "latin": "ba be bo da de di do fa fe ga go ha ka ke la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se so ta te ti to va ve vo".split(),
     "cyrillic": "ба бе бо ва ве да де до за ка ко ла ле ли ло ма ме ми мо на не но па по ра ре ро са се со та те то".split(),
     "greek": "βα βε γα γε δα δε ζα θα θε κα κε κο λα λε λο μα με μο να νε νο πα πε ρα ρε ρο σα σε τα τε το".split(),
 }
 GENDER = {title: gender for gender, titles in TITLES.items() for title in titles}
-GIVEN_GENDER = {n: key[1] for key, names in GIVEN.items() for n in names}
+GIVEN_GENDER = {
+    **{n: gender for gender, names in KNOWN.items() for n in names},
+    **{n: key[1] for key, names in GIVEN.items() for n in names},
+}
 
 TITLE = "|".join(sorted(map(re.escape, GENDER), key=len, reverse=True))
 CAPITAL = r"[^\W\d_a-zß-öø-ÿа-яёα-ωά-ώ][^\W\d_]+"
@@ -73,10 +84,11 @@ PATTERNS = (
     ("secret", r"(?i)\b(?:password|passwd|pwd|secret|token|api_?key)\s*[=:]\s*[\"']?(?P<value>[^\s\"',;]{6,})", ""),
     ("card", r"(?<![\w-])(?:[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)(?:[ -]?\d{4}){3}|3\d{3}[ -]?\d{6}[ -]?\d{4,5})(?![\w-])", ""),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])", ""),
-    ("name", rf"(?<!\w)(?P<title>{TITLE})\.? (?P<value>{CAPITAL}(?: {CAPITAL})?)", ""),
+    ("name", rf"(?<!\w)(?P<title>{TITLE})\.? (?:(?:{TITLE})\.? )*(?P<value>{CAPITAL}(?: {CAPITAL})?)", ""),
 )
 COMPILED = [(kind, re.compile(pattern), needed) for kind, pattern, needed in PATTERNS]
 DIGIT = re.compile(r"\d")
+PAIR = re.compile(rf"(?<!\w)({CAPITAL})(?= ({CAPITAL}))")
 TITLED = re.compile(rf"(?<!\w)(?:{TITLE})\.? ")
 
 
@@ -86,8 +98,7 @@ def found(text):
     spans = []
     for kind, pattern, needed in COMPILED:
         if kind == "name":
-            if TITLED.search(text):
-                spans += names(text, pattern)
+            spans += names(text, pattern)
         elif (has_digit or kind in ("email", "secret")) and needed in text:
             if kind == "secret" and not has_digit and not SECRET_WORD.search(text):
                 continue
@@ -107,18 +118,50 @@ SECRET_WORD = re.compile(r"(?i)password|passwd|pwd|secret|token|api_?key")
 
 
 def names(text, pattern):
-    """Spans of the parts of titled names: given name with gender, family name."""
+    """Spans of the parts of names and of their further mentions in the text."""
+    spans = list(titled(text, pattern)) if TITLED.search(text) else []
+    spans += paired(text)
+    if not spans:
+        return spans
+    parts = {}
+    for start, end, kind, form in spans:
+        for surface in (text[start:end], form.capitalize(), form.upper()):
+            parts.setdefault(surface, (kind, form))
+    longest = sorted(map(re.escape, parts), key=len, reverse=True)
+    mentioned = re.compile(rf"(?<!\w)(?:{'|'.join(longest)})(?!\w)")
+    spans += [(*match.span(), *parts[match.group()]) for match in mentioned.finditer(text)]
+    return spans
+
+
+def given(part, gender="n"):
+    """The kind of a given name: by its own gender, else by that of the title."""
+    return f"given-{GIVEN_GENDER.get(part.capitalize(), gender)}"
+
+
+def titled(text, pattern):
+    """Given name with gender and family name after a title; a given name alone is one."""
     for match in pattern.finditer(text):
         gender = GENDER[match["title"]]
         start = match.start("value")
         parts = match["value"].split(" ")
         for i, part in enumerate(parts):
-            family = i == len(parts) - 1
-            kind = "family" if family else f"given-{GIVEN_GENDER.get(part, gender)}"
+            known = len(parts) == 1 and part.capitalize() in GIVEN_GENDER
+            family = i == len(parts) - 1 and not known
+            kind = "family" if family else given(part, gender)
             yield start, start + len(part), kind, canonical(kind, part)
             start += len(part) + 1
 
 
+def paired(text):
+    """Known given names before a capitalised word, and that word."""
+    for match in PAIR.finditer(text):
+        if match[1].capitalize() in GIVEN_GENDER:
+            for part, group in ((match[1], 1), (match[2], 2)):
+                known = group == 1 or part.capitalize() in GIVEN_GENDER
+                kind = given(part) if known else "family"
+                yield *match.span(group), kind, canonical(kind, part)
+
+
 def canonical(kind, surface):
     """The form that all spellings of an entity share; country codes stay outside."""
     if kind == "phone":
@@ -246,7 +289,8 @@ def surrogate(key, kind, form, attempt):
         syllables = SYLLABLES[script(form)]
         return "".join(draw.of(syllables) for _ in range(4 + draw.below(2) + extra))
     if kind.startswith("given"):
-        names = GIVEN[script(form), kind[-1]]
+        genders = "mf" if kind[-1] == "n" else kind[-1]
+        names = [n for gender in genders for n in GIVEN[script(form), gender]]
         if attempt == 0:
             return draw.of(names).lower()
         # The plain names are few: later attempts add syllables.
