@@ -13,13 +13,18 @@ from hourgrid.schemas import PRICE_SCHEMA
 from hourgrid.sources import paths
 
 PRICE_COLUMNS = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PRICE_SCHEMA.fields)
+OVERWRITE = "partitionOverwriteMode"
 
 
 def open_prices(spark, table, path, buckets):
-    """The table of the prices below ``path``, registered if this session lacks it."""
+    """The table of the prices below ``path``, registered if this session lacks it.
+
+    It carries the overwrite mode itself, so writes do not depend on the session's.
+    """
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {table} ({PRICE_COLUMNS}, year int, month int) "
-        f"USING parquet PARTITIONED BY (year, month) CLUSTERED BY (node) "
+        f"USING parquet OPTIONS ({OVERWRITE} 'dynamic') "
+        f"PARTITIONED BY (year, month) CLUSTERED BY (node) "
         f"SORTED BY (node, opr_dt, opr_hr) INTO {int(buckets)} BUCKETS LOCATION '{path}'"
     )
     if paths.list_folders(spark, path):
@@ -42,6 +47,15 @@ def _buckets(spark, table):
     return int(rows.first().data_type)
 
 
+def _replaces_months(spark, table):
+    """Whether an overwrite leaves the months that it does not name."""
+    rows = spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Storage Properties'")
+    own = rows.first()
+    if own is not None and f"{OVERWRITE}=dynamic".lower() in own.data_type.lower():
+        return True
+    return spark.conf.get(f"spark.sql.sources.{OVERWRITE}").lower() == "dynamic"
+
+
 def replace_months(df, table):
     """Replace the months present in ``df``, one file per bucket and month."""
     spark = df.sparkSession
@@ -50,8 +64,8 @@ def replace_months(df, table):
         for f in PRICE_SCHEMA.fields
     ]
     rows = df.select(*columns, F.year("opr_dt").alias("year"), F.month("opr_dt").alias("month"))
-    if spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() != "dynamic":
-        raise ValueError("spark.sql.sources.partitionOverwriteMode must be dynamic")
+    if not _replaces_months(spark, table):
+        raise ValueError(f"{table} or the session must have {OVERWRITE} dynamic")
     rows.repartition(_buckets(spark, table), "node").write.insertInto(table, overwrite=True)
 
 

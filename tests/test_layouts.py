@@ -96,3 +96,34 @@ def test_months_are_replaced_and_tables_open_again(spark, tables, rows):
     columns = ["node", "opr_dt", "opr_hr", "mw"]
     assert again.select(*columns).exceptAll(expected).isEmpty()
     assert again.count() == expected.count()
+
+
+def test_months_are_replaced_whatever_the_session_overwrites(spark, tables, rows):
+    prices, _, names, _ = tables
+    month = rows.where(f"opr_dt = '{DAY}' AND node < 'N_0300'")
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    try:
+        bucketed.replace_months(month, names[0])
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    expected = rows.where(f"opr_dt <> '{DAY}'").unionByName(month)
+    columns = ["node", "opr_dt", "opr_hr", "mw"]
+    again = spark.table(names[0]).select(*columns)
+    assert again.exceptAll(expected).isEmpty() and again.count() == expected.count()
+
+
+def test_a_table_that_would_lose_other_months_is_refused(spark, tmp_path, rows):
+    table = f"plain_{tmp_path.name}"
+    spark.sql(
+        f"CREATE TABLE {table} ({bucketed.PRICE_COLUMNS}, year int, month int) USING parquet "
+        f"PARTITIONED BY (year, month) CLUSTERED BY (node) INTO 4 BUCKETS LOCATION '{tmp_path}'"
+    )
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    try:
+        with pytest.raises(ValueError, match="dynamic"):
+            bucketed.replace_months(rows, table)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+        spark.sql(f"DROP TABLE {table}")
