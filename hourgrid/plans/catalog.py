@@ -17,7 +17,7 @@ from hourgrid.operators import bx, bx_sums, cleaning, heatmaps, nodes, rollups,
 from hourgrid.plans import jobs, ledger, summaries
 from hourgrid.plans.projections import Tables
 from hourgrid.schemas import ZONE_HEADERS
-from hourgrid.session import scratch_path
+from hourgrid.session import cut_lineage, scratch_path
 from hourgrid.sources import archives, bucketed, columns, csv_files, node_index, store
 from hourgrid.streaming import ingest
 
@@ -1846,6 +1846,21 @@ def _(t):
     return bx_sums.average_of_sums(_summed(t), 6, start=dt.date(1995, 1, 1), zone="NP15")
 
 
+def _sides(answer):
+    price = F.col("mw").cast("double")
+    return {"_below": price < answer, "_upto": price <= answer}
+
+
+def _within_bound(of, wanted):
+    """Whether the rank of each answer among the prices themselves is the wanted one."""
+    within = F.lit(True)
+    for name, fraction in wanted.items():
+        below, upto = (F.col(f"{name}{of}{label}") / F.col("n") for label in ("_below", "_upto"))
+        within &= below <= fraction + sketches.RANK_ERROR
+        within &= upto >= fraction - sketches.RANK_ERROR
+    return within.alias("within_bound")
+
+
 @query(
     "price_quantile_sketches",
     f"""WITH {WIDE} SELECT node, count(*) AS count, {r('avg(mw)')} AS avg,
@@ -1861,28 +1876,39 @@ def _(t):
         summaries.keep_sketches(t.spark, prices.where(part), path)
     kept = t.spark.read.parquet(path)
     wanted = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    own = sketches.sketch_profile(kept, ["node"], wanted)
     everything = kept.withColumn("node", F.lit("all nodes"))
-    profile = sketches.sketch_profile(kept, ["node"], wanted).unionByName(
-        sketches.sketch_profile(everything, ["node"], wanted)
-    )
-    # The rank of each answer among the prices themselves, on both of its sides.
-    price, sides = F.col("mw").cast("double"), []
-    for name, fraction in wanted.items():
-        below = F.count(F.when(price < F.col(name), 1)) / F.count(F.lit(1))
-        upto = F.count(F.when(price <= F.col(name), 1)) / F.count(F.lit(1))
-        sides.append(
-            (below <= fraction + sketches.RANK_ERROR) & (upto >= fraction - sketches.RANK_ERROR)
-        )
-    both = F.explode(F.array("node", F.lit("all nodes"))).alias("node")
-    checked = (
-        prices.select(both, "mw")
-        .join(profile.select("node", *wanted), "node")
+    total = sketches.sketch_profile(everything, ["node"], wanted)
+    # The one row of all nodes is a scalar and its counts come node by node, so that no
+    # task reads all prices.
+    bounds = total.select(F.struct(*wanted).alias("_all")).scalar()
+    sides = prices.join(own.select("node", F.struct(*wanted).alias("_own")), "node", "left")
+    counted = cut_lineage(
+        sides.select("node", "mw", "_own", bounds.alias("_all"))
         .groupBy("node")
-        .agg((sides[0] & sides[1] & sides[2]).alias("within_bound"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            *[
+                F.count(F.when(side, 1)).alias(f"{name}{of}{label}")
+                for name in wanted
+                for of in ("_own", "_all")
+                for label, side in _sides(F.col(of)[name]).items()
+            ],
+        ),
+        "ranks",
     )
-    return profile.join(checked, "node").select(
-        "node", "count", "avg", "min", "max", "within_bound"
+    checks = (
+        (own, counted.select("node", _within_bound("_own", wanted))),
+        (
+            total,
+            counted.groupBy(F.lit("all nodes").alias("node"))
+            .agg(*[F.sum(c).alias(c) for c in counted.columns if c != "node"])
+            .select("node", _within_bound("_all", wanted)),
+        ),
     )
+    columns_ = ["node", "count", "avg", "min", "max", "within_bound"]
+    parts = [profile.join(found, "node").select(*columns_) for profile, found in checks]
+    return parts[0].unionByName(parts[1])
 
 
 def _bucketed(t):

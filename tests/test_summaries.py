@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hourgrid.functions import sketches
 from hourgrid.operators import bx, bx_sums, nodes, rollups, spikes
 from hourgrid.plans import summaries
+from hourgrid.plans.catalog import QUERIES
 from hourgrid.sources import node_index, paths
 
 SCHEMA = "node string, opr_dt date, opr_hr int, mw decimal(12,4)"
@@ -152,3 +153,81 @@ def test_spikes_day_by_day_equal_those_of_all_days(spark, tmp_path, monkeypatch)
         summaries.append_spikes(spark, days(2, 19), path, threshold_std=1.5)
     summaries.append_spikes(spark, days(0, 19), path, threshold_std=1.5)
     assert same(19)
+
+
+def counted(spark, frame):
+    """``frame`` with a counter of how many rows all its readers made it compute."""
+    made = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    return frame.mapInArrow(passed, frame.schema), made
+
+
+def test_new_days_are_computed_once_for_spikes(spark, tmp_path):
+    rows, made = counted(spark, prices(spark, range(12), ["a", "b"]))
+    summaries.append_spikes(spark, rows, str(tmp_path / "spikes"), threshold_std=1.5)
+    assert made.value == prices(spark, range(12), ["a", "b"]).count()
+
+
+def test_a_sparse_series_is_copied_less_than_once(spark):
+    rows = spark.range(60 * 6).selectExpr(
+        "'a' AS node",
+        "add_months(DATE '2020-01-01', CAST(id DIV 6 AS INT)) AS opr_dt",
+        "CAST(id % 6 * 4 + 1 AS INT) AS opr_hr",
+        "CAST(id * 7919 % 101 AS DECIMAL(12,4)) AS mw",
+    )
+    parts = spikes._with_history(rows, 23)
+    assert parts.where("_own").count() == 360 and parts.count() < 720
+    found = spikes.price_spikes(rows, threshold_std=1.5)
+    ordered = [(r.opr_dt, r.opr_hr, float(r.mw)) for r in rows.orderBy("opr_dt", "opr_hr").collect()]
+    expected = set()
+    for i, (day, hour, price) in enumerate(ordered):
+        if price > 0:
+            frame = [p for _, _, p in ordered[: i + 1] if p > 0][-24:]
+            if len(frame) > 1:
+                mean = sum(frame) / len(frame)
+                deviation = (sum((p - mean) ** 2 for p in frame) / (len(frame) - 1)) ** 0.5
+                if deviation > 0 and price > mean + 1.5 * deviation:
+                    expected.add((day, hour))
+    assert expected and {(r.operational_date, r.operational_hour) for r in found.collect()} == expected
+
+
+def test_daily_bx_is_computed_once_for_sums(spark, tmp_path, mapping):
+    daily = bx.bx_daily(prices(spark, range(4), ["a", "b"]))
+    rows, made = counted(spark, daily)
+    zones = mapping([("a", "NP15")])
+    summaries.keep_bx_sums(spark, rows, zones, str(tmp_path / "index"), str(tmp_path / "sums"))
+    assert made.value == daily.count()
+
+
+def test_ranks_of_all_nodes_need_no_copy_of_prices(spark, tmp_path):
+    tables = {
+        "region": [("r_regionkey int, r_name string"), [(0, "AFRICA")]],
+        "nation": [("n_nationkey int, n_name string, n_regionkey int"), [(0, "N", 0)]],
+        "supplier": [
+            ("s_suppkey long, s_name string, s_nationkey int"),
+            [(i, f"Supplier#{i:09d}", 0) for i in range(3)],
+        ],
+        "lineitem": [
+            (
+                "l_orderkey long, l_suppkey long, l_linenumber int, l_extendedprice double, "
+                "l_shipdate timestamp"
+            ),
+            [
+                (i, i % 3, 1, float(i * 7919 % 10007), dt.datetime(1994 + i % 3, 1 + i % 12, 5))
+                for i in range(3000)
+            ],
+        ],
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    result = QUERIES["price_quantile_sketches"](spark, str(tmp_path))
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan
+    rows = {r.node: r for r in result.collect()}
+    assert len(rows) == 4 and all(r.within_bound for r in rows.values())
+    assert rows["all nodes"]["count"] == sum(r["count"] for n, r in rows.items() if n != "all nodes")
