@@ -28,9 +28,13 @@ def keep_sketches(spark, prices, path):
 
 def keep_bx_sums(spark, daily, mapping, index_path, path):
     """Replace the Bx sums of the days present in ``daily``, numbering new nodes first."""
-    node_index.update_nodes(spark, index_path, daily)
-    sums = bx_sums(daily, node_index.read_nodes(spark, index_path), mapping)
-    store.replace_partitions(sums, path, "opr_dt")
+    rows = daily.where(F.col("level") == "node") if "level" in daily.columns else daily
+    with Scratch(spark, "sums") as scratch:
+        # Read twice, for the numbers and for the sums; ranks are too dear for that.
+        staged = scratch.stage(rows.select("node", "opr_dt", "bx_type", "avg_price"))
+        node_index.update_nodes(spark, index_path, staged)
+        sums = bx_sums(staged, node_index.read_nodes(spark, index_path), mapping)
+        store.replace_partitions(sums, path, "opr_dt")
 
 
 def _days(spark, path):
@@ -46,6 +50,13 @@ def append_spikes(spark, prices, path, threshold_std=3, exclude_zero=True):
     with those after it; it may lie back as far as the last ``STATES`` calls, or else all
     days come again. The state is written last: a call that failed is made again.
     """
+    with Scratch(spark, "spikes") as scratch:
+        # The new days are read by several windows and are made once.
+        new = scratch.stage(prices.select("node", "opr_dt", "opr_hr", "mw"), "new")
+        _append_spikes(spark, scratch, new, path, threshold_std, exclude_zero)
+
+
+def _append_spikes(spark, scratch, prices, path, threshold_std, exclude_zero):
     bounds = prices.agg(F.min("opr_dt").alias("first"), F.max("opr_dt").alias("last")).first()
     if bounds.first is None:
         return
@@ -71,9 +82,8 @@ def append_spikes(spark, prices, path, threshold_std=3, exclude_zero=True):
             if day >= bounds.first:
                 paths.drop_folder(spark, f"{folder}/{label}={day}")
     new, left = spikes_after(tails, prices, threshold_std, exclude_zero)
-    with Scratch(spark, "spikes") as scratch:
-        # Few rows, written once, since the day folders are cut from them.
-        store.replace_partitions(scratch.stage(new), found, "operational_date")
+    # Few rows, written once, since the day folders are cut from them.
+    store.replace_partitions(scratch.stage(new), found, "operational_date")
     left.write.parquet(f"{states}/upto={bounds.last}")
     for day in before[: 1 - STATES]:
         paths.drop_folder(spark, f"{states}/upto={day}")
