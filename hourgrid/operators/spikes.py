@@ -6,16 +6,21 @@ from hourgrid.functions.filters import filter_prices
 from hourgrid.functions.rounding import round_to
 from hourgrid.schemas import ROLLING_ROWS
 
+# Five months have 153 days at most, or 3,826 hours; a window keeps 4,096 rows in memory.
+PART_MONTHS = 5
+
 
 def _with_history(rows, lookback):
-    """Cut each node's series into months and hand every month its history.
+    """Cut each node's series into parts of some months and hand each its history.
 
-    A window over (node, month) then sees the same ``lookback`` preceding rows as
-    one over the whole series, while no task holds more than a month of a node,
-    and a month fits the buffer of rows that a window keeps in memory.
-    Only the last rows of a month can be history, so only those are copied.
+    A window over (node, part) then sees the same ``lookback`` preceding rows as
+    one over the whole series, while no task holds more than a part of a node,
+    and a part fits the buffer of rows that a window keeps in memory.
+    Only the last rows of a part can be history, so only those are copied. A row goes
+    to every part within ``lookback`` rows, so short parts of a sparse series cost copies.
     """
-    series = rows.withColumn("_part", F.year("opr_dt") * 12 + F.month("opr_dt"))
+    month = F.year("opr_dt") * 12 + F.month("opr_dt")
+    series = rows.withColumn("_part", F.floor(month / PART_MONTHS))
     newest = Window.partitionBy("node", "_part").orderBy(
         F.col("opr_dt").desc(), F.col("opr_hr").desc()
     )
