@@ -515,3 +515,28 @@ def test_stages_keep_columns_and_clean_rows(spark, docs, tmp_path):
         last[lower(text)] = max(doc_id, last.get(lower(text), -1))
     rows = [(i, t) for i, t in rows if last[lower(t)] == i]
     assert ids == sorted(i for i, (_, c) in brute_components(rows, 5).items() if i == c)
+
+
+def test_packing_encodes_a_run_of_new_words_at_once(monkeypatch):
+    import public_tokenizers
+    from hourgrid.llm import packing
+
+    ids = packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+    calls, fast = [], ids.fast
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return fast.encode_ordinary(text)
+
+    ids.fast = Counted()
+    words = [f"wo{chr(97 + i % 26)}{'xyzk'[i % 4] * (i % 9)}rd{i}" for i in range(1000)]
+    for text in (
+        " ".join(words),
+        " ".join(["x" * 65, *words[:300], "é" * 70, "y" * 64, *words[300:]]),
+        "don't l'été 日本 12,5\n3\tT's",
+        "z" * 200,
+        "one " + "q" * 200,
+    ):
+        assert ids.of(text) == ids.encode(text)
+    assert len(calls) == 4
